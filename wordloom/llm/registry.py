@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from wordloom.llm import queries_tokens
+from wordloom.llm import queries_quality, queries_tokens
 
-QUERIES: dict = {**queries_tokens.QUERIES}
-ORACLES: dict = {**queries_tokens.ORACLES}
+MODULES = (queries_quality, queries_tokens)
+QUERIES: dict = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+ORACLES: dict = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
