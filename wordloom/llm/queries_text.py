@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm import decontaminate
+from wordloom.llm import decontaminate, substring_dedup
 from wordloom.llm.common import table
 
 
@@ -12,5 +12,9 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op4_decontaminate": op4_decontaminate}
-ORACLES = {"op4_decontaminate": decontaminate.SQL}
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op4_decontaminate": op4_decontaminate, "op5_substring_dedup": op5_substring_dedup}
+ORACLES = {"op4_decontaminate": decontaminate.SQL, "op5_substring_dedup": substring_dedup.SQL}
