@@ -2,7 +2,8 @@
 
 A window of `size` symbols has as its anchor the least hash of the grams of `gram` symbols in it. Equal windows have
 equal anchors, so a window that stands elsewhere too has an anchor that does. Windows side by side mostly share
-theirs; a run is such a stretch, of at most size - gram + 1 windows. Hashes only bring windows together; whoever
+theirs; a run is such a stretch with the same last place of that gram, so of at most size - gram + 1 windows, and
+equal windows are never in one run. Hashes only bring windows together; whoever
 uses runs compares the symbols themselves.
 """
 
@@ -106,16 +107,11 @@ def anchor_runs(gram_hash: np.ndarray, bounds: np.ndarray, size: int, gram: int)
     np.add.at(valid, last[keep], -1)
     valid = np.cumsum(valid[:-1]).astype(bool)
     new = np.ones(len(least), bool)
-    new[1:] = least[1:] != least[:-1]
+    new[1:] = (least[1:] != least[:-1]) | (gram_hash[most : most + len(least) - 1] == least[1:])  # the last least gram is another
     new[first[keep]] = True
     new[1:] |= ~valid[:-1]
     at = np.flatnonzero(new & valid)
     end = np.append(at[1:], len(least))
     # A run also ends with the last window of its text.
     end = np.minimum(end, last[keep][np.searchsorted(first[keep], at, "right") - 1])
-    parts = -(-(end - at) // most)
-    if len(parts) and parts.max() > 1:
-        shift = (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * most
-        at, end = np.repeat(at, parts) + shift, np.repeat(end, parts)
-        end = np.minimum(end, at + most)
     return least[at], at, end - at

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm import decontaminate, substring_dedup
+from wordloom.llm import decontaminate, substring_dedup, suffix_dedup
 from wordloom.llm.common import table
 
 
@@ -16,5 +16,9 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_decontaminate": op4_decontaminate, "op5_substring_dedup": op5_substring_dedup}
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op4_decontaminate": op4_decontaminate, "op5_substring_dedup": op5_substring_dedup, "op7_suffix_dedup": op7_suffix_dedup}
 ORACLES = {"op4_decontaminate": decontaminate.SQL, "op5_substring_dedup": substring_dedup.SQL}
