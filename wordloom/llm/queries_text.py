@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm import decontaminate, substring_dedup, suffix_dedup
+from wordloom.llm import decontaminate, near_dups, substring_dedup, suffix_dedup
 from wordloom.llm.common import table
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -20,5 +24,5 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_decontaminate": op4_decontaminate, "op5_substring_dedup": op5_substring_dedup, "op7_suffix_dedup": op7_suffix_dedup}
-ORACLES = {"op4_decontaminate": decontaminate.SQL, "op5_substring_dedup": substring_dedup.SQL}
+QUERIES = {"op3_near_duplicates": op3_near_duplicates, "op4_decontaminate": op4_decontaminate, "op5_substring_dedup": op5_substring_dedup, "op7_suffix_dedup": op7_suffix_dedup}
+ORACLES = {"op3_near_duplicates": near_dups.SQL, "op4_decontaminate": decontaminate.SQL, "op5_substring_dedup": substring_dedup.SQL}
