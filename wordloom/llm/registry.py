@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from wordloom.llm import queries_quality, queries_text, queries_tokens
+from wordloom.llm import queries_files, queries_quality, queries_text, queries_tokens
 
-MODULES = (queries_quality, queries_text, queries_tokens)
+MODULES = (queries_files, queries_quality, queries_text, queries_tokens)
 QUERIES: dict = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES: dict = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
