@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task expands into arrays at once.
 SLICE_BYTES = 2 << 20
@@ -39,6 +40,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def rest(columns: Sequence[str]) -> Column:
+    """Further columns as one struct named `rest`, so their names cannot clash with an operator's own; null if there are none."""
+    return (F.struct(*columns) if columns else F.lit(None).cast("struct<none:int>")).alias("rest")
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that `column` holds at most `most` bytes in each part, or one row."""
     for batch in batches:

@@ -14,7 +14,7 @@ import hashlib
 import itertools
 import math
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordloom.llm.common import slices, written
+from wordloom.llm.common import rest, slices, written
 
 #: Words of a window; words of items that one pass over the documents holds; share of hit words that condemns a document.
 WINDOW, PASS_WORDS, MOST = 10, 200_000, 0.5
@@ -237,33 +237,40 @@ def _pass(docs: DataFrame, items: tuple, window: int, clean: bool) -> DataFrame:
                     pa.array(hit, pa.list_(pa.list_(pa.int32()))),
                     pa.array([sorted(x) for x in names], pa.list_(pa.string())),
                     pa.array(texts, pa.string()),
+                    batch.column("rest"),
                 ],
-                names=OUT.names,
+                names=[*OUT.names, "rest"],
             )
 
-    return docs.mapInArrow(run, OUT)
+    return docs.mapInArrow(run, T.StructType([*OUT.fields, docs.schema["rest"]]))
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, clean: bool = False, pass_words: int = PASS_WORDS) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, clean: bool = False, pass_words: int = PASS_WORDS, carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, n_words, hit (runs of word places, from and to), items (ids as sorted strings), text for every row of docs.
 
     With `clean`, text is returned without the hit runs. Null and empty texts have no words and no hits; a null text
     stays null. Rows with equal ids are each judged by themselves. Items without words match nothing; an item with a
     null id marks words but is not listed; equal ids are listed once. Empty tables give no rows, or rows without hits.
-    Further columns are ignored. The benchmark is taken in passes of about `pass_words` words, and what is sent to
+    Further columns are ignored, but those named in `carry` follow the others. The benchmark is taken in passes of about `pass_words` words, and what is sent to
     the executors is one pass; between passes the documents are written.
     """
     sized = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text"))
     sized = sized.withColumn("size", F.coalesce(F.length("text"), F.lit(0)) / 2 + 1)
     passes = max(1, math.ceil((sized.agg(F.sum("size")).first()[0] or 0) / (3 * pass_words)))
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("array<array<int>>").alias("hit"), F.lit(None).cast("array<string>").alias("items"))
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("array<array<int>>").alias("hit"), F.lit(None).cast("array<string>").alias("items"), rest(carry))
     for k in range(passes):
         part = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
         items = tuple(sorted(((r.item_id, r.text) for r in part.select("item_id", "text").toLocalIterator()), key=repr))
         if k:
             out = written(out, "decontaminated")
-        out = _pass(out.select("doc_id", "text", "hit", "items"), items, window, clean and k == passes - 1)
-    return out
+        out = _pass(out.select("doc_id", "text", "hit", "items", "rest"), items, window, clean and k == passes - 1)
+    return out.select(*OUT.names, *[F.col("rest")[c].alias(c) for c in carry])
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, text without the hit spans, and `carry`, of the rows of which at most MOST of the words are hit; see find()."""
+    found = find(docs, benchmark, clean=True, carry=carry).where(n_hit() <= MOST * F.col("n_words"))
+    return found.select("doc_id", "text", *carry)
 
 
 def n_hit() -> F.Column:

@@ -29,35 +29,24 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), WHITE, " " * len(WHITE)), " "), "")
 
 
-def repeated_words(w: Column, size: int = 3) -> Column:
-    """Words inside windows of `size` words that occur twice or more in the array, the first occurrence included.
+def with_repeated_words(df: DataFrame, w: str, out: str, size: int = 3) -> DataFrame:
+    """df with `out`: the words of the array `w` inside windows of `size` words that occur twice or more, the first occurrence included.
 
     Windows are compared by 64-bit hash. Sorted with their places, equal ones are neighbours; the places of those
-    are sorted again, and each counts the words it covers before the next one starts.
+    are sorted again, and each counts the words it covers before the next one starts. Each step is a column of its
+    own, as functions with lambdas work out their arguments anew wherever they are named.
     """
     last = F.size(w) - size
-    hashed = F.transform(
+    windows = F.transform(
         F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>")),
         lambda k: F.struct(F.xxhash64(*[F.get(w, k + j) for j in range(size)]).alias("h"), k.alias("k")),
     )
-    return _covered(F.array_sort(hashed), size)
-
-
-def _covered(ordered: Column, size: int) -> Column:
-    # A left fold over neighbours would be quadratic as it copies its state; two shifted copies are compared instead.
-    n = F.size(ordered)
-    same = F.zip_with(
-        ordered,
-        F.slice(ordered, F.lit(2), F.greatest(n - 1, F.lit(0))),
-        lambda a, b: F.when(a["h"] == b["h"], F.array(a["k"], b["k"])),
-    )
-    places = F.array_sort(F.array_distinct(F.flatten(F.filter(same, lambda x: x.isNotNull()))))
-    gaps = F.zip_with(
-        places,
-        F.slice(places, F.lit(2), F.greatest(F.size(places) - 1, F.lit(0))),
-        lambda a, b: F.when(b.isNull(), F.lit(size)).otherwise(F.least(b - a, F.lit(size))),
-    )
-    return F.aggregate(gaps, F.lit(0).cast("long"), lambda total, g: total + g)
+    follow = lambda c: F.slice(c, F.lit(2), F.greatest(F.size(c) - 1, F.lit(0)))
+    pairs = F.zip_with("_a", follow(F.col("_a")), lambda a, b: F.when(a["h"] == b["h"], F.array(a["k"], b["k"])))
+    gaps = F.zip_with("_b", follow(F.col("_b")), lambda a, b: F.when(b.isNull(), F.lit(size)).otherwise(F.least(b - a, F.lit(size))))
+    df = df.withColumn("_a", F.sort_array(windows)).withColumn("_b", F.filter(pairs, lambda x: x.isNotNull()))
+    df = df.withColumn("_b", F.sort_array(F.array_distinct(F.flatten("_b"))))
+    return df.withColumn(out, F.aggregate(gaps, F.lit(0).cast("long"), lambda total, g: total + g)).drop("_a", "_b")
 
 
 def base_features(docs: DataFrame) -> DataFrame:
@@ -71,17 +60,21 @@ def base_features(docs: DataFrame) -> DataFrame:
             "word_chars": F.length(F.array_join("_w", "")).cast("long"),
             "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": repeated_words(F.col("_w")),
         }
     )
+    out = with_repeated_words(out, "_w", "n_repeat_words")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
     return out.withColumn("base_failed", failed).drop("_w", "_lines")
 
 
+def normal(text: Column) -> Column:
+    """Lower case, one space for white space inside lines and none around the whole."""
+    return F.trim(F.regexp_replace(F.lower(text), "[\t\x0b\x0c\r ]+", " "))
+
+
 def host_lines(docs: DataFrame) -> DataFrame:
     """One row for each document and distinct normalised line with a word: doc_id, source, line (hash), words, signature."""
-    text = F.regexp_replace(F.lower(F.coalesce(F.col("text"), F.lit(""))), "[\t\x0b\x0c\r ]+", " ")
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
+    lines = F.filter(F.split(normal(F.coalesce(F.col("text"), F.lit(""))), " ?\n ?"), lambda x: F.length(x) > 0)
     hashed = F.transform(lines, lambda x: F.struct(F.md5(x.cast("binary")).alias("line"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("words")))
     rows = (
         docs.select("doc_id", "source", hashed.alias("l"))
@@ -102,27 +95,38 @@ def frequent_lines(lines: DataFrame) -> DataFrame:
     return joined.where(above).select("c.source", "line")
 
 
-def removed_words(lines: DataFrame) -> DataFrame:
-    """doc_id, source and how many words stand in frequent lines, for the documents that have any."""
+def lines_to_remove(lines: DataFrame) -> DataFrame:
+    """doc_id, source, the frequent lines of each document that has any, and how many words stand in them."""
     hot = frequent_lines(lines).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     same = F.col("l.source").eqNullSafe(F.col("h.source")) & (F.col("l.line") == F.col("h.line")) & (F.col("l.salt") == F.col("h.salt"))
-    found = salted.alias("l").join(hot.alias("h"), same).select("l.doc_id", "l.source", "l.words")
-    return found.groupBy("doc_id", "source").agg(F.sum("words").alias("n_removed_words"))
+    found = salted.alias("l").join(hot.alias("h"), same).select("l.doc_id", "l.source", "l.line", "l.words")
+    return found.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(F.sum("words").alias("n_removed_words"), F.collect_list("line").alias("_frequent"))
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    gone = lines_to_remove(host_lines(docs))
+    joined = base_features(docs).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")), "left").drop("_id", "_source")
+    removed = F.coalesce(F.col("n_removed_words"), F.lit(0)).cast("long")
+    return joined.withColumn("n_removed_words", removed).withColumn("kept", ~F.col("base_failed") & (F.col("n_removed_words") <= MOST * F.col("n_words")))
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_removed_words and kept.
 
-    docs has doc_id, text and source (the host); other columns pass through. One row for each row of docs. A null
-    text counts as empty: it fails the base rules. Null sources are one host of their own. Rows with the same doc_id
-    and source count as one document for line frequencies and get the same n_removed_words. Empty tables give none.
+    docs has doc_id, text and source (the host); other columns pass through, unless they bear one of those names. One
+    row for each row of docs. A null text counts as empty: it fails the base rules. Null sources are one host of their
+    own. Rows with the same doc_id and source count as one document for line frequencies and get the same
+    n_removed_words. Empty tables give none.
     """
-    lines = host_lines(docs)
-    gone = removed_words(lines).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "n_removed_words")
-    joined = base_features(docs).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")), "left").drop("_id", "_source")
-    removed = F.coalesce(F.col("n_removed_words"), F.lit(0)).cast("long")
-    return joined.withColumn("n_removed_words", removed).withColumn("kept", ~F.col("base_failed") & (F.col("n_removed_words") <= MOST * F.col("n_words")))
+    return _judged(docs).drop("_frequent")
+
+
+def cleaned(docs: DataFrame) -> DataFrame:
+    """The documents that judge() keeps, with the columns of docs, and without their frequent lines."""
+    each = F.filter(F.split("text", "\n"), lambda line: ~F.array_contains("_frequent", F.md5(normal(line).cast("binary"))))
+    text = F.when(F.col("_frequent").isNull(), F.col("text")).otherwise(F.array_join(each, "\n"))
+    return _judged(docs).where("kept").withColumn("text", text).select(*docs.columns)
 
 
 SQL = rf"""

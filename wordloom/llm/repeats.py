@@ -14,7 +14,7 @@ of symbols: a shard's fragments come sorted by route, and an index ends between
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm.anchors import Texts, anchor_runs, spans_hash
-from wordloom.llm.common import slices
+from wordloom.llm.common import rest, slices
 
 #: Runs of an anchor from which on its windows are routed one by one; symbols of one index; the least id, for null.
 SPLIT, INDEX_SYMBOLS, NULL_ID = 4096, 1 << 21, -(1 << 63)
@@ -196,8 +196,8 @@ def covered(kind: Kind, texts: Texts, lists: pa.Array) -> tuple[np.ndarray, np.n
     return np.cumsum(change[:-1]) > 0, bounds, starts, ends
 
 
-def with_marks(docs: DataFrame, kind: Kind) -> DataFrame:
-    """docs (doc_id, text) with the marks of each row; null where it has none."""
-    docs = docs.select("doc_id", "text")
+def with_marks(docs: DataFrame, kind: Kind, carry: Sequence[str] = ()) -> DataFrame:
+    """docs (doc_id, text) with the marks of each row, null where it has none, and a struct `rest` of the columns `carry`."""
     found = marks(docs, kind).withColumnRenamed("doc_id", "_id")
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "text", "marks")
+    rows = docs.select("doc_id", "text", rest(carry))
+    return rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "text", "marks", "rest")

@@ -9,12 +9,13 @@ the threshold. The least document of the interval says if the window stands in a
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordloom.llm import anchors
@@ -151,32 +152,35 @@ def _grams(sums: np.ndarray, base: int) -> np.ndarray:
 WORDS = Kind(WINDOW, GRAM, _symbols, _grams, search_words, False)
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, text without the removed words and the white space after them, n_words and n_removed of every row of docs.
 
     A word goes if a window of WINDOW words that covers it also starts in a document with a smaller doc_id. A null id
     is smaller than all others; rows with equal ids do not count as earlier for each other. Null text stays null and
-    has no words; an empty table gives no rows; further columns are ignored. Texts are taken whole.
+    has no words; an empty table gives no rows. Further columns are ignored, but those named in `carry` follow the
+    others. Texts are taken whole.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            gone, bounds, starts, _ = covered(WORDS, Texts(batch.column("text")), batch.column("marks"))
+            texts = Texts(batch.column("text"))
+            gone, bounds, starts, _ = covered(WORDS, texts, batch.column("marks"))
             out, removed = [], []
-            offsets = Texts(batch.column("text")).bounds
             for k, text in enumerate(batch.column("text").to_pylist()):
                 mine = gone[bounds[k] : bounds[k + 1]]
                 removed.append(int(mine.sum()))
                 if removed[-1]:
-                    data, at = text.encode("utf-8"), starts[bounds[k] : bounds[k + 1]] - offsets[k]
+                    data, at = text.encode("utf-8"), starts[bounds[k] : bounds[k + 1]] - texts.bounds[k]
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], mine.astype(np.int8), [0]])))
-                    cut = [int(at[e]) if e < len(at) else len(data) for e in edge.tolist()]
-                    keep = [0, *cut, len(data)]
+                    keep = [0, *[int(at[e]) if e < len(at) else len(data) for e in edge.tolist()], len(data)]
                     text = b"".join(data[a:b] for a, b in zip(keep[::2], keep[1::2], strict=True)).decode("utf-8")
                 out.append(text)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(out, pa.string()), pa.array(np.diff(bounds)), pa.array(removed, pa.int64())], names=OUT.names)
+            columns = [batch.column("doc_id").cast(pa.int64()), pa.array(out, pa.string()), pa.array(np.diff(bounds)), pa.array(removed, pa.int64()), batch.column("rest")]
+            yield pa.RecordBatch.from_arrays(columns, names=[*OUT.names, "rest"])
 
-    return with_marks(docs, WORDS).mapInArrow(run, OUT)
+    marked = with_marks(docs, WORDS, carry)
+    found = marked.mapInArrow(run, T.StructType([*OUT.fields, marked.schema["rest"]]))
+    return found.select(*OUT.names, *[F.col("rest")[c].alias(c) for c in carry])
 
 
 def report(docs: DataFrame) -> DataFrame:
