@@ -108,7 +108,9 @@ def _judged(docs: DataFrame) -> DataFrame:
     gone = lines_to_remove(host_lines(docs))
     joined = base_features(docs).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")), "left").drop("_id", "_source")
     removed = F.coalesce(F.col("n_removed_words"), F.lit(0)).cast("long")
-    return joined.withColumn("n_removed_words", removed).withColumn("kept", ~F.col("base_failed") & (F.col("n_removed_words") <= MOST * F.col("n_words")))
+    depleted = F.col("n_removed_words") > MOST * F.col("n_words")
+    # In one expression over both sides of the join: a filter on base_failed alone would move below the steps that make it, and work each of them out many times.
+    return joined.withColumn("n_removed_words", removed).withColumn("kept", F.greatest(F.col("base_failed").cast("int"), depleted.cast("int")) == 0)
 
 
 def judge(docs: DataFrame) -> DataFrame:
