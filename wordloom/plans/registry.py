@@ -1,4 +1,7 @@
 """All queries of the library by name, and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from wordloom.operators import corpus
+
+MODULES = (corpus,)
+QUERIES: dict = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+ORACLES: dict = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
