@@ -1,7 +1,7 @@
 """All queries of the library by name, and their SQL twins."""
 
-from wordloom.operators import corpus
+from wordloom.operators import corpus, resolution
 
-MODULES = (corpus,)
+MODULES = (corpus, resolution)
 QUERIES: dict = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES: dict = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
