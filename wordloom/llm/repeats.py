@@ -1,21 +1,24 @@
 """Windows that stand more than once in a corpus, by routing their runs to small indexes.
 
+0. Of equal texts only that of the least id goes through the steps below; the others are copies as a whole.
 1. Every text is cut into runs (see anchors), and the runs of each anchor are counted.
-2. Runs whose anchor is found once are done. The others are joined back to their texts and become fragments. Equal
-   fragments are merged; the first occurrence stands for all of them.
+2. Runs whose anchor is found once are done. The others become fragments. Equal fragments are merged; the first
+   occurrence stands for all of them, and only its text is fetched.
 3. Fragments go to shards by anchor, so equal windows are in one shard, and an index of the shard's fragments says
-   which windows of a fragment stand earlier. Where an anchor has a great many runs, each of their windows goes by
-   its own hash instead, so no shard gathers them.
+   which windows of a fragment stand earlier. Where an anchor has a great many runs, each of their windows is a
+   fragment of its own instead; equal ones are merged before any shuffle, so no shard gathers them.
 4. What was found goes back to the occurrences of the fragment, and so to the documents.
 
-Joins are on anchors, fragments and documents, so Spark can split the frequent ones. An index holds a bounded number
-of symbols: a shard's fragments come sorted by route, and an index ends between two routes.
+Joins are on anchors, fragments and documents, so Spark can split the frequent ones; all joins with texts share one
+shuffle of them. An index holds a bounded number of symbols: a shard's fragments come sorted by anchor, and an index
+ends between two anchors.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.anchors import Texts, anchor_runs, spans_hash
+from wordloom.llm.anchors import Texts, anchor_runs, sliding_min, spans_hash
 from wordloom.llm.common import rest, slices
 
 #: Runs of an anchor from which on its windows are routed one by one; symbols of one index; the least id, for null.
@@ -50,57 +53,95 @@ def _array(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
 
 
+def copies(docs: DataFrame) -> DataFrame:
+    """doc_id and copied: digests of those of its texts that a smaller id has too."""
+    known = docs.where("text IS NOT NULL").select("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)).alias("did"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"))
+    groups = known.groupBy("digest").agg(F.min("did").alias("first"), F.max("did").alias("last")).where("first < last").select("digest", "first")
+    return known.join(groups, "digest").where("did > first").groupBy("doc_id").agg(F.collect_set("digest").alias("copied"))
+
+
+def _is_copy(batch: pa.RecordBatch) -> np.ndarray:
+    out = np.zeros(batch.num_rows, bool)
+    copied = batch.column("copied")
+    for k in np.flatnonzero(_array(pc.is_valid(copied))).tolist():
+        out[k] = md5((batch.column("text")[k].as_py() or "").encode("utf-8")).digest() in copied[k].as_py()
+    return out
+
+
 def find_runs(docs: DataFrame, kind: Kind) -> DataFrame:
-    """anchor, did, place (first window * 256 + windows) of each run; n is 0 where the document has the anchor already and that does not count."""
+    """anchor, did, place (first window * 256 + windows) of each run of texts (doc_id, text, copied) that are no copies; n is 0 where the document has the anchor already and that does not count."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices([whole.filter(pa.array(~_is_copy(whole)))], "text"):
+                sums, base, bounds, _, _ = kind.symbols(Texts(batch.column("text")))
+                anchor, at, n = anchor_runs(kind.grams(sums, base), bounds, kind.size, kind.gram)
+                row = np.searchsorted(bounds, at, "right") - 1
+                counts = np.ones(len(at), np.int32)
+                if not kind.within:
+                    order = np.lexsort((anchor, row))
+                    same = (row[order][1:] == row[order][:-1]) & (anchor[order][1:] == anchor[order][:-1])
+                    counts[order[1:][same]] = 0
+                did = _array(pc.fill_null(batch.column("doc_id"), NULL_ID))
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(did[row]), pa.array((at - bounds[row]) * 256 + n), pa.array(counts)], names=["anchor", "did", "place", "n"])
+
+    return docs.mapInArrow(run, "anchor long, did long, place long, n int")
+
+
+def _with_places(docs: DataFrame, places: DataFrame) -> DataFrame:
+    return docs.join(places, docs["doc_id"].eqNullSafe(places["_id"])).select("doc_id", "text", "places")
+
+
+def _fragments(batch: pa.RecordBatch, kind: Kind) -> tuple:
+    """For the places of a batch (doc_id, text, places): row, anchor, mark, place, big, n and first and end byte."""
+    sums, base, bounds, starts, ends = kind.symbols(Texts(batch.column("text")))
+    gram_hash = kind.grams(sums, base)
+    most = kind.size - kind.gram + 1
+    least = sliding_min(gram_hash, most) if len(gram_hash) >= most else np.zeros(0, np.uint64)
+    flat = batch.column("places").flatten()
+    row = np.repeat(np.arange(batch.num_rows), _array(pc.list_value_length(batch.column("places"))))
+    place, big, n = _array(flat.field("place")), _array(flat.field("big")), _array(flat.field("n"))
+    at, windows = place >> 8, place & 255
+    parts = np.where(big, windows, 1)
+    shift = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    row, at, windows, big, n = (np.repeat(x, parts) for x in (row, at, windows, big, n))
+    at, windows = at + shift, np.where(big, 1, windows)
+    first = bounds[row] + at
+    last = first + windows + kind.size - 1
+    there = last <= bounds[row + 1]  # rows with one id see each other's places
+    row, at, windows, big, n, first, last = (x[there] for x in (row, at, windows, big, n, first, last))
+    mark = spans_hash(sums, first, last, base).view(np.int64)
+    return row, least[first].view(np.int64), mark, at * 256 + windows, big, n, starts[first], ends[last - 1]
+
+
+def occurrences(docs: DataFrame, places: DataFrame, kind: Kind) -> DataFrame:
+    """anchor, mark (hash of the symbols), big, did and place of each fragment."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            sums, base, bounds, _, _ = kind.symbols(Texts(batch.column("text")))
-            anchor, at, n = anchor_runs(kind.grams(sums, base), bounds, kind.size, kind.gram)
-            row = np.searchsorted(bounds, at, "right") - 1
-            counts = np.ones(len(at), np.int32)
-            if not kind.within:
-                order = np.lexsort((anchor, row))
-                same = (row[order][1:] == row[order][:-1]) & (anchor[order][1:] == anchor[order][:-1])
-                counts[order[1:][same]] = 0
-            did = _array(batch.column("did"))
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(did[row]), pa.array((at - bounds[row]) * 256 + n), pa.array(counts)], names=["anchor", "did", "place", "n"])
+            row, anchor, mark, place, big, _, _, _ = _fragments(batch, kind)
+            did = _array(pc.fill_null(batch.column("doc_id"), NULL_ID))[row]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (anchor, mark, big, did, place))], names=["anchor", "mark", "big", "did", "place"])
 
-    return docs.select("did", "text").mapInArrow(run, "anchor long, did long, place long, n int")
+    return _with_places(docs, places).mapInArrow(run, "anchor long, mark long, big boolean, did long, place long")
 
 
-def fragments(docs: DataFrame, places: DataFrame, kind: Kind) -> DataFrame:
-    """anchor, mark (hash of the whole fragment), route, did, place and the fragment's bytes."""
+def texts_of(docs: DataFrame, places: DataFrame, kind: Kind) -> DataFrame:
+    """anchor, mark, did, place, n and the bytes of the fragments at `places`."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            sums, base, bounds, starts, ends = kind.symbols(Texts(batch.column("text")))
-            lists = batch.column("places")
-            flat = lists.flatten()
-            row = np.repeat(np.arange(batch.num_rows), _array(pc.list_value_length(lists)))
-            place, anchor, big = _array(flat.field("place")), _array(flat.field("anchor")), _array(flat.field("big"))
-            at, n = place >> 8, place & 255
-            parts = np.where(big, n, 1)
-            shift = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-            row, at, anchor, big, n = (np.repeat(x, parts) for x in (row, at, anchor, big, n))
-            at, n = at + shift, np.where(big, 1, n)
-            first = bounds[row] + at
-            last = first + n + kind.size - 1
-            there = last <= bounds[row + 1]  # rows with one id see each other's places
-            row, at, anchor, big, n, first, last = (x[there] for x in (row, at, anchor, big, n, first, last))
-            mark = spans_hash(sums, first, last, base).view(np.int64)
-            data, texts = Texts(batch.column("text")).data.tobytes(), []
-            for a, b in zip(starts[first].tolist(), ends[last - 1].tolist(), strict=True):
-                texts.append(data[a:b])
-            did = _array(batch.column("did"))[row]
-            columns = [anchor, mark, np.where(big, mark, anchor), did, at * 256 + n]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(texts, pa.binary())], names=["anchor", "mark", "route", "did", "place", "fragment"])
-
-    joined = docs.join(places, docs["doc_id"].eqNullSafe(places["doc_id"])).select(docs["text"], places["did"], "places")
-    return joined.mapInArrow(run, "anchor long, mark long, route long, did long, place long, fragment binary")
-
-
-def search(distinct: DataFrame, kind: Kind) -> DataFrame:
+            row, anchor, mark, place, _, n, start, end = _fragments(batch, kind)
+            data = Texts(batch.column("text")).data.tobytes()
+            fragments = [data[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+            did = _array(pc.fill_null(batch.column("doc_id"), NULL_ID))[row]
+            columns = [*map(pa.array, (anchor, mark, did, place, n)), pa.array(fragments, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "mark", "did", "place", "n", "fragment"])
+
+    return _with_places(docs, places).mapInArrow(run, "anchor long, mark long, did long, place long, n long, fragment binary")
+
+
+def search(texts: DataFrame, kind: Kind) -> DataFrame:
     """anchor, mark, first (did and place of the first occurrence) and earlier: a bit for each window of the fragment that stands earlier; some: whether any does."""
 
     def index(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -122,11 +163,11 @@ def search(distinct: DataFrame, kind: Kind) -> DataFrame:
         held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
-            route = _array(batch.column("route"))
+            route = _array(batch.column("anchor"))
             sizes = np.cumsum(_array(pc.binary_length(batch.column("fragment"))).astype(np.int64))
             cuts = np.flatnonzero(route[1:] != route[:-1]) + 1
             start = base = 0
-            if held and len(route) and held[-1].column("route")[-1].as_py() != route[0] and size >= INDEX_SYMBOLS:
+            if held and len(route) and held[-1].column("anchor")[-1].as_py() != route[0] and size >= INDEX_SYMBOLS:
                 yield index(held)
                 held, size = [], 0
             for cut in cuts.tolist():
@@ -140,36 +181,35 @@ def search(distinct: DataFrame, kind: Kind) -> DataFrame:
         if held:
             yield index(held)
 
-    return distinct.select("anchor", "mark", "route", "did", "place", "fragment", "n").mapInArrow(run, "anchor long, mark long, first_did long, first_place long, earlier binary, some boolean")
+    return texts.mapInArrow(run, "anchor long, mark long, first_did long, first_place long, earlier binary, some boolean")
 
 
-def marks(docs: DataFrame, kind: Kind) -> DataFrame:
-    """doc_id and marks: for each run of the document with windows that stand earlier, its place, the hash of its symbols, and which windows (null: all).
+def marks(docs: DataFrame, copied: DataFrame, kind: Kind) -> DataFrame:
+    """_id (of the document) and marks: for each run of the document with windows that stand earlier, its place, the hash of its symbols, and which windows (null: all).
 
     Null ids come before all others. Rows with one id are one document to the `within` rule; marks of one of them can
     be told from the others' by the hash.
     """
-    docs = docs.select("doc_id", "text")
-    known = docs.withColumn("did", F.coalesce("doc_id", F.lit(NULL_ID)))
-    runs = find_runs(known, kind)
+    runs = find_runs(docs.join(copied, docs["doc_id"].eqNullSafe(copied["_id"]), "left").select("doc_id", "text", "copied"), kind)
     repeated = runs.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", (F.col("n") >= SPLIT).alias("big"))
-    back = F.when(F.col("did") != NULL_ID, F.col("did")).alias("doc_id")
-    places = runs.select("anchor", "did", "place").join(repeated, "anchor").groupBy("did").agg(F.collect_list(F.struct("place", "anchor", "big")).alias("places")).select(back, "did", "places")
-    pieces = fragments(docs, places, kind)
-    first = F.min(F.struct("did", "place")).alias("first")
-    distinct = pieces.groupBy("anchor", "mark", "route").agg(first, F.count(F.lit(1)).alias("n"), F.first("fragment").alias("fragment"))
-    distinct = distinct.select("anchor", "mark", "route", "first.did", "first.place", "fragment", "n").repartition("route").sortWithinPartitions("route")
-    found = search(distinct, kind)
+    back = F.when(F.col("did") != NULL_ID, F.col("did"))
+    listed = lambda rows, n: rows.groupBy("did").agg(F.collect_list(F.struct("place", "big", n.alias("n"))).alias("places")).select(back.alias("_id"), "places")
+    pieces = occurrences(docs, listed(runs.select("anchor", "did", "place").join(repeated, "anchor"), F.lit(0).cast("long")), kind)
+    distinct = pieces.groupBy("anchor", "mark", "big").agg(F.min(F.struct("did", "place")).alias("first"), F.count(F.lit(1)).alias("n")).select("anchor", "mark", "big", "first.did", "first.place", "n")
+    texts = texts_of(docs, listed(distinct.where("NOT big"), F.col("n")), kind)
+    found = search(texts.repartition("anchor").sortWithinPartitions("anchor"), kind)
+    single = distinct.where("big AND n > 1").select("anchor", "mark", F.col("did").alias("first_did"), F.col("place").alias("first_place"), F.lit(None).cast("binary").alias("earlier"), F.lit(False).alias("some"))
     same = F.col("did") == F.col("first_did")
     if kind.within:
         same &= F.col("place") == F.col("first_place")
-    hits = pieces.select("anchor", "mark", "did", "place").join(found, ["anchor", "mark"]).where(~same | F.col("some"))
-    return hits.groupBy("did").agg(F.collect_list(F.struct("place", "mark", F.when(same, F.col("earlier")).alias("earlier"))).alias("marks")).select(back, "marks")
+    hits = pieces.select("anchor", "mark", "did", "place").join(found.unionAll(single), ["anchor", "mark"]).where(~same | F.col("some"))
+    return hits.groupBy("did").agg(F.collect_list(F.struct("place", "mark", F.when(same, F.col("earlier")).alias("earlier"))).alias("marks")).select(back.alias("_id"), "marks")
 
 
-def covered(kind: Kind, texts: Texts, lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Which symbols of the texts some marked window covers; bounds of the texts among the symbols; byte starts and ends of the symbols."""
-    sums, base, bounds, starts, ends = kind.symbols(texts)
+def covered(kind: Kind, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which symbols of the batch's texts some marked window covers; bounds of the texts among the symbols; byte starts and ends of the symbols."""
+    sums, base, bounds, starts, ends = kind.symbols(Texts(batch.column("text")))
+    lists = batch.column("marks")
     change = np.zeros(int(bounds[-1]) + 1, np.int64)
     flat = lists.flatten()
     if len(flat):
@@ -193,11 +233,16 @@ def covered(kind: Kind, texts: Texts, lists: pa.Array) -> tuple[np.ndarray, np.n
             at, k = np.nonzero(window)
             np.add.at(change, first[some][at] + k, 1)
             np.add.at(change, first[some][at] + k + kind.size, -1)
+    copy = np.flatnonzero(_is_copy(batch) & (np.diff(bounds) >= kind.size))
+    np.add.at(change, bounds[copy], 1)
+    np.add.at(change, bounds[copy + 1], -1)
     return np.cumsum(change[:-1]) > 0, bounds, starts, ends
 
 
 def with_marks(docs: DataFrame, kind: Kind, carry: Sequence[str] = ()) -> DataFrame:
-    """docs (doc_id, text) with the marks of each row, null where it has none, and a struct `rest` of the columns `carry`."""
-    found = marks(docs, kind).withColumnRenamed("doc_id", "_id")
-    rows = docs.select("doc_id", "text", rest(carry))
-    return rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "text", "marks", "rest")
+    """docs (doc_id, text) with `marks` and `copied` of each row, null where it has none, and a struct `rest` of the columns `carry`."""
+    texts = docs.select("doc_id", "text", *([rest(carry)] if carry else []))
+    copied = copies(docs).withColumnRenamed("doc_id", "_id")
+    rows = texts.join(copied, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    found = marks(docs.select("doc_id", "text"), copied, kind)
+    return rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "text", "copied", "marks", "rest" if carry else rest(carry))

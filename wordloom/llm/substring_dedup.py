@@ -24,7 +24,7 @@ from wordloom.llm.common import slices
 from wordloom.llm.repeats import Kind, covered, with_marks
 
 #: Words of a window and of the grams that may be its anchor.
-WINDOW, GRAM = 13, 5
+WINDOW, GRAM = 13, 4
 #: Windows that are searched at once.
 AT_ONCE = 1 << 18
 
@@ -164,7 +164,7 @@ def dedup(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             texts = Texts(batch.column("text"))
-            gone, bounds, starts, _ = covered(WORDS, texts, batch.column("marks"))
+            gone, bounds, starts, _ = covered(WORDS, batch)
             out, removed = [], []
             for k, text in enumerate(batch.column("text").to_pylist()):
                 mine = gone[bounds[k] : bounds[k + 1]]
@@ -188,7 +188,7 @@ def report(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            gone, bounds, _, _ = covered(WORDS, Texts(batch.column("text")), batch.column("marks"))
+            gone, bounds, _, _ = covered(WORDS, batch)
             digests, removed = [], []
             for k, text in enumerate(batch.column("text").to_pylist()):
                 mine = gone[bounds[k] : bounds[k + 1]]

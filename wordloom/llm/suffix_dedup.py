@@ -160,7 +160,7 @@ BYTES = Kind(WINDOW, GRAM, _symbols, _grams, search_bytes, True)
 def _judged(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes], np.ndarray, list[int], list[int]]]:
     for batch in slices(batches, "text"):
         texts = Texts(batch.column("text"))
-        gone, bounds, _, _ = covered(BYTES, texts, batch.column("marks"))
+        gone, bounds, _, _ = covered(BYTES, batch)
         kept, removed, spans = [], [], []
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             mine = gone[a:b]
