@@ -1,7 +1,8 @@
 """All queries of the library by name, and their SQL twins."""
 
-from wordloom.operators import corpus, resolution
+from wordloom.operators import corpus, graphs, resolution
+from wordloom.streaming import events
 
-MODULES = (corpus, resolution)
+MODULES = (corpus, graphs, resolution, events)
 QUERIES: dict = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES: dict = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
