@@ -245,15 +245,24 @@ def _pass(docs: DataFrame, items: tuple, window: int, clean: bool) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*OUT.fields, docs.schema["rest"]]))
 
 
+def unpacked(found: DataFrame, names: Sequence[str], carry: Sequence[str]) -> DataFrame:
+    """The columns `names` of found, and those in its `rest`; a carried column takes the place of one of the same name."""
+    return found.select(*[n for n in names if n not in carry], *[F.col("rest")[c].alias(c) for c in carry])
+
+
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, clean: bool = False, pass_words: int = PASS_WORDS, carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, n_words, hit (runs of word places, from and to), items (ids as sorted strings), text for every row of docs.
 
     With `clean`, text is returned without the hit runs. Null and empty texts have no words and no hits; a null text
     stays null. Rows with equal ids are each judged by themselves. Items without words match nothing; an item with a
     null id marks words but is not listed; equal ids are listed once. Empty tables give no rows, or rows without hits.
-    Further columns are ignored, but those named in `carry` follow the others. The benchmark is taken in passes of about `pass_words` words, and what is sent to
+    Further columns are ignored, but those named in `carry` follow the others, or take the place of one of the same name. The benchmark is taken in passes of about `pass_words` words, and what is sent to
     the executors is one pass; between passes the documents are written.
     """
+    return unpacked(_passes(docs, benchmark, window, clean, pass_words, carry), OUT.names, carry)
+
+
+def _passes(docs: DataFrame, benchmark: DataFrame, window: int, clean: bool, pass_words: int, carry: Sequence[str]) -> DataFrame:
     sized = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text"))
     sized = sized.withColumn("size", F.coalesce(F.length("text"), F.lit(0)) / 2 + 1)
     passes = max(1, math.ceil((sized.agg(F.sum("size")).first()[0] or 0) / (3 * pass_words)))
@@ -264,13 +273,13 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, clean: boo
         if k:
             out = written(out, "decontaminated")
         out = _pass(out.select("doc_id", "text", "hit", "items", "rest"), items, window, clean and k == passes - 1)
-    return out.select(*OUT.names, *[F.col("rest")[c].alias(c) for c in carry])
+    return out
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, text without the hit spans, and `carry`, of the rows of which at most MOST of the words are hit; see find()."""
-    found = find(docs, benchmark, clean=True, carry=carry).where(n_hit() <= MOST * F.col("n_words"))
-    return found.select("doc_id", "text", *carry)
+    found = _passes(docs, benchmark, WINDOW, True, PASS_WORDS, carry).where(n_hit() <= MOST * F.col("n_words"))
+    return unpacked(found, ["doc_id", "text"], carry)
 
 
 def n_hit() -> F.Column:

@@ -126,9 +126,12 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """The documents that judge() keeps, with the columns of docs, and without their frequent lines."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "source")]
+    rows = docs.select("doc_id", "text", "source", F.struct(*others).alias("_rest") if others else F.lit(0).alias("_rest"))
     each = F.filter(F.split("text", "\n"), lambda line: ~F.array_contains("_frequent", F.md5(normal(line).cast("binary"))))
     text = F.when(F.col("_frequent").isNull(), F.col("text")).otherwise(F.array_join(each, "\n"))
-    return _judged(docs).where("kept").withColumn("text", text).select(*docs.columns)
+    kept = _judged(rows).where("kept").withColumn("text", text)
+    return kept.select(*[F.col("_rest")[c].alias(c) if c in others else F.col(c) for c in docs.columns])
 
 
 SQL = rf"""

@@ -158,7 +158,7 @@ def dedup(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     A word goes if a window of WINDOW words that covers it also starts in a document with a smaller doc_id. A null id
     is smaller than all others; rows with equal ids do not count as earlier for each other. Null text stays null and
     has no words; an empty table gives no rows. Further columns are ignored, but those named in `carry` follow the
-    others. Texts are taken whole.
+    others, or take the place of one of the same name. Texts are taken whole.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +180,7 @@ def dedup(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
 
     marked = with_marks(docs, WORDS, carry)
     found = marked.mapInArrow(run, T.StructType([*OUT.fields, marked.schema["rest"]]))
-    return found.select(*OUT.names, *[F.col("rest")[c].alias(c) for c in carry])
+    return found.select(*[n for n in OUT.names if n not in carry], *[F.col("rest")[c].alias(c) for c in carry])
 
 
 def report(docs: DataFrame) -> DataFrame:
