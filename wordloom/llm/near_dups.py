@@ -7,7 +7,8 @@ the likelihood of every similarity; pairs that are too unlikely to reach the thr
 shingle by shingle.
 
 Equal sets are one class from the start. In a bucket every class is first compared with the bucket's least one. What
-that links is one component; then only classes of different components that share a bucket are compared, in blocks.
+that links is one component; then only classes of different components that share a bucket are compared, in blocks
+that hold the texts. A block reports as many links as join its components, not every pair.
 """
 
 from __future__ import annotations
@@ -29,8 +30,9 @@ from wordloom.llm.common import slices, written
 SHINGLE, PERCENT = 5, 85
 #: Registers, those of a band, and the sketch's base and rate; at most LIMIT + 1.
 REGISTERS, BAND, BASE, RATE, LIMIT = 96, 4, 1.001, 20.0, (1 << 16) - 2
-#: Log-likelihood by which a similarity at the threshold may stay behind the likeliest; members of a bucket in a block.
-MARGIN, BLOCK = 16.0, 256
+#: Log-likelihood by which a similarity at the threshold may stay behind the likeliest; members of a bucket in a block (two blocks meet);
+#: pairs from which on a block counts common shingles by products of matrices, and columns of those.
+MARGIN, BLOCK, MANY, COLUMNS = 16.0, 128, 64, 8192
 
 SKETCH = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("registers", T.BinaryType())]
@@ -173,31 +175,79 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def across(members: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket (key, node, n) and may reach the threshold; each pair in its first bucket."""
+def common_shingles(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The size of the intersection of sets a[k] and b[k]."""
+    if len(a) < MANY:
+        return np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a, b, strict=True)], np.int64)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+    total = np.zeros((len(sets), len(sets)), np.float64)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        low, high = np.searchsorted(column, [start, start + COLUMNS])
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[row[low:high], column[low:high] - start] = 1
+        total += part @ part.T
+    return total[a, b].astype(np.int64)
+
+
+def joining(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> list[int]:
+    """Which of the links a[k], b[k] join components that no earlier one has joined; equal labels are joined already."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    out = []
+    for k, (x, y) in enumerate(zip(label[a].tolist(), label[b].tolist(), strict=True)):
+        if (x := root(x)) != (y := root(y)):
+            up[max(x, y)] = min(x, y)
+            out.append(k)
+    return out
+
+
+def across(members: DataFrame, nodes: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) of different components that share a bucket (key, node, n), as many as join those that are linked."""
     known = members.where("n > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed_keys = known.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
     rows = known.join(mixed_keys, "key").join(nodes, "node").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    rows = rows.join(docs.select(F.col("doc_id").alias("node"), "text"), "node")
     rows = rows.withColumn("i", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), "i", "node", "label", "n_shingles", "registers")
+    rows = rows.select("key", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), "i", "node", "label", "n_shingles", "registers", "text")
     rows = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
 
     def compare(group: pa.Table) -> pa.RecordBatch:
         node, label, block, n = (group.column(x).to_numpy() for x in ("node", "label", "i", "n_shingles"))
         registers = as_registers(group.column("registers"))
         keys = band_keys(registers).view(np.int64)
-        key = group.column("key")[0].as_py()
         a, b = np.nonzero((label[:, None] != label[None, :]) & (node[:, None] < node[None, :]))
         if group.column("low")[0].as_py() != group.column("high")[0].as_py():
             a, b = a[block[a] != block[b]], b[block[a] != block[b]]
-        out: list[pa.Array] = [pa.array([], pa.int64())] * 2
+        if len(a):  # pairs count in their first bucket only
+            same = np.zeros(len(a), np.int64)
+            for k in range(keys.shape[1] - 1, -1, -1):
+                same[keys[a, k] == keys[b, k]] = k
+            first = keys[a, same] == group.column("key")[0].as_py()
+            a, b = a[first], b[first]
         if len(a):
-            same = keys[a] == keys[b]
-            x, y = registers[a], registers[b]
-            first = keys[a, same.argmax(1)] == key
-            keep = first & may_reach(n[a], n[b], (x > y).sum(1), (x < y).sum(1))
-            out = [pa.array(node[a[keep]]), pa.array(node[b[keep]])]
-        return pa.RecordBatch.from_arrays(out, names=["a", "b"])
+            more, less = (np.concatenate([f(registers[a[k : k + 4096]], registers[b[k : k + 4096]]).sum(1) for k in range(0, len(a), 4096)]) for f in (np.greater, np.less))
+            keep = may_reach(n[a], n[b], more, less)
+            a, b = a[keep], b[keep]
+        if len(a):
+            used, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+            sets = shingle_sets(group.column("text").combine_chunks().take(pa.array(used)))
+            common = common_shingles(sets, place[: len(a)], place[len(a) :])
+            sizes = np.array([len(x) for x in sets])
+            linked = 100 * common >= PERCENT * (sizes[place[: len(a)]] + sizes[place[len(a) :]] - common)
+            a, b = a[linked], b[linked]
+            some = joining(a, b, label)
+            a, b = a[some], b[some]
+        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -238,10 +288,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = members.where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     links = written(confirmed(written(likely(pairs, nodes), "likely"), docs), "hubs")
     labels = components(links)
-    more = written(across(members.select("key", "node", "n"), nodes, labels), "across")
+    more = written(across(members.select("key", "node", "n"), nodes, labels, docs), "across")
     if not more.isEmpty():
-        links = links.unionAll(confirmed(more, docs))
-        labels = components(links)
+        labels = components(links.unionAll(more))
     classed = sketches.join(classes.select("digest", "node"), "digest", "left")
     out = classed.join(labels, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "node", "doc_id"))
