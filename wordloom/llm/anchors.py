@@ -53,6 +53,10 @@ def spans_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int
     return mixed((sums[ends] - sums[starts]) * powers(inverse, len(sums))[starts] + (ends - starts).astype(np.uint64))
 
 
+#: Bits of a gram's hash. Few enough to shuffle cheaply, and so many that what is found once rarely looks repeated.
+GRAM_BITS = 48
+
+
 def grams(sums: np.ndarray, size: int, base: int) -> np.ndarray:
     """The hash of the `size` symbols from each place on."""
     n = max(0, len(sums) - size)

@@ -146,7 +146,7 @@ def _symbols(texts: Texts) -> tuple:
 
 
 def _grams(sums: np.ndarray, base: int) -> np.ndarray:
-    return anchors.grams(sums, GRAM, base)
+    return anchors.grams(sums, GRAM, base) >> np.uint64(64 - anchors.GRAM_BITS)
 
 
 WORDS = Kind(WINDOW, GRAM, _symbols, _grams, search_words, False)
