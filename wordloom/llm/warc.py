@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from wordloom.llm.common import slices
 
 #: Least payload that may be a revisit; bytes of html in a shard and compressed bytes of a file; bins that shards are made of.
-LEAST_REVISIT, SHARD_BYTES, FILE_BYTES, BINS = 1000, 64 << 20, 32 << 20, 4096
+LEAST_REVISIT, SHARD_BYTES, FILE_BYTES, BINS = 1000, 32 << 20, 32 << 20, 4096
 DATE, HTTP = "2024-01-01T00:00:00Z", "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ_BYTES = 1 << 20
@@ -43,18 +43,22 @@ RECORDS = T.StructType(
 )
 
 
-def with_revisits(pages: DataFrame) -> DataFrame:
-    """page_id, url, html (null for revisits), size, digest and refers_to: the greatest page id with an equal long payload, if that is another."""
+def digests(pages: DataFrame) -> DataFrame:
+    """page_id, url, html, and size and digest of the payload."""
     text = F.coalesce("html", F.lit(""))
-    sized = pages.select("page_id", "url", "html", F.octet_length(text).cast("long").alias("size"), F.sha1(text.cast("binary")).alias("digest"))
-    last = sized.where(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "last")
-    earlier = (F.col("page_id") != F.col("last")) | F.col("page_id").isNull() & F.col("last").isNotNull()
-    joined = sized.join(last, "digest", "left").withColumn("refers_to", F.when(earlier, F.col("last")))
-    return joined.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), "size", "digest", "refers_to")
+    return pages.select("page_id", "url", "html", F.octet_length(text).cast("long").alias("size"), F.sha1(text.cast("binary")).alias("digest"))
 
 
-def with_shards(records: DataFrame, pages: DataFrame, shard_bytes: int) -> DataFrame:
-    """records with `shard`: equal-width bins of page ids, joined until they hold shard_bytes of html. Null ids come first."""
+def revisits(sized: DataFrame) -> DataFrame:
+    """page_id, digest and refers_to of the pages that revisit another: the greatest page id with an equal long payload."""
+    long = sized.where(F.col("size") >= LEAST_REVISIT).select("page_id", "digest")
+    last = long.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "refers_to")
+    earlier = (F.col("page_id") != F.col("refers_to")) | F.col("page_id").isNull() & F.col("refers_to").isNotNull()
+    return long.join(last, "digest").where(earlier).select("page_id", "digest", "refers_to").distinct()
+
+
+def with_shards(records: DataFrame, pages: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
+    """records with `shard`, and how many shards there are: equal-width bins of page ids, joined until they hold shard_bytes of html. Null ids come first."""
     span = pages.agg(F.min("page_id"), F.max("page_id")).first()
     low, width = float(span[0] or 0), float((span[1] or 0) - (span[0] or 0) + 1)
     number = F.coalesce(F.least(F.floor((F.col("page_id").cast("double") - low) / width * BINS), F.lit(BINS - 1)), F.lit(-1)).cast("int")
@@ -64,7 +68,7 @@ def with_shards(records: DataFrame, pages: DataFrame, shard_bytes: int) -> DataF
         shard_of.append((row[0], total // shard_bytes))
         total += row[1]
     bins = records.sparkSession.createDataFrame(shard_of, "bin int, shard long")
-    return records.withColumn("bin", number).join(F.broadcast(bins), "bin").drop("bin")
+    return records.withColumn("bin", number).join(F.broadcast(bins), "bin").drop("bin"), total // shard_bytes + 1
 
 
 def record_id(page_id: int | None, digest: str) -> str:
@@ -121,21 +125,30 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, file_by
     store, path = fs.FileSystem.from_uri(folder)
     store.create_dir(path, recursive=True)
     pages = pages.select("page_id", "url", "html")
-    rows = with_shards(with_revisits(pages), pages, shard_bytes).repartition("shard").sortWithinPartitions("shard", "page_id", "digest", "url")
+    sized = digests(pages)
+    # What a page refers to travels as a row of its own before the page's, so that payloads are shuffled once only.
+    nothing = F.lit(None).cast("string")
+    notes = revisits(sized).select("page_id", nothing.alias("url"), nothing.alias("html"), F.lit(None).cast("long").alias("size"), "digest", "refers_to")
+    rows, shards = with_shards(sized.withColumn("refers_to", F.lit(None).cast("long")).unionAll(notes), pages, shard_bytes)
+    rows = rows.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", F.col("refers_to").isNull(), "url")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = fs.FileSystem.from_uri(folder)
-        open_file, shard, number, done = None, None, 0, []
+        open_file, shard, number, done, note = None, None, 0, [], None
         for whole in batches:
             for batch in slices([whole], "html"):
                 for r in batch.to_pylist():
+                    if r["size"] is None:
+                        note = r
+                        continue
+                    refers_to = note["refers_to"] if note and (note["page_id"], note["digest"]) == (r["page_id"], r["digest"]) else None
                     if r["shard"] != shard or open_file and open_file.bytes >= file_bytes:
                         done += [open_file.close()] if open_file else []
                         number = number + 1 if r["shard"] == shard else 0
                         shard = r["shard"]
                         open_file = _File(store, path, f"pages-{shard:08d}-{number:05d}.warc.gz")
-                    payload = b"" if r["refers_to"] is not None else (r["html"] or "").encode("utf-8")
-                    open_file.add(record(r["page_id"], r["url"], payload, r["size"], r["digest"], r["refers_to"]))
+                    payload = b"" if refers_to is not None else (r["html"] or "").encode("utf-8")
+                    open_file.add(record(r["page_id"], r["url"], payload, r["size"], r["digest"], refers_to))
         done += [open_file.close()] if open_file else []
         columns = zip(*done, strict=True) if done else [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=MANIFEST.names)
