@@ -9,8 +9,8 @@ import duckdb
 import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
-sys.path[:0] = [str(ROOT), "/opt", "/opt/tokenizers"]
-os.environ["PYTHONPATH"] = os.pathsep.join([str(ROOT), "/opt", "/opt/tokenizers", os.environ.get("PYTHONPATH", "")])
+sys.path.insert(0, str(ROOT))
+os.environ["PYTHONPATH"] = os.pathsep.join([str(ROOT), os.environ.get("PYTHONPATH", "")])
 SMALL = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
