@@ -118,3 +118,13 @@ def test_stages(spark, tmp_path):
     for texts in (TEXTS, []):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, docs_of(spark, texts), str(tmp_path)).collect()
+
+
+def test_lines_that_most_of_a_host_shares(spark):
+    """Sixty documents of ten shared and two own lines lose the shared ones; sixty copies of one document lose nothing."""
+    known = sorted((" ".join(f"{c}{k}" for c in "abcdefg") for k in range(2000)), key=lambda x: hashlib.md5(x.encode()).hexdigest())
+    own = [[f"own{j}n{k} x{j}n{k} y{j}n{k}" for j in range(2)] for k in range(60)]
+    rows = [(k, "\n".join([*known[:10], *own[k]]), "boiler") for k in range(60)] + [(100 + k, "\n".join(known[10:22]), "copies") for k in range(60)]
+    found = quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {(r.source, r.n_removed_words, r.base_failed, r.kept) for r in found if r.source == "boiler"} == {("boiler", 70, False, False)}
+    assert {r.n_removed_words for r in found if r.source == "copies"} == {0}
