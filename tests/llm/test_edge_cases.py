@@ -128,3 +128,15 @@ def test_lines_that_most_of_a_host_shares(spark):
     found = quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     assert {(r.source, r.n_removed_words, r.base_failed, r.kept) for r in found if r.source == "boiler"} == {("boiler", 70, False, False)}
     assert {r.n_removed_words for r in found if r.source == "copies"} == {0}
+
+
+def test_trust_reaches_far_and_does_not_depend_on_size(spark):
+    """A host twelve links before a blocked seed, and one of a hundred before a one-page seed among a million blocked pages."""
+    link = lambda to: f"<a href=http://{to}/>"
+    chain = [(k, f"http://far{k}.biz/", link(f"far{k - 1}.biz" if k > 1 else "end.net")) for k in range(1, 13)]
+    rows = [*chain, (20, "http://end.net/", ""), (21, "http://one.net/", ""), (22, "http://clean.biz/", ""), *((100 + k, f"http://near{k}.biz/", link("one.net")) for k in range(100))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    many = spark.range(1000, 1_001_000).selectExpr("id AS page_id", "'http://big.net/' AS url", "'' AS html")
+    verdicts = {r.page_id: (r.verdict, r.distrust) for r in url_trust.judge(pages.unionAll(many)).where("page_id < 1000").collect()}
+    assert all(verdicts[k][1] is not None and verdicts[k][0] == "block" for k in range(1, 13))
+    assert {verdicts[100 + k][0] for k in range(100)} == {"block"} and verdicts[22] == ("allow", None)

@@ -17,8 +17,11 @@ from wordloom.llm.common import written
 
 #: (host, path, verdict): fits the host and its subdomains where the url's path starts with the rule's.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: Units of mass in all, percent that follows links, rounds, and the least distrust that blocks a host.
+#: Units of mass in all, percent that follows links; rounds and least distrust of a blocked host in the SQL alone, which stops early.
 UNITS, DAMPING, ROUNDS, LEAST = 10**12, 85, 8, 10**4
+#: Parts of a unit that mass is counted in; a host is blocked from the FEWth part of what one page of a blocked seed starts with; rounds end
+#: when all hosts together have gained no more than the NEARth part of that since the last written table.
+FINE, FEW, NEAR = 10**6, 1000, 10_000
 #: Parts that a host's join rows are split into; rounds after which a table is written.
 SALTS, CUT = 16, 4
 
@@ -51,27 +54,41 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def seeds(judged: DataFrame) -> DataFrame:
-    """(kind, host, mass): the units that each seed starts with, in proportion to its pages of that verdict."""
+    """(kind, host, mass, total): the units that each seed starts with, in proportion to its pages of that verdict, and all such pages."""
     hosts = judged.where("host != ''").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") == "allow").alias("a"), F.count_if(F.col("verdict") == "block").alias("b"))
     kinds = F.array(F.struct(F.lit("trust").alias("kind"), F.col("a").alias("n")), F.struct(F.lit("distrust").alias("kind"), F.col("b").alias("n")))
     each = hosts.select("host", F.col("n").alias("pages"), F.explode(kinds).alias("s")).select("host", "s.kind", "s.n", "pages").where("2 * n > pages")
     total = each.groupBy("kind").agg(F.sum("n").alias("total"))
-    return each.join(F.broadcast(total), "kind").select("kind", "host", F.expr(f"cast({UNITS} as decimal(38,0)) * n div total").cast("long").alias("mass"))  # two rows
+    return each.join(F.broadcast(total), "kind").select("kind", "host", F.expr(f"cast({UNITS} as decimal(38,0)) * n div total").cast("long").alias("mass"), "total")  # two rows
+
+
+def page_mass(start: DataFrame) -> dict[str, int]:
+    """What one page of a seed starts with, in parts of a unit, by kind."""
+    return {r.kind: UNITS * FINE // r.total for r in start.select("kind", "total").distinct().collect()}  # two rows
 
 
 def spread(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """(kind, host, mass) after ROUNDS rounds; trust goes along the edges, distrust against them."""
+    """(kind, host, mass), mass in parts of a unit; trust goes along the edges, distrust against them.
+
+    Mass only grows from round to round, so it settles. What is still to come when the rounds end is at most 1.1 times
+    what the last CUT rounds added: the sum of the later powers of DAMPING.
+    """
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst").unionAll(edges.select(F.lit("distrust"), F.col("dst"), F.col("src")))
     degree = both.groupBy("kind", "src").agg(F.count(F.lit(1)).alias("degree"))
     both = written(both.join(degree, ["kind", "src"]), "edges")
-    base = start.select("kind", "host", F.expr(f"mass * {100 - DAMPING} div 100").alias("mass"))
-    mass = start
-    for done in range(1, ROUNDS + 1):
-        moved = mass.withColumnRenamed("host", "src").join(both, ["kind", "src"]).select("kind", F.col("dst").alias("host"), F.expr(f"mass * {DAMPING} div 100 div degree").alias("mass"))
-        mass = base.unionAll(moved).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
-        if done % CUT == 0:
-            mass = written(mass, "mass")
-    return mass
+    near = {kind: mass // NEAR for kind, mass in page_mass(start).items()}
+    base = start.select("kind", "host", F.expr(f"mass * {FINE} div 100 * {100 - DAMPING}").alias("mass"))
+    total = lambda df: {r.kind: r.m for r in df.groupBy("kind").agg(F.sum("mass").alias("m")).collect()}
+    mass, before = base, total(base)
+    while True:
+        for _ in range(CUT):
+            moved = mass.withColumnRenamed("host", "src").join(both, ["kind", "src"]).select("kind", F.col("dst").alias("host"), F.expr(f"mass div 100 * {DAMPING} div degree").alias("mass"))
+            mass = base.unionAll(moved).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
+        mass = written(mass, "mass")
+        now = total(mass)
+        if all(now[k] - before[k] <= near[k] for k in now):
+            return mass
+        before = now
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -79,8 +96,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> Da
 
     One row for each row of pages (page_id, url, html), repeated rows and null ids included. A url that is null or has
     no :// has an empty host and path, fits no rule and is allowed. Null html has no links. An empty table gives no
-    rows; further columns are ignored. Where no rule fits, a host is blocked if its distrust is LEAST units or more
-    and exceeds its trust.
+    rows; further columns are ignored. Where no rule fits, a host is blocked if its distrust exceeds its trust and is
+    at least the FEWth part of what one page of a blocked seed starts with, however many seeds there are.
     """
     host, path = split_url(F.col("url"))
     judged = pages.select("page_id", host.alias("host"), path.alias("path"))
@@ -92,8 +109,10 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> Da
     hosts = hosts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     judged = judged.withColumn("s", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
     joined = judged.join(hosts, (F.col("host") == F.col("h")) & (F.col("s") == F.col("salt")), "left")
-    bad = (F.coalesce("distrust", F.lit(0)) >= LEAST) & (F.coalesce("distrust", F.lit(0)) > F.coalesce("trust", F.lit(0)))
-    return joined.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.when(bad, "block").otherwise("allow")).alias("verdict"), "trust", "distrust")
+    least = page_mass(start).get("distrust", 0) // FEW
+    bad = (F.coalesce("distrust", F.lit(0)) >= least) & (F.coalesce("distrust", F.lit(0)) > F.coalesce("trust", F.lit(0)))
+    units = [F.expr(f"{c} div {FINE}").alias(c) for c in ("trust", "distrust")]
+    return joined.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.when(bad, "block").otherwise("allow")).alias("verdict"), *units)
 
 
 def _sql() -> str:
