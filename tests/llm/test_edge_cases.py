@@ -140,3 +140,10 @@ def test_trust_reaches_far_and_does_not_depend_on_size(spark):
     verdicts = {r.page_id: (r.verdict, r.distrust) for r in url_trust.judge(pages.unionAll(many)).where("page_id < 1000").collect()}
     assert all(verdicts[k][1] is not None and verdicts[k][0] == "block" for k in range(1, 13))
     assert {verdicts[100 + k][0] for k in range(100)} == {"block"} and verdicts[22] == ("allow", None)
+
+
+def test_attributes_are_read_one_by_one():
+    for attributes in ('href="/the-hidden-lake"', 'title="The hidden valley"', 'data-hidden="false"', 'href="/x?role=search"', "title='a class=ad b'", "href=/hidden", 'data-class="ad"'):
+        assert html_text.main_text(f"<article><p>One, two.</p><p><span {attributes}>Three.</span></p></article>") == "One, two.\n\nThree.", attributes
+    for attributes in ("hidden", "HIDDEN=''", 'title="x" hidden', 'role = "search"', "class=ad", "href=/x id='comments'", 'aria-hidden="true"', 'style="display: none"'):
+        assert html_text.main_text(f"<article><p>One, two.</p><p><span {attributes}>Three.</span></p></article>") == "One, two.", attributes
