@@ -147,3 +147,11 @@ def test_attributes_are_read_one_by_one():
         assert html_text.main_text(f"<article><p>One, two.</p><p><span {attributes}>Three.</span></p></article>") == "One, two.\n\nThree.", attributes
     for attributes in ("hidden", "HIDDEN=''", 'title="x" hidden', 'role = "search"', "class=ad", "href=/x id='comments'", 'aria-hidden="true"', 'style="display: none"'):
         assert html_text.main_text(f"<article><p>One, two.</p><p><span {attributes}>Three.</span></p></article>") == "One, two.", attributes
+
+
+def test_all_content_of_a_page_is_returned():
+    long, short = "Text, and more. " * 60, "A second article, of its own. " * 5
+    assert html_text.main_text(f"<main><article><p>{long}</p></article><article><p>{short}</p></article></main>") == f"{long.strip()}\n\n{short.strip()}"
+    assert html_text.main_text(f"<body><div><p>{short}</p></div><div><p>{long}</p><p>{long}</p></div></body>") == "\n\n".join([short.strip(), long.strip(), long.strip()])
+    linked = "One, two, <a href=/x>three, four, five, six, seven.</a>"
+    assert "seven." in html_text.main_text(f"<body><div><p>{long}</p><p>{linked}</p><p>{long}</p></div></body>")

@@ -2,8 +2,8 @@
 
 A page is read into text nodes, each with the path of tags from the root to it. For each path the text length and
 the punctuation of its nodes are added up and divided by the nodes. Over the nodes in page order both ratios are
-smoothed and fused into one score; the paths above a threshold hold the content. The element that holds the
-content nodes' text is the article, and its blocks are returned. Elements that by their tag, role or class are
+smoothed and fused into one score; the paths above a threshold hold the content. Where a page has article or main
+tags, the outermost of them that hold any content are returned whole, elsewhere every block that holds content. Elements that by their tag, role or class are
 menus, adverts, forms, comments and the like are left out from the start, so they cannot win.
 """
 
@@ -39,7 +39,7 @@ HINT = re.compile(
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，！？¿¡]")
 #: Weights of the nodes around a node, and the part of the text-weighted mean score that a content path must reach.
-SMOOTHING, THRESHOLD, HOLDS = (1, 2, 3, 2, 1), 0.1, 0.8
+SMOOTHING, THRESHOLD = (1, 2, 3, 2, 1), 0.1
 
 OUT = T.StructType(
     [T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
@@ -141,22 +141,11 @@ def content_of(nodes: list[Node], tags: dict[int, str]) -> list[Node]:
     for n, score in zip(told, fused, strict=True):
         by_path.setdefault(n.path, []).append(score)
     chosen = [n for n in told if np.mean(by_path[n.path]) >= least] or told
-    held: dict[int, int] = {}
-    for n in chosen:
-        for k in n.elements:
-            held[k] = held.get(k, 0) + len(n.text)
-    total = sum(len(n.text) for n in chosen)
-    holders = [k for k, size in held.items() if size >= HOLDS * total and tags[k] not in INLINE and tags[k] != "p"]
-    outer = [k for k in holders if tags[k] in ("article", "main")]
-    holder = max(outer) if outer else max(holders, default=-1)
-    article = [n for n in nodes if holder < 0 or holder in n.elements]
     if marked:
-        return [n for n in article if any(tags[k] in ("article", "main") for k in n.elements)]
-    size, linked = {}, {}
-    for n in article:
-        size[n.block] = size.get(n.block, 0) + len(n.text.strip())
-        linked[n.block] = linked.get(n.block, 0) + len(n.text.strip()) * n.in_link
-    return [n for n in article if linked[n.block] * 2 <= size[n.block]]
+        kept = {next(k for k in n.elements if tags[k] in ("article", "main")) for n in chosen}
+        return [n for n in nodes if not kept.isdisjoint(n.elements)]
+    blocks = {n.block for n in chosen}
+    return [n for n in nodes if n.block in blocks]
 
 
 def main_text(page: str | None) -> str:
