@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from wordloom.llm.common import SLICE_BYTES
+
 #: Odd multipliers of the rolling hashes of bytes and of words, and a mixer's.
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -21,6 +23,8 @@ SEPARATOR[[0x20, 9, 10, 11, 12, 13]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
+#: The longest table of powers that a Python worker keeps; longer ones live as long as the text they are for.
+KEPT_POWERS = SLICE_BYTES + 1
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -31,7 +35,8 @@ def powers(base: int, n: int) -> np.ndarray:
         known = np.full(max(n + 1, 1 << 16), base, np.uint64)
         known[0] = 1
         np.multiply.accumulate(known, out=known)
-        _powers[base] = known
+        if len(known) <= KEPT_POWERS:
+            _powers[base] = known
     return known[: n + 1]
 
 

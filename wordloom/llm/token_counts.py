@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re as stdlib_re
 from bisect import bisect_right
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
@@ -22,7 +22,7 @@ from wordloom.llm.bpe_vocabulary import Vocabulary, from_json, piece_finder
 from wordloom.llm.common import slices
 
 #: How many distinct pieces a task remembers (twice over), and the longest that it does, in bytes.
-CACHE_PIECES, CACHE_PIECE_BYTES = 150_000, 64
+CACHE_PIECES, CACHE_PIECE_BYTES = 100_000, 64
 
 OUT = T.StructType(
     [
@@ -35,7 +35,7 @@ OUT = T.StructType(
 
 
 class PrefixCounts(dict):
-    """Piece to its counts: a tuple whose entry i is the number of tokens of the first i bytes of the piece."""
+    """Piece to its counts: entry i is the number of tokens of the first i bytes of the piece. Those remembered are bytes, as no count exceeds CACHE_PIECE_BYTES."""
 
     def __init__(self, vocabulary: Vocabulary, special: list[str], pattern: str):
         super().__init__()
@@ -43,11 +43,12 @@ class PrefixCounts(dict):
         self.special = stdlib_re.compile("(" + "|".join(map(stdlib_re.escape, special)) + ")") if special else None
         self.special_strings = set(special)
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str) -> Sequence[int]:
         found = self.older.get(piece)
         if found is None:
-            found = tuple(self.prefix_counts(piece.encode("utf-8")))
+            found = self.prefix_counts(piece.encode("utf-8"))
         if len(found) <= CACHE_PIECE_BYTES + 1:
+            found = bytes(found)
             if len(self) >= CACHE_PIECES:
                 self.older = dict(self)
                 self.clear()
