@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 from wordloom.llm.anchors import BYTE_BASE, WORD_BASE, Texts, grams, mixed, prefix_sums, spans_hash
 from wordloom.llm.common import slices, written
 
-#: Words of a shingle; least intersection of 100 parts of the union.
-SHINGLE, PERCENT = 5, 85
+#: Words of a shingle; least intersection of 100 parts of the union, unless a caller asks for another.
+SHINGLE, PERCENT = 5, 80
 #: Registers, those of a band, and the sketch's base and rate; at most LIMIT + 1.
 REGISTERS, BAND, BASE, RATE, LIMIT = 96, 4, 1.001, 20.0, (1 << 16) - 2
 #: Log-likelihood by which a similarity at the threshold may stay behind the likeliest; members of a bucket in a block (two blocks meet);
@@ -108,7 +108,7 @@ def bands(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "registers").mapInArrow(run, "key long, node long")
 
 
-def may_reach(n_a: np.ndarray, n_b: np.ndarray, more: np.ndarray, less: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+def may_reach(n_a: np.ndarray, n_b: np.ndarray, more: np.ndarray, less: np.ndarray, percent: int) -> np.ndarray:
     """Whether pairs may be as similar as asked: by their sizes, and by the joint likelihood of their registers.
 
     more, less: how many registers are greater in a, and in b.
@@ -130,21 +130,21 @@ def may_reach(n_a: np.ndarray, n_b: np.ndarray, more: np.ndarray, less: np.ndarr
     return ok & (best_above >= best - MARGIN)
 
 
-def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that may reach the threshold."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x, y = as_registers(batch.column("r_a")), as_registers(batch.column("r_b"))
-                keep = may_reach(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), (x > y).sum(1), (x < y).sum(1))
+                keep = may_reach(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), (x > y).sum(1), (x < y).sum(1), percent)
                 yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     side = lambda k: nodes.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("registers").alias(f"r_{k}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are as similar as asked."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +155,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                     right += shingle_sets(part.column("t_b"))
                 common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right, strict=True)], np.int64)
                 total = np.array([len(x) + len(y) for x, y in zip(left, right, strict=True)], np.int64)
-                yield batch.select(["a", "b"]).filter(pa.array(100 * common >= PERCENT * (total - common)))
+                yield batch.select(["a", "b"]).filter(pa.array(100 * common >= percent * (total - common)))
 
     side = lambda k: docs.select(F.col("doc_id").alias(k), F.col("text").alias(f"t_{k}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b").mapInArrow(run, "a long, b long").distinct()
@@ -211,7 +211,7 @@ def joining(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> list[int]:
     return out
 
 
-def across(members: DataFrame, nodes: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFrame:
+def across(members: DataFrame, nodes: DataFrame, labels: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of different components that share a bucket (key, node, n), as many as join those that are linked."""
     known = members.where("n > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed_keys = known.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
@@ -236,14 +236,14 @@ def across(members: DataFrame, nodes: DataFrame, labels: DataFrame, docs: DataFr
             a, b = a[first], b[first]
         if len(a):
             more, less = (np.concatenate([f(registers[a[k : k + 4096]], registers[b[k : k + 4096]]).sum(1) for k in range(0, len(a), 4096)]) for f in (np.greater, np.less))
-            keep = may_reach(n[a], n[b], more, less)
+            keep = may_reach(n[a], n[b], more, less, percent)
             a, b = a[keep], b[keep]
         if len(a):
             used, place = np.unique(np.concatenate([a, b]), return_inverse=True)
             sets = shingle_sets(group.column("text").combine_chunks().take(pa.array(used)))
             common = common_shingles(sets, place[: len(a)], place[len(a) :])
             sizes = np.array([len(x) for x in sets])
-            linked = 100 * common >= PERCENT * (sizes[place[: len(a)]] + sizes[place[len(a) :]] - common)
+            linked = 100 * common >= percent * (sizes[place[: len(a)]] + sizes[place[len(a) :]] - common)
             a, b = a[linked], b[linked]
             some = joining(a, b, label)
             a, b = a[some], b[some]
@@ -268,10 +268,10 @@ def across(members: DataFrame, nodes: DataFrame, labels: DataFrame, docs: DataFr
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id linked with it over any number of links) and kept, for every row of docs.
 
-    Documents are linked if 100 * intersection >= 85 * union of their shingle sets. A null, empty or white text has no
+    Documents are linked if 100 * intersection >= percent * union of their shingle sets. A null, empty or white text has no
     shingles, is linked with nothing and kept. Rows with equal ids are each judged by their text; what one is linked with, it is linked with under that id. A row with a
     null id is linked with nothing; its component is null, and it is kept. An empty table gives no rows; further
     columns are ignored. Texts are taken whole.
@@ -286,9 +286,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = rows.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = written(rows.join(buckets, "key"), "members")
     pairs = members.where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    links = written(confirmed(written(likely(pairs, nodes), "likely"), docs), "hubs")
+    links = written(confirmed(written(likely(pairs, nodes, percent), "likely"), docs, percent), "hubs")
     labels = components(links)
-    more = written(across(members.select("key", "node", "n"), nodes, labels, docs), "across")
+    more = written(across(members.select("key", "node", "n"), nodes, labels, docs, percent), "across")
     if not more.isEmpty():
         labels = components(links.unionAll(more))
     classed = sketches.join(classes.select("digest", "node"), "digest", "left")
@@ -298,13 +298,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-SQL = rf"""
+def sql(percent: int = PERCENT) -> str:
+    """The rows of near_duplicates() over the table documents, from all pairs that share a shingle."""
+    return rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 g AS (SELECT doc_id, unnest(CASE WHEN len(w) >= {SHINGLE} THEN list_transform(range(1, len(w) - {SHINGLE} + 2), lambda k: array_to_string(w[k:k + {SHINGLE - 1}], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
 s AS (SELECT DISTINCT doc_id, g FROM g),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
-l AS MATERIALIZED (SELECT a, b FROM i JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * common >= {PERCENT} * (x.n + y.n - common)),
+l AS MATERIALIZED (SELECT a, b FROM i JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * common >= {percent} * (x.n + y.n - common)),
 e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 c AS (SELECT a AS doc_id, a AS r FROM e UNION SELECT e.b, c.r FROM c JOIN e ON c.doc_id = e.a),
 m AS (SELECT doc_id, min(r) AS r FROM c GROUP BY 1)

@@ -7,9 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from wordloom.llm import decontaminate, near_dups, substring_dedup, suffix_dedup
 from wordloom.llm.common import table
 
+#: Similarity of linked documents in op3.
+LINK_PERCENT = 85
+
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"), LINK_PERCENT)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,4 +28,4 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_near_duplicates": op3_near_duplicates, "op4_decontaminate": op4_decontaminate, "op5_substring_dedup": op5_substring_dedup, "op7_suffix_dedup": op7_suffix_dedup}
-ORACLES = {"op3_near_duplicates": near_dups.SQL, "op4_decontaminate": decontaminate.SQL, "op5_substring_dedup": substring_dedup.SQL}
+ORACLES = {"op3_near_duplicates": near_dups.sql(LINK_PERCENT), "op4_decontaminate": decontaminate.SQL, "op5_substring_dedup": substring_dedup.SQL}
