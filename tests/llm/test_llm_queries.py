@@ -9,6 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 from conftest import SMALL, rows
 
+from wordloom.llm import near_dups
 from wordloom.llm.registry import ORACLES, QUERIES
 
 
@@ -90,7 +91,7 @@ def test_pipeline(spark):
 
     docs, library = spark.read.parquet(f"{SMALL}/documents.parquet"), _tiktoken()
     columns = docs.columns
-    sql = {"quality rules": "op1_quality_rules", "near duplicates": "op3_near_duplicates", "substring dedup": "op5_substring_dedup", "decontamination": "op4_decontaminate"}
+    sql = {"quality rules": ORACLES["op1_quality_rules"], "near duplicates": near_dups.sql(80), "substring dedup": ORACLES["op5_substring_dedup"], "decontamination": ORACLES["op4_decontaminate"]}
     for name, stage in corpus_pipeline.STAGES:
         out = written(stage(spark, docs, SMALL), "stage")
         before, after = {r.doc_id: r for r in docs.collect()}, {r.doc_id: r for r in out.collect()}
@@ -99,8 +100,8 @@ def test_pipeline(spark):
             con = duck_over(SMALL, ["benchmark"])
             table = docs.toArrow()
             con.register("documents", table)
-            judged = {r[0]: r for r in con.sql(f"SELECT * FROM ({ORACLES[sql[name]]})").fetchall()}
-            names = [d[0] for d in con.sql(f"SELECT * FROM ({ORACLES[sql[name]]}) LIMIT 0").description]
+            judged = {r[0]: r for r in con.sql(f"SELECT * FROM ({sql[name]})").fetchall()}
+            names = [d[0] for d in con.sql(f"SELECT * FROM ({sql[name]}) LIMIT 0").description]
             judged = {k: dict(zip(names, v, strict=True)) for k, v in judged.items()}
             kept = {k for k, j in judged.items() if j.get("kept", True) and j.get("n_hit", 0) <= 0.5 * j.get("n_words", 0) or "n_removed" in j}
             assert set(after) == kept

@@ -1,11 +1,14 @@
 """Quality rules from single texts and from how often a host repeats lines. DataFrame functions only.
 
-Lines are normalised and hashed, and for each host and line the documents that have it are counted. A line above
-the limits is boilerplate: it is taken out of every document of its host, and a document is rejected if that takes
-too much of it. Copies of one document also repeat lines, but they repeat them together; so the documents with a
-line are counted a second time by their signature, a hash of all distinct lines of the document, which only copies
-share. A line is above the limits only if its documents differ in that too. The SQL below still takes the least line
-hash for the signature; it finds fewer frequent lines where a host's shared lines bear the least hashes.
+Texts are read once: what the rules ask of a single text, and the hashes of its normalised lines, go into a table, and
+all that follows works on that. For each host and line the documents that have it are counted. A line above the limits
+is boilerplate: it is taken out of every document of its host, and a document is rejected if that takes too much of
+it. Copies of one document also repeat lines, but they repeat them together; so the documents with a line are counted
+a second time by their signature, a hash of all distinct lines of the document, which only copies share. A line is
+above the limits only if its documents differ in that too.
+
+Lines are told apart by 64-bit hashes. A line is wrongly taken for a frequent one of its host with odds of the host's
+frequent lines to 2**64.
 """
 
 from __future__ import annotations
@@ -13,11 +16,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.llm.common import written
+
 #: Limits on a line: documents of one host at least, as a number and as a share of the host's documents with lines;
 #: signatures among them at least, as a share. A document is depleted if more than MOST of its words go.
 MIN_DOCS, MIN_SHARE, MIN_VARIETY, MOST = 20, 0.001, 0.25, 0.5
 #: The base rules.
 LEAST_WORDS, REPEATED_PERCENT = 50, 50
+#: What judge() adds.
+RULED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "kept")
 #: Parts that each frequent line is split into when it is joined back to the documents.
 SALTS = 16
 
@@ -55,83 +62,91 @@ def base_features(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.withColumn("_w", words(F.col("text")))
     lines = F.filter(F.split(text, "\n"), lambda line: F.length(F.translate(line, " " + WHITE, "")) > 0)
-    out = out.withColumn("_lines", lines).withColumns(
+    out = out.withColumn("_raw", lines).withColumns(
         {
             "n_words": F.size("_w").cast("long"),
             "word_chars": F.length(F.array_join("_w", "")).cast("long"),
             "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+            "n_dup_lines": (F.size("_raw") - F.size(F.array_distinct("_raw"))).cast("long"),
         }
     )
     out = with_repeated_words(out, "_w", "n_repeat_words")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
-    return out.withColumn("base_failed", failed).drop("_w", "_lines")
+    return out.withColumn("base_failed", failed).drop("_w", "_raw")
 
 
 def normal(text: Column) -> Column:
     """Lower case, one space for white space inside lines and none around the whole."""
-    return F.trim(F.regexp_replace(F.lower(text), "[\t\x0b\x0c\r ]+", " "))
+    return F.trim(F.regexp_replace(F.translate(F.lower(text), "\t\x0b\x0c\r", " " * 4), "  +", " "))
 
 
-def host_lines(docs: DataFrame) -> DataFrame:
-    """One row for each document and distinct normalised line with a word: doc_id, source, line (hash), words, signature."""
+def with_lines(docs: DataFrame) -> DataFrame:
+    """docs with `_lines`, hash and words of each normalised line with a word, and `_signature`, the same for texts of the same distinct lines."""
     lines = F.filter(F.split(normal(F.coalesce(F.col("text"), F.lit(""))), " ?\n ?"), lambda x: F.length(x) > 0)
-    hashed = F.transform(lines, lambda x: F.struct(F.md5(x.cast("binary")).alias("line"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("words")))
-    rows = (
-        docs.select("doc_id", "source", hashed.alias("l"))
-        .withColumn("signature", F.xxhash64(F.sort_array(F.array_distinct(F.col("l")["line"]))))
-        .select("doc_id", "source", "signature", F.explode("l").alias("l"))
-        .select("doc_id", "source", "signature", "l.line", "l.words")
-    )
-    return rows.groupBy("source", "line", "signature", "doc_id").agg(F.sum("words").alias("words"))
+    hashed = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("line"), (F.length(x) - F.length(F.translate(x, " ", "")) + 1).alias("words")))
+    return docs.withColumn("_lines", hashed).withColumn("_signature", F.xxhash64(F.sort_array(F.array_distinct(F.col("_lines")["line"]))))
+
+
+def salted(df: DataFrame) -> DataFrame:
+    """Each row once for each salt, to meet rows of hot hosts or lines that are dealt over the salts."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
-def frequent_lines(lines: DataFrame) -> DataFrame:
+def frequent_lines(rows: DataFrame) -> DataFrame:
     """source and line of the lines above the limits. Counts are taken in two steps, by signature and then over signatures."""
-    by_signature = lines.groupBy("source", "line", "signature").agg(F.count(F.lit(1)).alias("n"))
+    each = rows.select("source", F.explode(F.array_distinct(F.col("_lines")["line"])).alias("line"), "_signature")
+    by_signature = each.groupBy("source", "line", "_signature").agg(F.count(F.lit(1)).alias("n"))
     counted = by_signature.groupBy("source", "line").agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_signatures")).where(F.col("n_docs") >= MIN_DOCS)
-    hosts = lines.groupBy("source", "doc_id").agg(F.lit(1).alias("one")).groupBy("source").agg(F.count(F.lit(1)).alias("host_docs"))
-    joined = counted.alias("c").join(hosts.alias("h"), F.col("c.source").eqNullSafe(F.col("h.source")))
+    hosts = rows.where(F.size("_lines") > 0).groupBy("source").agg(F.count(F.lit(1)).alias("host_docs"))
+    counted = counted.withColumn("salt", F.pmod("line", F.lit(SALTS)).cast("int"))
+    joined = counted.alias("c").join(salted(hosts).alias("h"), F.col("c.source").eqNullSafe(F.col("h.source")) & (F.col("c.salt") == F.col("h.salt")))
     above = (F.col("n_docs") >= MIN_SHARE * F.col("host_docs")) & (F.col("n_signatures") >= MIN_VARIETY * F.col("n_docs"))
     return joined.where(above).select("c.source", "line")
 
 
-def lines_to_remove(lines: DataFrame) -> DataFrame:
-    """doc_id, source, the frequent lines of each document that has any, and how many words stand in them."""
-    hot = frequent_lines(lines).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+def lines_to_remove(rows: DataFrame) -> DataFrame:
+    """_id of each row that has frequent lines, those lines, and how many words stand in them."""
+    hot = salted(written(frequent_lines(rows), "frequent-lines"))  # its size is known, so Spark broadcasts it only while small
+    each = rows.select(F.col("_row").alias("_id"), "source", F.explode("_lines").alias("l")).select("_id", "source", "l.line", "l.words", F.pmod("_id", F.lit(SALTS)).cast("int").alias("salt"))
     same = F.col("l.source").eqNullSafe(F.col("h.source")) & (F.col("l.line") == F.col("h.line")) & (F.col("l.salt") == F.col("h.salt"))
-    found = salted.alias("l").join(hot.alias("h"), same).select("l.doc_id", "l.source", "l.line", "l.words")
-    return found.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(F.sum("words").alias("n_removed_words"), F.collect_list("line").alias("_frequent"))
+    found = each.alias("l").join(hot.alias("h"), same).select("l._id", "l.line", "l.words")
+    return found.groupBy("_id").agg(F.sum("words").alias("n_removed_words"), F.collect_set("line").alias("_frequent"))
 
 
-def _judged(docs: DataFrame) -> DataFrame:
-    gone = lines_to_remove(host_lines(docs))
-    joined = base_features(docs).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")), "left").drop("_id", "_source")
+def _judged(docs: DataFrame, keep_text: bool) -> DataFrame:
+    """docs with the features, the frequent lines of each row and the verdict; without text unless it is asked for."""
+    rows = with_lines(base_features(docs)).withColumn("_row", F.monotonically_increasing_id())
+    rows = written(rows if keep_text else rows.drop("text"), "quality-rows")
+    gone = written(lines_to_remove(rows), "lines-to-remove")
+    joined = rows.join(gone, F.col("_row") == F.col("_id"), "left").drop("_id", "_row", "_lines", "_signature")
     removed = F.coalesce(F.col("n_removed_words"), F.lit(0)).cast("long")
-    depleted = F.col("n_removed_words") > MOST * F.col("n_words")
-    # In one expression over both sides of the join: a filter on base_failed alone would move below the steps that make it, and work each of them out many times.
-    return joined.withColumn("n_removed_words", removed).withColumn("kept", F.greatest(F.col("base_failed").cast("int"), depleted.cast("int")) == 0)
+    joined = joined.withColumn("n_removed_words", removed)
+    return joined.withColumn("kept", ~F.col("base_failed") & (F.col("n_removed_words") <= MOST * F.col("n_words")))
+
+
+def _packed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """doc_id, text, source, and all other columns as one struct, so that their names cannot clash with the rules' own."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "source")]
+    return docs.select("doc_id", "text", "source", F.struct(*others).alias("_rest") if others else F.lit(0).alias("_rest")), others
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_removed_words and kept.
+    """doc_id and source of docs, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_removed_words, kept, and the other columns but text.
 
     docs has doc_id, text and source (the host); other columns pass through, unless they bear one of those names. One
     row for each row of docs. A null text counts as empty: it fails the base rules. Null sources are one host of their
-    own. Rows with the same doc_id and source count as one document for line frequencies and get the same
-    n_removed_words. Empty tables give none.
+    own. Each row is a document to the line frequencies, whatever its id. Empty tables give none.
     """
-    return _judged(docs).drop("_frequent")
+    rows, others = _packed(docs)
+    return _judged(rows, False).select("doc_id", "source", *RULED, *[F.col("_rest")[c].alias(c) for c in others if c not in RULED])
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """The documents that judge() keeps, with the columns of docs, and without their frequent lines."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "source")]
-    rows = docs.select("doc_id", "text", "source", F.struct(*others).alias("_rest") if others else F.lit(0).alias("_rest"))
-    each = F.filter(F.split("text", "\n"), lambda line: ~F.array_contains("_frequent", F.md5(normal(line).cast("binary"))))
+    rows, others = _packed(docs)
+    each = F.filter(F.split("text", "\n"), lambda line: ~F.array_contains("_frequent", F.xxhash64(normal(line))))
     text = F.when(F.col("_frequent").isNull(), F.col("text")).otherwise(F.array_join(each, "\n"))
-    kept = _judged(rows).where("kept").withColumn("text", text)
+    kept = _judged(rows, True).where("kept").withColumn("text", text)
     return kept.select(*[F.col("_rest")[c].alias(c) if c in others else F.col(c) for c in docs.columns])
 
 
@@ -146,7 +161,7 @@ c AS (SELECT doc_id, sum(least(3, coalesce(nk - k, 3))) AS n_repeat_words
       FROM (SELECT doc_id, k, lead(k) OVER (PARTITION BY doc_id ORDER BY k) AS nk FROM r) GROUP BY doc_id),
 n AS (SELECT doc_id, source, unnest(list_transform(string_split(regexp_replace(lower(text), '[\t\x0B\x0C\r ]+', ' ', 'g'), chr(10)), lambda x: trim(x, ' '))) AS s FROM d),
 h AS (SELECT doc_id, source, md5(s) AS line, len(s) - len(replace(s, ' ', '')) + 1 AS words FROM n WHERE s <> ''),
-sig AS (SELECT doc_id, source, min(line) AS signature FROM h GROUP BY 1, 2),
+sig AS (SELECT doc_id, source, string_agg(DISTINCT line, ',' ORDER BY line) AS signature FROM h GROUP BY 1, 2),
 l AS (SELECT h.doc_id, h.source, line, signature, sum(words) AS words FROM h JOIN sig ON h.doc_id = sig.doc_id AND h.source = sig.source GROUP BY 1, 2, 3, 4),
 hosts AS (SELECT source, count(*) AS host_docs FROM sig GROUP BY 1),
 hot AS (SELECT f.source, f.line FROM (SELECT source, line, count(*) AS n_docs, count(DISTINCT signature) AS n_sig FROM l GROUP BY 1, 2) f

@@ -10,7 +10,7 @@ from wordloom.llm.common import table
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return quality_rules.judge(docs).drop("text", "source")
+    return quality_rules.judge(docs).drop("source")
 
 
 def op2_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
