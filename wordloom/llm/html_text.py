@@ -1,10 +1,15 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read into text nodes, each with the path of tags from the root to it. For each path the text length and
-the punctuation of its nodes are added up and divided by the nodes. Over the nodes in page order both ratios are
-smoothed and fused into one score; the paths above a threshold hold the content. Where a page has article or main
-tags, the outermost of them that hold any content are returned whole, elsewhere every block that holds content. Elements that by their tag, role or class are
-menus, adverts, forms, comments and the like are left out from the start, so they cannot win.
+A page is read into text nodes, each with the path of tags from the root to it. For each path the text length (link
+text not counted) and the punctuation of its nodes are added up and divided by the nodes. Both ratios are taken as
+logarithms, smoothed over the nodes in page order, and fused with what they were before into one score; paths that lead through article or main
+tags weigh more. The paths whose mean score reaches a part of the page's are the content. Where one element below body
+holds most of what they select, the rest of that element (short headings and list items, but no blocks of links) is
+content too.
+
+Elements that are no text of an article by the meaning of their tag or role (menus, forms, headers, footers, scripts,
+what is hidden) are left out from the start. What only a class or id calls an advert, a comment and the like is left
+out unless that would take most of the page's text.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +26,9 @@ from pyspark.sql import types as T
 
 from wordloom.llm.common import slices
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+#: In a tag: its end, or a quoted value.
+MARK = re.compile(r"=\s*[\"']|>")
 #: One attribute, its value consumed whole, so that nothing inside a name or value is taken for another one.
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -32,14 +39,20 @@ INLINE = frozenset(
 )
 #: A start tag that ends an open element: the new tag, what it ends.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Names of classes and ids, whole.
 HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|sidebar|side|widget|nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|footer|site-header|page-header|masthead|topbar|toolbar|share|sharing|social|related|recommended|comments?|comment-\w+|replies|respond|disqus|skip-link)(?:$|[\s_-])",
+    r"(?:\w+[_-])?(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|signup|sidebar|navbar|navigation|menu"
+    r"|breadcrumbs?|pagination|pager|footer|masthead|topbar|toolbar|share|sharing|related|recommended|comments?|replies|respond|disqus|widget|notices?|alert)"
+    r"(?:[_-](?:box|bar|list|area|section|container|wrapper|block|top|bottom|left|right|inner|item|content|form|body|text|thread|\d+))*"
+    r"|nav|side|social|site-header|page-header|skip-link|comment-\w+|advert\w*|ad-?\d+",
     re.I,
 )
+REMARK = re.compile(r"comment|repl|related|promo|\bads?\b", re.I)
+ROOT = frozenset(("", "html", "body"))
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，！？¿¡]")
-#: Weights of the nodes around a node, and the part of the text-weighted mean score that a content path must reach.
-SMOOTHING, THRESHOLD = (1, 2, 3, 2, 1), 0.1
+#: Weights of the nodes around a node; the part of the text-weighted mean score that a content path must reach; what article and main tags multiply a score by; the part of the selected text that one element must hold.
+SMOOTHING, THRESHOLD, MARKED, HOLDS = (1, 2, 3, 2, 1), 0.4, 3.0, 0.8
 
 OUT = T.StructType(
     [T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
@@ -49,111 +62,208 @@ OUT = T.StructType(
 @dataclass
 class Node:
     block: int
-    path: tuple[str, ...]
-    elements: tuple[int, ...]
+    element: int
     text: str
     in_link: bool
 
 
-def _is_boilerplate(tag: str, attributes: str) -> bool:
+@dataclass
+class Tree:
+    """Text nodes in page order. Of each element: its parent, path (parent's path and tag, by number), whether article or main tags lead to it, and the outermost element with a hint that holds it, or -1."""
+
+    nodes: list[Node] = field(default_factory=list)
+    parent: list[int] = field(default_factory=lambda: [-1])
+    path: list[int] = field(default_factory=lambda: [0])
+    tag: list[str] = field(default_factory=lambda: [""])
+    marked: list[bool] = field(default_factory=lambda: [False])
+    hinted: list[int] = field(default_factory=lambda: [-1])
+    paths: dict[tuple[int, str], int] = field(default_factory=dict)
+
+    def add(self, parent: int, tag: str, hint: bool) -> int:
+        number = len(self.parent)
+        self.parent.append(parent)
+        self.tag.append(tag)
+        self.path.append(self.paths.setdefault((self.path[parent], tag), len(self.paths) + 1))
+        self.marked.append(self.marked[parent] or tag in ("article", "main"))
+        self.hinted.append(self.hinted[parent] if self.hinted[parent] >= 0 or not hint else number)
+        return number
+
+
+def _judge(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is no text of an article for certain, and whether its names hint at that."""
     if tag in DROPPED:
-        return True
-    if not attributes or tag in ("html", "body", "main"):
-        return False
-    for name, *values in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), next(filter(None, values), "")
-        if name == "role" and value.strip().lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-        if name in ("class", "id") and HINT.search(value) and (tag not in ("article", "section") or re.search(r"comment|repl|related|promo|\bads?\b", value, re.I)):
-            return True
-    return False
-
-
-def nodes_of(page: str) -> tuple[list[Node], dict[int, str]]:
-    """The text nodes outside boilerplate, and the tag of each element by its number."""
-    nodes: list[Node] = []
-    tags: dict[int, str] = {}
-    stack: list[tuple[str, int, bool]] = []  # tag, number, whether it or what holds it is left out
-    block = at = links = 0
-    while at < len(page):
-        m = TOKEN.match(page, at)
-        if m is None:
-            break
-        at = m.end()
-        tag = m[2]
+        return True, False
+    hint = False
+    if attributes and tag not in ("html", "body", "main"):
+        for name, *values in ATTRIBUTE.findall(attributes):
+            name, value = name.lower(), next(filter(None, values), "")
+            if name == "role" and value.strip().lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+                return True, False
+            if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+                return True, False
+            if name in ("class", "id") and any(map(HINT.fullmatch, value.split())) and (tag not in ("article", "section") or REMARK.search(value)):
+                hint = True
+    return False, hint
+
+
+def tokens(page: str) -> Iterator[tuple[str, str | None, str, bool]]:
+    """(text, None, "", False) or (tag's source, its name, its attributes, whether it is an end tag); comments, declarations and the insides of RAW elements are left out.
+
+    Every place is looked at a bounded number of times: a tag that never ends is text, and so is all after it.
+    """
+    at, size, last, lower = 0, len(page), page.rfind(">"), None
+    closed = {q: page.rfind(q) for q in "\"'"}
+    while at < size:
+        start = page.find("<", at)
+        if start < 0 or start > last:
+            yield page[at:], None, "", False
+            return
+        if start > at:
+            yield page[at:start], None, "", False
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = size if end < 0 else end + 3
+            continue
+        if page.startswith(("<!", "<?"), start):
+            at = page.find(">", start) + 1
+            continue
+        name = NAME.match(page, start)
+        if name is None:
+            yield "<", None, "", False
+            at = start + 1
+            continue
+        at = name.end()
+        while (m := MARK.search(page, at)) and m[0] != ">":
+            quote = m[0][-1]
+            at = page.find(quote, m.end()) + 1 if closed[quote] >= m.end() else m.end()
+        end = m.start() if m else page.find(">", name.end())
+        tag = name[1].lower()
+        yield page[start : end + 1], tag, page[name.end() : end], page[start + 1] == "/"
+        at = end + 1
+        if tag in RAW and page[start + 1] != "/":
+            lower = lower or page.lower()
+            if len(lower) != size:  # lower case that is longer than the letter would shift all places
+                lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in page)
+            at = lower.find(f"</{tag}", at)
+            at = size if at < 0 else page.find(">", at) + 1 or size
+
+
+def tree_of(page: str) -> Tree:
+    tree = Tree()
+    stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, element, whether it or what holds it is left out
+    opened: dict[str, int] = {}
+    block = 0
+
+    def pop() -> None:
+        opened[stack.pop()[0]] -= 1
+
+    for source, tag, attributes, closing in tokens(page):
+        _, element, out = stack[-1]
         if tag is None:
-            token = m[0]
-            if token[0] != "<" or token == "<":
-                if not (stack and stack[-1][2]):
-                    nodes.append(Node(block, tuple(t for t, _, _ in stack), tuple(k for _, k, _ in stack), html.unescape(token), links > 0))
+            if not out:
+                tree.nodes.append(Node(block, element, html.unescape(source), opened.get("a", 0) > 0))
             continue
-        tag = tag.lower()
         inline = tag in INLINE
         if not inline:
             block += 1
-        elif tag == "br" and nodes:
-            nodes.append(Node(block, nodes[-1].path, nodes[-1].elements, " ", False))
-        if m[1]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if depth is not None:
-                links -= sum(t == "a" for t, _, _ in stack[depth:])
-                del stack[depth:]
+        elif tag == "br" and tree.nodes:
+            tree.nodes.append(Node(block, tree.nodes[-1].element, " ", False))
+        if closing:
+            if opened.get(tag):
+                while stack[-1][0] != tag:
+                    pop()
+                pop()
             continue
-        if tag in VOID or m[3].endswith("/") and tag not in RAW and inline:
+        if tag in VOID or tag in RAW or attributes.endswith("/") and inline:
             continue
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            continue
-        if not inline and stack:
+        if not inline:
             ended = ENDS.get(tag, set()) | {"p"}
-            while stack and (stack[-1][0] in ended or stack[-1][0] in INLINE and any(t in ended for t, _, _ in stack)):
-                links -= stack[-1][0] == "a"
-                stack.pop()
-        number = len(tags)
-        tags[number] = tag
-        links += tag == "a"
-        stack.append((tag, number, bool(stack and stack[-1][2]) or _is_boilerplate(tag, m[3])))
-    return nodes, tags
+            while len(stack) > 1 and (stack[-1][0] in ended or stack[-1][0] in INLINE and any(opened.get(t) for t in ended)):
+                pop()
+        gone, hint = _judge(tag, attributes)
+        element = tree.add(stack[-1][1], tag, hint)
+        opened[tag] = opened.get(tag, 0) + 1
+        stack.append((tag, element, stack[-1][2] or gone))
+    return tree
+
+
+def without_hinted(tree: Tree) -> list[Node]:
+    """The nodes, less those of each hinted element, unless it holds most of the page's text and no article or main tag stands elsewhere."""
+    sizes: dict[int, int] = {}
+    told = [n for n in tree.nodes if n.text.strip()]
+    for n in told:
+        at = tree.hinted[n.element]
+        sizes[at] = sizes.get(at, 0) + len(n.text.strip())
+    sure = any(tree.marked[n.element] and tree.hinted[n.element] < 0 for n in told)
+    most = np.inf if sure else HOLDS * sum(sizes.values())
+    return [n for n in tree.nodes if tree.hinted[n.element] < 0 or sizes.get(tree.hinted[n.element], 0) > most]
 
 
-def content_of(nodes: list[Node], tags: dict[int, str]) -> list[Node]:
+def path_scores(tree: Tree, told: list[Node]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each node: the mean fused score of its path, and the length of its text."""
+    path = np.unique([tree.path[n.element] for n in told], return_inverse=True)[1]
+    sizes = np.array([len(n.text.strip()) for n in told], float)
+    plain = np.array([0 if n.in_link else s for n, s in zip(told, sizes.tolist(), strict=True)], float)
+    points = np.array([0 if n.in_link else len(PUNCTUATION.findall(n.text)) for n in told], float)
+    number = np.bincount(path)
+    ratios = [np.log1p(np.bincount(path, x) / number)[path] for x in (plain, points)]
+    weights = np.array(SMOOTHING, float)
+    middle = len(weights) // 2
+    around = lambda x: np.convolve(x, weights, "full")[middle : middle + len(x)]
+    smooth = [around(x) / around(np.ones(len(x))) for x in ratios]
+    fused = np.sqrt(ratios[0] * (1 + ratios[1]) * smooth[0] * (1 + smooth[1])) * np.where([tree.marked[n.element] for n in told], MARKED, 1.0)
+    return (np.bincount(path, fused) / number)[path], sizes
+
+
+def holder(tree: Tree, nodes: list[Node], chosen: list[Node]) -> int:
+    """The innermost element that holds HOLDS of the chosen text and, where one below body does, more than one block of the page."""
+    held = np.zeros(len(tree.parent))
+    for n in chosen:
+        held[n.element] += len(n.text.strip())
+    first, last = np.full(len(held), np.inf), np.full(len(held), -1.0)
+    for n in nodes:
+        first[n.element], last[n.element] = min(first[n.element], n.block), max(last[n.element], n.block)
+    for e in range(len(held) - 1, 0, -1):  # parents come before their children
+        up = tree.parent[e]
+        held[up] += held[e]
+        first[up], last[up] = min(first[up], first[e]), max(last[up], last[e])
+    top = int(np.flatnonzero(held >= HOLDS * held[0])[-1])
+    while top and first[top] == last[top] and tree.tag[tree.parent[top]] not in ROOT:
+        top = tree.parent[top]
+    return top
+
+
+def content_of(tree: Tree, threshold: float = THRESHOLD) -> list[Node]:
     """The nodes of the article."""
+    nodes = without_hinted(tree)
     told = [n for n in nodes if n.text.strip()]
     if not told:
         return []
-    marked = [n for n in told if any(tags[k] in ("article", "main") for k in n.elements)]
-    told = marked or told
-    sums: dict[tuple[str, ...], np.ndarray] = {}
-    for n in told:
-        sums.setdefault(n.path, np.zeros(4))
-        sums[n.path] += (len(n.text), len(PUNCTUATION.findall(n.text)), 1, len(n.text) * n.in_link)
-    ratios = np.array([(sums[n.path][0] * (1 - sums[n.path][3] / sums[n.path][0]), sums[n.path][1]) / sums[n.path][2] for n in told])
-    weights = np.array(SMOOTHING, float)
-    share = np.convolve(np.ones(len(told)), weights, "full")[2 : 2 + len(told)]
-    smooth = np.stack([np.convolve(ratios[:, k], weights, "full")[2 : 2 + len(told)] / share for k in (0, 1)], 1)
-    fused = smooth[:, 0] * (1 + smooth[:, 1])
-    sizes = np.array([len(n.text) for n in told], float)
-    least = THRESHOLD * float((fused * sizes).sum() / sizes.sum())
-    by_path: dict[tuple[str, ...], list[float]] = {}
-    for n, score in zip(told, fused, strict=True):
-        by_path.setdefault(n.path, []).append(score)
-    chosen = [n for n in told if np.mean(by_path[n.path]) >= least] or told
-    if marked:
-        kept = {next(k for k in n.elements if tags[k] in ("article", "main")) for n in chosen}
-        return [n for n in nodes if not kept.isdisjoint(n.elements)]
-    blocks = {n.block for n in chosen}
+    score, sizes = path_scores(tree, told)
+    chosen = score >= threshold * float((score * sizes).sum() / sizes.sum())
+    plain = {n.block for n in told if not n.in_link}  # blocks that are not links alone
+    blocks = {n.block for n, c in zip(told, chosen.tolist(), strict=True) if c} & (plain or {n.block for n in told})
+    top = holder(tree, told, [n for n, c in zip(told, chosen.tolist(), strict=True) if c])
+    if tree.tag[top] not in ROOT:
+        inside = [False] * len(tree.parent)
+        inside[top] = True
+        for e in range(top + 1, len(inside)):
+            inside[e] = inside[tree.parent[e]]
+        linked: dict[int, list[float]] = {}
+        for n, size in zip(told, sizes.tolist(), strict=True):
+            if inside[n.element]:
+                sums = linked.setdefault(n.block, [0, 0])
+                sums[n.in_link] += size
+        blocks |= {b for b, (plain, links) in linked.items() if plain >= links}
     return [n for n in nodes if n.block in blocks]
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, threshold: float = THRESHOLD) -> str:
     """The article's blocks in page order with an empty line between them; "" if the page has none."""
     if not page:
         return ""
     blocks: dict[int, list[str]] = {}
-    for n in content_of(*nodes_of(page)):
+    for n in content_of(tree_of(page), threshold):
         blocks.setdefault(n.block, []).append(n.text)
     return "\n\n".join(filter(None, (" ".join("".join(parts).split()) for parts in blocks.values())))
 
