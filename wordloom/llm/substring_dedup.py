@@ -9,7 +9,7 @@ the threshold. The least document of the interval says if the window stands in a
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Sequence
 from itertools import compress
 
 import numpy as np
@@ -20,8 +20,7 @@ from pyspark.sql import types as T
 
 from wordloom.llm import anchors
 from wordloom.llm.anchors import BYTE_BASE, WORD_BASE, Texts
-from wordloom.llm.common import slices
-from wordloom.llm.repeats import Kind, covered, with_marks
+from wordloom.llm.repeats import Kind, Limits, judged
 
 #: Words of a window and of the grams that may be its anchor.
 WINDOW, GRAM = 13, 4
@@ -139,20 +138,41 @@ def search_words(fragments: pa.Array, did: np.ndarray, n: np.ndarray, size: int
     return out
 
 
-def _symbols(texts: Texts) -> tuple:
-    starts, ends, bounds = texts.words()
+def _hashes(texts: Texts, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
     sums = anchors.prefix_sums(texts.data.astype(np.uint64) + np.uint64(1), BYTE_BASE)
-    return anchors.prefix_sums(anchors.spans_hash(sums, starts, ends, BYTE_BASE), WORD_BASE), WORD_BASE, bounds, starts, ends
+    sums = anchors.prefix_sums(anchors.spans_hash(sums, starts, ends, BYTE_BASE), WORD_BASE)
+    return sums, WORD_BASE, anchors.grams(sums, GRAM, WORD_BASE) >> np.uint64(64 - anchors.GRAM_BITS)
+
+
+WORDS = Kind(WINDOW, GRAM, Texts.words, _hashes, search_words, False)
 
 
-def _grams(sums: np.ndarray, base: int) -> np.ndarray:
-    return anchors.grams(sums, GRAM, base) >> np.uint64(64 - anchors.GRAM_BITS)
+def _cleaned(batch: pa.RecordBatch, gone: np.ndarray, bounds: np.ndarray, starts: np.ndarray) -> list[pa.Array]:
+    begin = Texts(batch.column("text")).bounds
+    out, removed = [], []
+    for k, text in enumerate(batch.column("text").to_pylist()):
+        mine = gone[bounds[k] : bounds[k + 1]]
+        removed.append(int(mine.sum()))
+        if removed[-1]:
+            data, at = text.encode("utf-8"), starts[bounds[k] : bounds[k + 1]] - begin[k]
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], mine.astype(np.int8), [0]])))
+            keep = [0, *[int(at[e]) if e < len(at) else len(data) for e in edge.tolist()], len(data)]
+            text = b"".join(data[a:b] for a, b in zip(keep[::2], keep[1::2], strict=True)).decode("utf-8")
+        out.append(text)
+    return [batch.column("doc_id"), pa.array(out, pa.string()), pa.array(np.diff(bounds)), pa.array(removed, pa.int64())]
 
 
-WORDS = Kind(WINDOW, GRAM, _symbols, _grams, search_words, False)
+def _reported(batch: pa.RecordBatch, gone: np.ndarray, bounds: np.ndarray, starts: np.ndarray) -> list[pa.Array]:
+    digests, removed = [], []
+    for k, text in enumerate(batch.column("text").to_pylist()):
+        mine = gone[bounds[k] : bounds[k + 1]]
+        removed.append(int(mine.sum()))
+        words = text.encode("utf-8").split() if text else []
+        digests.append(hashlib.sha256(b" ".join(compress(words, (~mine).tolist()) if removed[-1] else words)).hexdigest())
+    return [batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(removed, pa.int64()), pa.array(digests)]
 
 
-def dedup(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+def dedup(docs: DataFrame, carry: Sequence[str] = (), limits: Limits = Limits()) -> DataFrame:
     """doc_id, text without the removed words and the white space after them, n_words and n_removed of every row of docs.
 
     A word goes if a window of WINDOW words that covers it also starts in a document with a smaller doc_id. A null id
@@ -160,44 +180,13 @@ def dedup(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     has no words; an empty table gives no rows. Further columns are ignored, but those named in `carry` follow the
     others, or take the place of one of the same name. Texts are taken whole.
     """
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            texts = Texts(batch.column("text"))
-            gone, bounds, starts, _ = covered(WORDS, batch)
-            out, removed = [], []
-            for k, text in enumerate(batch.column("text").to_pylist()):
-                mine = gone[bounds[k] : bounds[k + 1]]
-                removed.append(int(mine.sum()))
-                if removed[-1]:
-                    data, at = text.encode("utf-8"), starts[bounds[k] : bounds[k + 1]] - texts.bounds[k]
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], mine.astype(np.int8), [0]])))
-                    keep = [0, *[int(at[e]) if e < len(at) else len(data) for e in edge.tolist()], len(data)]
-                    text = b"".join(data[a:b] for a, b in zip(keep[::2], keep[1::2], strict=True)).decode("utf-8")
-                out.append(text)
-            columns = [batch.column("doc_id").cast(pa.int64()), pa.array(out, pa.string()), pa.array(np.diff(bounds)), pa.array(removed, pa.int64()), batch.column("rest")]
-            yield pa.RecordBatch.from_arrays(columns, names=[*OUT.names, "rest"])
-
-    marked = with_marks(docs, WORDS, carry)
-    found = marked.mapInArrow(run, T.StructType([*OUT.fields, marked.schema["rest"]]))
+    found = judged(docs, WORDS, _cleaned, OUT, carry, limits)
     return found.select(*[n for n in OUT.names if n not in carry], *[F.col("rest")[c].alias(c) for c in carry])
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 (of the kept words with one space between them) of every row; see dedup()."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            gone, bounds, _, _ = covered(WORDS, batch)
-            digests, removed = [], []
-            for k, text in enumerate(batch.column("text").to_pylist()):
-                mine = gone[bounds[k] : bounds[k + 1]]
-                removed.append(int(mine.sum()))
-                words = text.encode("utf-8").split() if text else []
-                digests.append(hashlib.sha256(b" ".join(compress(words, (~mine).tolist()) if removed[-1] else words)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(bounds)), pa.array(removed, pa.int64()), pa.array(digests)], names=REPORT.names)
-
-    return with_marks(docs, WORDS).mapInArrow(run, REPORT)
+    return judged(docs, WORDS, _reported, REPORT, limits=limits).select(*REPORT.names)
 
 
 SQL = rf"""

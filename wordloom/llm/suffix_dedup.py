@@ -10,8 +10,6 @@ few samples. Places whose matches are long enough are chained together, and the
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,8 +17,7 @@ from pyspark.sql import types as T
 
 from wordloom.llm import anchors
 from wordloom.llm.anchors import BYTE_BASE, Texts
-from wordloom.llm.common import slices
-from wordloom.llm.repeats import Kind, covered, with_marks
+from wordloom.llm.repeats import Kind, Limits, judged
 
 #: Bytes of a string and of the grams that may be its anchor.
 WINDOW, GRAM = 100, 32
@@ -145,32 +142,41 @@ def search_bytes(fragments: pa.Array, did: np.ndarray, n: np.ndarray, size: int
     return later[window]
 
 
-def _symbols(texts: Texts) -> tuple:
-    every = np.arange(len(texts.data) + 1)
-    return anchors.prefix_sums(texts.data.astype(np.uint64) + np.uint64(1), BYTE_BASE), BYTE_BASE, texts.bounds, every[:-1], every[1:]
+def _places(texts: Texts) -> tuple[None, None, np.ndarray]:
+    return None, None, texts.bounds
+
+
+def _hashes(texts: Texts, starts: None, ends: None) -> tuple[np.ndarray, int, np.ndarray]:
+    sums = anchors.prefix_sums(texts.data.astype(np.uint64) + np.uint64(1), BYTE_BASE)
+    return sums, BYTE_BASE, anchors.grams(sums, GRAM, BYTE_BASE) >> np.uint64(64 - anchors.GRAM_BITS)
+
+
+BYTES = Kind(WINDOW, GRAM, _places, _hashes, search_bytes, True)
 
 
-def _grams(sums: np.ndarray, base: int) -> np.ndarray:
-    return anchors.grams(sums, GRAM, base) >> np.uint64(64 - anchors.GRAM_BITS)
+def _judged(batch: pa.RecordBatch, gone: np.ndarray, bounds: np.ndarray) -> tuple[list[bytes], list[pa.Array]]:
+    """What is kept of each text, and the columns doc_id, n_bytes, n_removed and n_spans."""
+    data = Texts(batch.column("text")).data
+    kept, removed, spans = [], [], []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        mine = gone[a:b]
+        removed.append(int(mine.sum()))
+        spans.append(int((mine[1:] & ~mine[:-1]).sum() + mine[:1].sum()))
+        kept.append((data[a:b][~mine] if removed[-1] else data[a:b]).tobytes())
+    return kept, [batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())]
 
 
-BYTES = Kind(WINDOW, GRAM, _symbols, _grams, search_bytes, True)
+def _cleaned(batch: pa.RecordBatch, gone: np.ndarray, bounds: np.ndarray, starts: None) -> list[pa.Array]:
+    kept, (doc_id, *counts) = _judged(batch, gone, bounds)
+    return [doc_id, pa.array(kept, pa.binary()), *counts]
 
 
-def _judged(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes], np.ndarray, list[int], list[int]]]:
-    for batch in slices(batches, "text"):
-        texts = Texts(batch.column("text"))
-        gone, bounds, _, _ = covered(BYTES, batch)
-        kept, removed, spans = [], [], []
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            mine = gone[a:b]
-            removed.append(int(mine.sum()))
-            spans.append(int((mine[1:] & ~mine[:-1]).sum() + mine[:1].sum()))
-            kept.append((texts.data[a:b][~mine] if removed[-1] else texts.data[a:b]).tobytes())
-        yield batch, kept, np.diff(bounds), removed, spans
+def _reported(batch: pa.RecordBatch, gone: np.ndarray, bounds: np.ndarray, starts: None) -> list[pa.Array]:
+    kept, columns = _judged(batch, gone, bounds)
+    return [*columns, pa.array([hashlib.sha256(x).hexdigest() for x in kept])]
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """doc_id, kept (the bytes that remain), n_bytes, n_removed and n_spans of every row of docs.
 
     A byte goes if a string of WINDOW bytes that covers it also starts in a document with a smaller doc_id, or earlier
@@ -178,20 +184,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     what stands at the same place in them stays. Null text is empty; an empty table gives no rows; further columns
     are ignored. Texts are taken whole.
     """
+    return judged(docs, BYTES, _cleaned, OUT, limits=limits).select(*OUT.names)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, kept, sizes, removed, spans in _judged(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(kept, pa.binary()), pa.array(sizes), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], names=OUT.names)
 
-    return with_marks(docs, BYTES).mapInArrow(run, OUT)
-
-
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row; see dedup()."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, kept, sizes, removed, spans in _judged(batches):
-            digests = [hashlib.sha256(x).hexdigest() for x in kept]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests)], names=REPORT.names)
-
-    return with_marks(docs, BYTES).mapInArrow(run, REPORT)
+    return judged(docs, BYTES, _reported, REPORT, limits=limits).select(*REPORT.names)
