@@ -1,6 +1,7 @@
 """WARC archives from a table of pages, written the same way every time, and read back.
 
-Records are ordered by page id and cut into shards, ranges of ids with about equal bytes. Each shard's task writes its
+Records are ordered by page id and cut into shards, ranges of ids with about equal bytes (parts of one id by digest, if
+it has more). Each shard's task writes its
 records one gzip member each, begins a new file when the compressed size is reached, and makes headers and digests
 anew from the rows. A file is written under a temporary name of its own, then renamed; the task then reports its
 files, and the table of those reports, which Spark commits as a whole, is the manifest. Readers take what it lists. A
@@ -14,20 +15,24 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from math import inf
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordloom.llm.common import slices
+from wordloom.llm.common import slices, written
 
-#: Least payload that may be a revisit; bytes of html in a shard and compressed bytes of a file; bins that shards are made of.
-LEAST_REVISIT, SHARD_BYTES, FILE_BYTES, BINS = 1000, 32 << 20, 32 << 20, 4096
+#: Least payload that may be a revisit; bytes of html in a shard and compressed bytes of a file; shards at most.
+LEAST_REVISIT, SHARD_BYTES, FILE_BYTES, MOST_SHARDS = 1000, 32 << 20, 32 << 20, 16_384
 DATE, HTTP = "2024-01-01T00:00:00Z", "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ_BYTES = 1 << 20
+#: Tasks at most that read archives.
+READERS = 10_000
 
 MANIFEST = T.StructType([T.StructField("file", T.StringType()), T.StructField("records", T.LongType()), T.StructField("bytes", T.LongType()), T.StructField("sha256", T.StringType())])
 RECORDS = T.StructType(
@@ -58,17 +63,32 @@ def revisits(sized: DataFrame) -> DataFrame:
 
 
 def with_shards(records: DataFrame, pages: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
-    """records with `shard`, and how many shards there are: equal-width bins of page ids, joined until they hold shard_bytes of html. Null ids come first."""
-    span = pages.agg(F.min("page_id"), F.max("page_id")).first()
-    low, width = float(span[0] or 0), float((span[1] or 0) - (span[0] or 0) + 1)
-    number = F.coalesce(F.least(F.floor((F.col("page_id").cast("double") - low) / width * BINS), F.lit(BINS - 1)), F.lit(-1)).cast("int")
-    sizes = pages.groupBy(number.alias("bin")).agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")).alias("bytes")).collect()  # BINS rows at most
-    total, shard_of = 0, []
-    for row in sorted(sizes):
-        shard_of.append((row[0], total // shard_bytes))
-        total += row[1]
-    bins = records.sparkSession.createDataFrame(shard_of, "bin int, shard long")
-    return records.withColumn("bin", number).join(F.broadcast(bins), "bin").drop("bin"), total // shard_bytes + 1
+    """records (page_id, digest) with `shard` and `sub`, and how many pairs of them there are.
+
+    Page ids are cut where the bytes of html before them, in order of id, pass a multiple of shard_bytes (of more, if
+    that would make over MOST_SHARDS). Null ids come first. An id that has more than that by itself, null too, parts
+    by digest. All of this follows from the rows alone, whatever partitions they come in.
+    """
+    bytes_of = F.sum(F.coalesce(F.octet_length("html"), F.lit(0)).cast("long"))
+    ids = written(pages.groupBy("page_id").agg(bytes_of.alias("bytes")), "ids")
+    total = ids.agg(F.sum("bytes")).first()[0] or 0
+    step = max(shard_bytes, -(-total // MOST_SHARDS))
+    hot = written(ids.where(F.col("bytes") > step).select(F.col("page_id").alias("hot_id"), F.ceil(F.col("bytes") / step).cast("int").alias("parts")), "hot-ids")
+    ranged = written(ids.where("page_id IS NOT NULL").repartitionByRange("page_id").withColumn("part", F.spark_partition_id()), "ids-in-order")
+    offset, starts = 0, []
+    for row in sorted(ranged.groupBy("part").agg(F.min("page_id").alias("low"), F.sum("bytes").alias("n")).collect(), key=lambda r: r.low):  # a row a partition
+        starts.append((row.part, offset))
+        offset += row.n
+    running = F.col("offset") + F.sum("bytes").over(Window.partitionBy("part").orderBy("page_id"))
+    passed = ranged.join(F.broadcast(records.sparkSession.createDataFrame(starts, "part int, offset long")), "part").select("page_id", "bytes", running.alias("running"))
+    last = passed.where(F.expr(f"running div {step} > (running - bytes) div {step}")).select("page_id").collect()  # MOST_SHARDS at most
+    cuts = sorted({float(r.page_id) + 1 for r in last})
+    places = Bucketizer(splits=[-inf, *cuts, inf], inputCol="_id", outputCol="_shard", handleInvalid="keep")
+    placed = places.transform(records.withColumn("_id", F.col("page_id").cast("double"))) if cuts else records.withColumn("_shard", F.lit(0.0)).withColumn("_id", F.lit(0.0))
+    shard = F.when(F.col("page_id").isNull(), F.lit(-1)).otherwise(F.col("_shard").cast("int")).cast("long").alias("shard")
+    found = placed.join(F.broadcast(hot), F.col("page_id").eqNullSafe(F.col("hot_id")), "left")  # MOST_SHARDS rows at most
+    sub = F.coalesce(F.pmod(F.xxhash64("digest"), F.col("parts")), F.lit(0)).cast("long").alias("sub")
+    return found.select(*records.columns, shard, sub), len(cuts) + 2 + (hot.agg(F.sum("parts")).first()[0] or 0)
 
 
 def record_id(page_id: int | None, digest: str) -> str:
@@ -130,11 +150,12 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, file_by
     nothing = F.lit(None).cast("string")
     notes = revisits(sized).select("page_id", nothing.alias("url"), nothing.alias("html"), F.lit(None).cast("long").alias("size"), "digest", "refers_to")
     rows, shards = with_shards(sized.withColumn("refers_to", F.lit(None).cast("long")).unionAll(notes), pages, shard_bytes)
-    rows = rows.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", F.col("refers_to").isNull(), "url")
+    rows = rows.repartitionByRange(shards, "shard", "sub").sortWithinPartitions("shard", "sub", "page_id", "digest", F.col("refers_to").isNull(), "url")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = fs.FileSystem.from_uri(folder)
         open_file, shard, number, done, note = None, None, 0, [], None
+        place = lambda r: (r["shard"], r["sub"])
         for whole in batches:
             for batch in slices([whole], "html"):
                 for r in batch.to_pylist():
@@ -142,11 +163,11 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, file_by
                         note = r
                         continue
                     refers_to = note["refers_to"] if note and (note["page_id"], note["digest"]) == (r["page_id"], r["digest"]) else None
-                    if r["shard"] != shard or open_file and open_file.bytes >= file_bytes:
+                    if place(r) != shard or open_file and open_file.bytes >= file_bytes:
                         done += [open_file.close()] if open_file else []
-                        number = number + 1 if r["shard"] == shard else 0
-                        shard = r["shard"]
-                        open_file = _File(store, path, f"pages-{shard:08d}-{number:05d}.warc.gz")
+                        number = number + 1 if place(r) == shard else 0
+                        shard = place(r)
+                        open_file = _File(store, path, f"pages-{shard[0]:08d}-{shard[1]:05d}-{number:05d}.warc.gz")
                     payload = b"" if refers_to is not None else (r["html"] or "").encode("utf-8")
                     open_file.add(record(r["page_id"], r["url"], payload, r["size"], r["digest"], refers_to))
         done += [open_file.close()] if open_file else []
@@ -224,7 +245,8 @@ def read(spark: SparkSession, folder: str, payload: bool = True) -> DataFrame:
                             rows, size = [], 0
                 yield batch_of(rows)
 
-    return manifest(spark, folder).select("file").repartition("file").mapInArrow(run, schema)
+    files = manifest(spark, folder).select("file")
+    return files.repartitionByRange(max(1, min(READERS, files.count())), "file").mapInArrow(run, schema)
 
 
 SQL = f"""
