@@ -68,16 +68,18 @@ def _times32(a: Column, b: Column) -> Column:
     return (a * b.bitwiseAND(65535) + (a * F.shiftright(b, 16)).bitwiseAND(65535) * 65536).bitwiseAND(MASK)
 
 
-def mulberry(seed: Column) -> Column:
-    """The first float in [0, 1) of the 32-bit generator mulberry32."""
-    a = (seed + 0x6D2B79F5).bitwiseAND(MASK)
+def mulberry(seed: Column, draw: int = 1) -> Column:
+    """The float in [0, 1) that the 32-bit generator mulberry32 gives at the draw-th call. Its step and shifts are fixed values."""
+    a = (seed + 0x6D2B79F5 * draw).bitwiseAND(MASK)
     t = _times32(a.bitwiseXOR(F.shiftright(a, 15)), a.bitwiseOR(F.lit(1)))
     u = t.bitwiseXOR((t + _times32(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(F.lit(61)))).bitwiseAND(MASK))
     return u.bitwiseXOR(F.shiftright(u, 14)) / 4294967296.0
 
 
-def seeded_index(count: Column, seed: Column) -> Column:
-    return F.least(F.floor(mulberry(seed) * count), count - 1)
+def seeded_index(count: Column, seed_text: Column) -> Column:
+    """One of `count` places from a text: its hash seeds the generator, which mixes it. No place among none or fewer is an error."""
+    place = F.least(F.floor(mulberry(fnv1a(seed_text)) * count), count - 1)
+    return F.when(count > 0, place).otherwise(F.raise_error(F.lit("count must be positive")).cast("long"))
 
 
 def marks(guess: Column, answer: Column) -> Column:

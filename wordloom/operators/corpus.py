@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions.texts import bounded_distance, deletions, tokens
+from wordloom.sources.shared import written
 from wordloom.sources.tables import table
 
 #: Smoothing of the n-gram model, its order; edit distance; frequency of a dictionary word; breadth that needs no neighbour.
@@ -26,12 +30,12 @@ def totals(seen: DataFrame) -> DataFrame:
 
 
 def zipf(seen: DataFrame) -> DataFrame:
-    """surface, total, breadth, rank (ties share, then skip) and residual of log10 total on log10 rank.
+    """surface, total, breadth, rank (ties share, then skip) and residual of log10 total on log10 rank. seen is read twice.
 
     Ranks are made over the distinct totals, of which there are at most about the square root of twice the tokens, and
     so is the line: a total weighs as many times as it has surfaces. Without spread all residuals are 0.
     """
-    each = totals(seen)
+    each = written(totals(seen), "totals")
     groups = each.where("total > 0").groupBy("total").agg(F.count(F.lit(1)).alias("n"))
     above = Window.orderBy(F.desc("total")).rowsBetween(Window.unboundedPreceding, -1)
     ranked = groups.withColumn("rank", 1 + F.coalesce(F.sum("n").over(above), F.lit(0)))
@@ -52,22 +56,26 @@ def trigrams(words: DataFrame) -> DataFrame:
     return grams.groupBy(F.substring("gram", 1, ORDER - 1).alias("context"), F.substring("gram", ORDER, 1).alias("unit")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def ngram_model(words: DataFrame) -> DataFrame:
-    """context, unit and log10 of the add-k smoothed probability. The alphabet is of bounded size."""
-    grams = trigrams(words)
-    contexts = grams.groupBy("context").agg(F.sum("n").alias("total"))
-    alphabet = grams.agg(F.countDistinct("unit").alias("size"))
-    chance = (F.col("n") + SMOOTHING) / (F.col("total") + SMOOTHING * F.col("size"))
-    return grams.join(contexts, "context").join(F.broadcast(alphabet)).select("context", "unit", F.log10(chance).alias("logp"))  # one row
-
+def ngram_scores(words: DataFrame, training: DataFrame) -> DataFrame:
+    """surface and the geometric mean of its units' probabilities under an add-k model of the training words.
 
-def ngram_scores(words: DataFrame) -> DataFrame:
-    """surface and the geometric mean of its units' probabilities, added up in order of place."""
-    padded = F.concat(F.lit("^" * (ORDER - 1)), "surface", F.lit("$"))
+    Besides the training words' units the vocabulary holds the end and one unit for all others. A unit that never
+    followed its context has what smoothing leaves it there; after a context that was never seen all are equally
+    likely. Logs are added up in order of place. Model tables are as large as the script allows, not as the corpus.
+    """
+    grams = written(trigrams(training), "trigrams")
+    contexts = grams.groupBy("context").agg(F.sum("n").alias("total"))
+    alphabet = sorted(r.unit for r in grams.where("unit <> '$'").select("unit").distinct().collect())  # the script's letters
+    mass = SMOOTHING * (len(alphabet) + 2)
+    seen = written(grams.join(contexts, "context").select(F.concat("context", "unit").alias("gram"), F.log10((F.col("n") + SMOOTHING) / (F.col("total") + mass)).alias("logp")), "model")
+    heads = written(contexts.select("context", F.log10(SMOOTHING / (F.col("total") + mass)).alias("unseen")), "contexts")
+    known = F.regexp_replace("surface", f"[^{re.escape(''.join(alphabet))}]", "\ue000") if alphabet else F.regexp_replace("surface", ".", "\ue000")
+    padded = F.concat(F.lit("^" * (ORDER - 1)), known, F.lit("$"))
     starts = F.sequence(F.lit(1), F.length(padded) - ORDER + 1)
     places = words.select("surface", F.posexplode(F.transform(starts, lambda i: F.substr(padded, i, F.lit(ORDER)))).alias("place", "gram"))
-    places = places.select("surface", "place", F.substring("gram", 1, ORDER - 1).alias("context"), F.substring("gram", ORDER, 1).alias("unit"))
-    logs = places.join(ngram_model(words), ["context", "unit"]).groupBy("surface").agg(F.array_sort(F.collect_list(F.struct("place", "logp"))).alias("logs"))
+    places = places.join(seen, "gram", "left").join(heads, F.substring("gram", 1, ORDER - 1) == F.col("context"), "left")
+    logp = F.coalesce("logp", "unseen", F.lit(-math.log10(len(alphabet) + 2)))
+    logs = places.groupBy("surface").agg(F.array_sort(F.collect_list(F.struct("place", logp.alias("logp")))).alias("logs"))
     mean = F.aggregate("logs", F.lit(0.0), lambda s, x: s + x["logp"]) / F.size("logs")
     return logs.select("surface", F.round(F.pow(F.lit(10.0), mean), 6).alias("score"))
 
@@ -127,19 +135,33 @@ def ngram_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ngram_score(spark: SparkSession, d: str) -> DataFrame:
-    return ngram_scores(_seen(spark, d).select("surface").distinct())
+    """All surfaces under the model of the frequent ones."""
+    known = written(totals(_seen(spark, d)), "totals")
+    return ngram_scores(known.select("surface"), known.where(f"total >= {DICTIONARY}").select("surface"))
+
+
+def pruned(known: DataFrame, attested: DataFrame) -> DataFrame:
+    """The surfaces that are worth a search for neighbours: neither attested nor of wide breadth."""
+    return known.where(f"breadth < {BREADTH}").join(attested, "surface", "left_anti").select("surface")
 
 
 def neighbour_distance(spark: SparkSession, d: str) -> DataFrame:
-    """Short surfaces seen once, against the frequent surfaces of the documents; those of wide breadth are not asked."""
-    known = totals(_seen(spark, d))
-    dictionary = known.where(f"total >= {DICTIONARY} AND length(surface) >= 4").select("surface")
-    asked = known.where(f"total = 1 AND breadth < {BREADTH} AND length(surface) BETWEEN 4 AND 7").select("surface")
-    return neighbours(asked, dictionary)
+    """All surfaces of narrow breadth that the benchmark does not attest, against all frequent surfaces."""
+    known = written(totals(_seen(spark, d)), "totals")
+    attested = table(spark, d, "benchmark").select(F.explode(tokens(F.col("text"))).alias("surface")).distinct()
+    return neighbours(pruned(known, attested), known.where(f"total >= {DICTIONARY}").select("surface"))
 
 
 _OBS = "obs AS (SELECT source, surface, count(*) AS count FROM (SELECT source, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS surface FROM documents) GROUP BY 1, 2)"
 _PAD = f"pad AS (SELECT DISTINCT surface, repeat('^', {ORDER - 1}) || surface || '$' AS p FROM obs), pos AS (SELECT surface, p, unnest(range(1, len(p) - {ORDER} + 2)) AS i FROM pad), gr AS (SELECT surface, i, substr(p, i, {ORDER - 1}) AS context, substr(p, i + {ORDER - 1}, 1) AS unit FROM pos), gc AS (SELECT context, unit, count(*) AS n FROM gr GROUP BY 1, 2)"
+#: Scores of the surfaces t under the model of the surfaces tr.
+_SCORES = f"""pt AS (SELECT surface, '^^' || surface || '$' AS p FROM tr), gt AS (SELECT substr(p, i, 2) AS context, substr(p, i + 2, 1) AS unit FROM (SELECT p, unnest(range(1, len(p) - 1)) AS i FROM pt)),
+cn AS (SELECT context, unit, count(*) AS n FROM gt GROUP BY 1, 2), cc AS (SELECT context, count(*) AS total FROM gt GROUP BY 1), al AS (SELECT count(DISTINCT unit) + 1 AS v FROM gt), lt AS (SELECT string_agg(DISTINCT unit, '') AS letters FROM gt WHERE unit <> '$'),
+ps AS (SELECT surface, '^^' || array_to_string(list_transform(string_split(surface, ''), lambda c: CASE WHEN contains(letters, c) THEN c ELSE '?' END), '') || '$' AS p FROM t, lt),
+gs AS (SELECT surface, substr(p, i, 2) AS context, substr(p, i + 2, 1) AS unit FROM (SELECT surface, p, unnest(range(1, len(p) - 1)) AS i FROM ps)),
+ls AS (SELECT surface, CASE WHEN n IS NOT NULL THEN log10((n + {SMOOTHING}) / (total + {SMOOTHING} * v)) WHEN total IS NOT NULL THEN log10({SMOOTHING} / (total + {SMOOTHING} * v)) ELSE log10(1.0 / v) END AS logp
+  FROM gs LEFT JOIN cn ON gs.context = cn.context AND gs.unit = cn.unit LEFT JOIN cc ON gs.context = cc.context CROSS JOIN al),
+scored AS (SELECT surface, round(pow(10, avg(logp)), 6) AS score FROM ls GROUP BY 1)"""
 QUERIES = {f.__name__: f for f in (corpus_zipf_residual, surface_breadth, observation_merge_sum, attested_semi_join, denial_anti_join, correlated_lookup, ngram_counts, ngram_score, neighbour_distance)}
 ORACLES = {
     "corpus_zipf_residual": f"""WITH {_OBS}, t AS (SELECT surface, CAST(sum(count) AS BIGINT) AS total, count(DISTINCT source) AS breadth FROM obs GROUP BY 1),
@@ -151,9 +173,11 @@ SELECT surface, total, breadth, rank, round(log10(total) - i - s * log10(rank),
     "denial_anti_join": "WITH r AS (SELECT * FROM documents JOIN labels USING (doc_id)) SELECT lang, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, count(*) AS n FROM r WHERE toxic = 1 AND NOT EXISTS (SELECT 1 FROM r c WHERE c.quality = 1 AND c.toxic = 0 AND c.lang = r.lang AND c.source = r.source) GROUP BY 1",
     "correlated_lookup": "WITH l AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) SELECT o_orderkey, coalesce(n, 0) AS n_lines, coalesce((SELECT count(*) FROM l x WHERE x.n = l.n), 0) AS orders_like_it FROM orders LEFT JOIN l ON o_orderkey = l_orderkey",
     "ngram_counts": f"WITH {_OBS}, {_PAD} SELECT * FROM gc",
-    "ngram_score": f"WITH {_OBS}, {_PAD}, c AS (SELECT context, sum(n) AS total FROM gc GROUP BY 1), a AS (SELECT count(DISTINCT unit) AS size FROM gc), m AS (SELECT gc.context, unit, log10((n + {SMOOTHING}) / (total + {SMOOTHING} * size)) AS logp FROM gc JOIN c ON gc.context = c.context CROSS JOIN a) SELECT surface, round(pow(10, avg(logp)), 6) AS score FROM gr JOIN m ON gr.context = m.context AND gr.unit = m.unit GROUP BY 1",
+    "ngram_score": f"""WITH {_OBS}, t AS (SELECT surface, sum(count) AS total FROM obs GROUP BY 1), tr AS (SELECT surface FROM t WHERE total >= {DICTIONARY}), {_SCORES}
+SELECT surface, score FROM scored""",
     "neighbour_distance": f"""WITH {_OBS}, t AS (SELECT surface, sum(count) AS total, count(*) AS breadth FROM obs GROUP BY 1),
-h AS (SELECT surface AS headword FROM t WHERE total >= {DICTIONARY} AND len(surface) >= 4), q AS (SELECT surface FROM t WHERE total = 1 AND breadth < {BREADTH} AND len(surface) BETWEEN 4 AND 7),
-n AS (SELECT surface, least(min(levenshtein(surface, headword)), {DISTANCE + 1}) AS distance FROM q CROSS JOIN h GROUP BY 1)
-SELECT surface, CAST(distance AS BIGINT) AS distance, CASE WHEN distance > {DISTANCE} THEN 0.0 ELSE 1.0 / greatest(distance, 1) END::DOUBLE AS closeness FROM n""",
+b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS surface FROM benchmark),
+h AS (SELECT surface AS headword FROM t WHERE total >= {DICTIONARY}), q AS (SELECT surface FROM t WHERE breadth < {BREADTH} AND surface NOT IN (SELECT surface FROM b)),
+n AS (SELECT surface, least(min(levenshtein(surface, headword)), {DISTANCE + 1}) AS distance FROM q LEFT JOIN h ON abs(len(surface) - len(headword)) <= {DISTANCE} GROUP BY 1)
+SELECT surface, CAST(coalesce(distance, {DISTANCE + 1}) AS BIGINT) AS distance, CASE WHEN coalesce(distance, {DISTANCE + 1}) > {DISTANCE} THEN 0.0 ELSE 1.0 / greatest(distance, 1) END::DOUBLE AS closeness FROM n""",
 }

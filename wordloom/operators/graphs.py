@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions import texts as X
 from wordloom.operators.corpus import observations, totals
+from wordloom.sources.shared import written
 from wordloom.sources.tables import table
 
 #: Longest word of the ladder, least total of its words; most differing places of rivals.
 LONGEST, LEAST, DIFFER = 6, 5, 2
-#: Fixed boards: a grid with the words served with it, and a mask of open (.) and closed (#) cells.
-GRID = ("cathe", "onrae", "reste", "thand")
-SERVED = ("cat", "the", "rest", "and", "hat", "sand", "ten", "core", "tan", "er")
-BOARD = ("...#.", ".#...", "....#", ".#...")
-WORDS = ("", "a", "ab", "abca", "hello", "banana")
-GUESSES = (("abbey", "babes"), ("crane", "crane"), ("speed", "erase"), ("aaaaa", "abaca"), ("zzzzz", "apple"))
+#: Rows and columns of a part's mask and of its grid; least and most letters of the words looked for in grids.
+MASK, GRID, SHORT, LONG = 5, 4, 3, 4
 
 
 def ladder_nodes(seen: DataFrame) -> DataFrame:
@@ -34,17 +33,18 @@ def ladder_up(nodes: DataFrame) -> DataFrame:
     return removed.join(nodes.select(F.col("key").alias("low")), "low").select("low", "high")
 
 
-def folded(nodes: DataFrame, edges: DataFrame, steps: int = LONGEST - 2) -> DataFrame:
-    """key, reach (rungs of the longest climb) and promise (greatest least frequency of such a climb's further rungs, null at the top).
+def climbs(nodes: DataFrame, edges: DataFrame, rungs: int = LONGEST - 1) -> DataFrame:
+    """key, rungs and promise: for each number of rungs that a climb from the key can have, its own included, the greatest least frequency of the rungs above it; null for one rung.
 
-    The graph is levelled by length, so LONGEST - 2 rounds settle it.
+    The graph is levelled by length, so there are no more than LONGEST - 1 rungs. nodes and edges are read once a rung.
     """
-    state = nodes.select("key", "frequency", F.lit(1).cast("long").alias("reach"), F.lit(None).cast("long").alias("promise"))
-    for _ in range(steps):
-        up = edges.join(state, F.col("high") == F.col("key")).select("low", F.struct(F.col("reach") + 1, F.least("frequency", F.coalesce("promise", "frequency"))).alias("climb"))
-        best = up.groupBy("low").agg(F.max("climb").alias("climb")).select("low", F.col("climb")["col1"].alias("r"), F.col("climb")["col2"].alias("p"))
-        state = nodes.join(best, nodes["key"] == best["low"], "left").select("key", "frequency", F.coalesce("r", F.lit(1)).cast("long").alias("reach"), F.col("p").alias("promise"))
-    return state.select("key", "reach", "promise")
+    level = nodes.select("key", F.lit(1).cast("long").alias("rungs"), F.lit(None).cast("long").alias("promise"))
+    out = level
+    for k in range(2, rungs + 1):
+        above = nodes.select("key", "frequency").join(level.select("key", "promise"), "key").select(F.col("key").alias("high"), F.least("frequency", F.coalesce("promise", "frequency")).alias("least"))
+        level = edges.join(above, "high").groupBy(F.col("low").alias("key")).agg(F.max("least").alias("promise")).select("key", F.lit(k).cast("long").alias("rungs"), "promise")
+        out = out.unionAll(level)
+    return out
 
 
 def _nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -52,17 +52,21 @@ def _nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ladder_edges(spark: SparkSession, d: str) -> DataFrame:
-    return ladder_up(_nodes(spark, d))
+    return ladder_up(written(_nodes(spark, d), "nodes"))
+
+
+def _climbs(spark: SparkSession, d: str) -> DataFrame:
+    nodes = written(_nodes(spark, d), "nodes")
+    return climbs(nodes, written(ladder_up(nodes), "edges"))
 
 
 def ladder_reach(spark: SparkSession, d: str) -> DataFrame:
-    nodes = _nodes(spark, d)
-    return folded(nodes, ladder_up(nodes)).select("key", "reach")
+    """key and reach, the rungs of the longest climb."""
+    return _climbs(spark, d).groupBy("key").agg(F.max("rungs").alias("reach"))
 
 
 def ladder_promise(spark: SparkSession, d: str) -> DataFrame:
-    nodes = _nodes(spark, d)
-    return folded(nodes, ladder_up(nodes)).where("promise IS NOT NULL")
+    return _climbs(spark, d).where("rungs > 1")
 
 
 def mask_rivals(spark: SparkSession, d: str) -> DataFrame:
@@ -90,40 +94,61 @@ def inverted_index_lookup(spark: SparkSession, d: str) -> DataFrame:
     return index.where(pins).groupBy("surface").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("surface")
 
 
-def _cells(spark: SparkSession, rows: tuple[str, ...]) -> DataFrame:
-    lines = spark.createDataFrame(list(enumerate(rows)), "row int, line string")
-    return lines.select("row", F.posexplode(F.split("line", "")).alias("col", "cell"))
+def grids(spark: SparkSession, d: str) -> DataFrame:
+    """board, row, col and letter: each part's name and brand, letters only and repeated, as a grid of GRID rows."""
+    letters = F.regexp_replace(F.lower(F.concat("p_name", "p_brand")), "[^a-z]", "")
+    filled = table(spark, d, "part").select(F.col("p_partkey").alias("board"), F.substr(F.repeat(letters, GRID * GRID), F.lit(1), F.lit(GRID * GRID)).alias("filled"))
+    cells = filled.select("board", F.posexplode(F.split("filled", "")).alias("place", "letter"))
+    return cells.select("board", F.floor(F.col("place") / GRID).cast("int").alias("row"), (F.col("place") % GRID).alias("col"), "letter")
+
+
+def served_words(spark: SparkSession, d: str) -> DataFrame:
+    """The distinct short words of the benchmark."""
+    words = table(spark, d, "benchmark").select(F.explode(X.tokens(F.col("text"))).alias("word")).distinct()
+    return words.where(F.length("word").between(SHORT, LONG))
 
 
 def unintended_words(spark: SparkSession, d: str) -> DataFrame:
-    """word, row, col, direction: where served words stand in the grid along any of eight rays."""
-    cells = _cells(spark, GRID)
-    ways = spark.createDataFrame([(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b], "dr int, dc int")
-    served = spark.createDataFrame([(w,) for w in SERVED], "word string")
-    letters = served.select("word", F.posexplode(F.split("word", "")).alias("k", "letter"))
-    starts = letters.join(cells.withColumnRenamed("cell", "letter"), "letter").join(F.broadcast(ways))  # eight rows
-    origin = starts.select("word", (F.col("row") - F.col("k") * F.col("dr")).alias("row"), (F.col("col") - F.col("k") * F.col("dc")).alias("col"), "dr", "dc")
-    found = origin.groupBy("word", "row", "col", "dr", "dc").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == F.length("word"))
-    return found.select("word", "row", "col", F.concat_ws(",", "dr", "dc").alias("direction"))
-
-
-def _runs(spark: SparkSession) -> DataFrame:
-    cells = _cells(spark, BOARD)
-    both = cells.select(F.lit("across").alias("way"), F.col("row").alias("line"), F.col("col").alias("place"), "cell").unionAll(cells.select(F.lit("down"), F.col("col"), F.col("row"), F.col("cell")))
-    island = F.col("place") - F.row_number().over(Window.partitionBy("way", "line").orderBy("place"))
-    runs = both.where("cell = '.'").withColumn("island", island).groupBy("way", "line", "island").agg(F.min("place").alias("start"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    """board, word, row, col, direction: where served words stand in the grids along any of eight rays.
+
+    Each grid is one array of letters; the letters along each ray from each cell are read off it, and what they spell is
+    looked up among the served words.
+    """
+    boards = grids(spark, d).groupBy("board").agg(F.array_join(F.array_sort(F.collect_list(F.struct("row", "col", "letter"))).getField("letter"), "").alias("filled"))
+    ways = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
+    rays = [(r, c, a, b, n) for r in range(GRID) for c in range(GRID) for a, b in ways for n in range(SHORT, LONG + 1) if 0 <= r + a * (n - 1) < GRID and 0 <= c + b * (n - 1) < GRID]
+    known = json.dumps([{"row": r, "col": c, "direction": f"{a},{b}", "places": [(r + a * k) * GRID + c + b * k + 1 for k in range(n)]} for r, c, a, b, n in rays])
+    each = F.inline(F.from_json(F.lit(known), "array<struct<row int, col int, direction string, places array<int>>>"))  # the rays of one grid
+    spelled = boards.select("board", "filled", each).select("board", "row", "col", "direction", F.array_join(F.transform("places", lambda k: F.substr("filled", k, F.lit(1))), "").alias("word"))
+    return spelled.join(served_words(spark, d), "word").select("board", "word", "row", "col", "direction")
+
+
+def masks(spark: SparkSession, d: str) -> DataFrame:
+    """board, row, col and cell (. open, # closed): the bits of a hash of each part's key, MASK to a row; three bits of a cell must be 0 to close it."""
+    key = F.md5(F.col("p_partkey").cast("string"))
+    places = F.sequence(F.lit(0), F.lit(MASK * MASK - 1))
+    cells = table(spark, d, "part").select(F.col("p_partkey").alias("board"), F.posexplode(F.transform(places, lambda k: F.when(F.substr(key, k + 1, F.lit(1)).isin("0", "1", "2", "3"), "#").otherwise("."))).alias("place", "cell"))
+    return cells.select("board", F.floor(F.col("place") / MASK).cast("int").alias("row"), (F.col("place") % MASK).alias("col"), "cell")
+
+
+def open_runs(cells: DataFrame) -> DataFrame:
+    """board, way, row, col and size of the longest open stretches of more than one cell of rows and columns."""
+    both = cells.select("board", F.lit("across").alias("way"), F.col("row").alias("line"), F.col("col").alias("place"), "cell").unionAll(cells.select("board", F.lit("down"), F.col("col"), F.col("row"), F.col("cell")))
+    island = F.col("place") - F.row_number().over(Window.partitionBy("board", "way", "line").orderBy("place"))
+    runs = both.where("cell = '.'").withColumn("island", island).groupBy("board", "way", "line", "island").agg(F.min("place").alias("start"), F.count(F.lit(1)).alias("size")).where("size > 1")
     across = F.col("way") == "across"
-    return runs.select("way", F.when(across, F.col("line")).otherwise(F.col("start")).alias("row"), F.when(across, F.col("start")).otherwise(F.col("line")).alias("col"), "size")
+    return runs.select("board", "way", F.when(across, F.col("line")).otherwise(F.col("start")).alias("row"), F.when(across, F.col("start")).otherwise(F.col("line")).alias("col"), "size")
 
 
 def mask_entries(spark: SparkSession, d: str) -> DataFrame:
-    """The longest open stretches of more than one cell of the board's rows and columns."""
-    return _runs(spark)
+    """The entries of each part's mask."""
+    return open_runs(masks(spark, d))
 
 
 def canonical_numbers(spark: SparkSession, d: str) -> DataFrame:
-    """Entries numbered by their first cells in reading order; those that share a cell share the number. A board is one group."""
-    return _runs(spark).select("way", "row", "col", F.dense_rank().over(Window.orderBy("row", "col")).cast("long").alias("number"))
+    """Entries of each board numbered by their first cells in reading order; those that share a cell share the number."""
+    number = F.dense_rank().over(Window.partitionBy("board").orderBy("row", "col")).cast("long")
+    return open_runs(masks(spark, d)).select("board", "way", "row", "col", number.alias("number"))
 
 
 def playlist_window(spark: SparkSession, d: str) -> DataFrame:
@@ -137,7 +162,8 @@ def playlist_window(spark: SparkSession, d: str) -> DataFrame:
 
 
 def deletion_variants(spark: SparkSession, d: str) -> DataFrame:
-    words = spark.createDataFrame([(w,) for w in WORDS], "word string")
+    """The deletion variants of the benchmark's distinct words."""
+    words = table(spark, d, "benchmark").select(F.explode(X.tokens(F.col("text"))).alias("word")).distinct()
     return words.select("word", F.explode(X.deletions(F.col("word"))).alias("variant"))
 
 
@@ -146,24 +172,21 @@ def fnv1a_hash(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mulberry_float(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", X.mulberry(F.col("doc_id") * 7919).alias("value"), X.seeded_index(F.lit(10), F.col("doc_id") * 7919).cast("long").alias("index"))
-
+    return table(spark, d, "documents").select("doc_id", X.mulberry(F.col("doc_id") * 7919).alias("value"), X.mulberry(F.col("doc_id") * 7919, 3).alias("third"))
 
-def letter_marks(spark: SparkSession, d: str) -> DataFrame:
-    """Marks of guesses against answers, each letter of the answer serving once."""
-    rows = spark.createDataFrame(list(GUESSES), "guess string, answer string")
-    return rows.select("guess", "answer", F.array_join(X.marks(F.col("guess"), F.col("answer")), ",").alias("marks"))
 
+def seeded_indexes(spark: SparkSession, d: str) -> DataFrame:
+    """A place among ten for each document, from the text of its language and id."""
+    return table(spark, d, "documents").select("doc_id", X.seeded_index(F.lit(10), F.concat(F.col("lang"), F.lit(":"), F.col("doc_id").cast("string"))).cast("long").alias("index"))
 
-#: Grapheme cases: vowel, consonant with and without signs, pulli, aytham, a lone sign, other scripts, mixed.
-CLUSTERS = ("", "abc123", "கொ", "கௌ", "ஔ", "ா", "அம்மா", "ஃக் க1", "தமிழ்")
 
-
-def unit_segments(spark: SparkSession, d: str) -> DataFrame:
-    """word, place, unit, kind and the base letter's hex, of fixed words."""
-    words = spark.createDataFrame([(w,) for w in CLUSTERS], "word string")
-    rows = words.select("word", F.posexplode(X.units(F.col("word"))).alias("place", "unit"))
-    return rows.select("word", F.col("place").cast("long"), "unit", X.unit_kind(F.col("unit")).alias("kind"), X.first_letter_hex(F.col("unit")).alias("hex"))
+def letter_marks(spark: SparkSession, d: str) -> DataFrame:
+    """Marks of guesses against answers, each letter of the answer serving once: five-letter words that follow each other among a benchmark item's."""
+    words = F.filter(X.tokens(F.col("text")), lambda w: F.length(w) == 5)
+    listed = table(spark, d, "benchmark").select(words.alias("w"))
+    pairs = F.zip_with("w", F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.struct(a.alias("guess"), b.alias("answer")))
+    rows = listed.select(F.inline(pairs)).where("answer IS NOT NULL").distinct()
+    return rows.select("guess", "answer", F.array_join(X.marks(F.col("guess"), F.col("answer")), ",").alias("marks"))
 
 
 _LADDER = f"""o AS (SELECT surface, count(*) AS total FROM (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS surface FROM documents) GROUP BY 1 HAVING len(surface) BETWEEN 2 AND {LONGEST} AND count(*) >= {LEAST}),
@@ -171,36 +194,44 @@ n AS (SELECT array_to_string(list_sort(string_split(surface, '')), '') AS key, m
 e AS (SELECT DISTINCT substr(h.key, 1, i - 1) || substr(h.key, i + 1) AS low, h.key AS high FROM (SELECT key, unnest(range(1, len(key) + 1)) AS i FROM n) h), u AS (SELECT low, high FROM e JOIN n ON low = key)"""
 
 
-def _fold_sql() -> str:
-    out = "s0 AS (SELECT key, frequency, CAST(1 AS BIGINT) AS reach, CAST(NULL AS BIGINT) AS promise FROM n)"
-    for k in range(LONGEST - 2):
-        out += f""", b{k} AS (SELECT low, max(row(reach + 1, least(frequency, coalesce(promise, frequency)))) AS c FROM u JOIN s{k} ON high = key GROUP BY 1),
-s{k + 1} AS (SELECT key, frequency, coalesce(struct_extract(c, 1), 1) AS reach, struct_extract(c, 2) AS promise FROM n LEFT JOIN b{k} ON key = low)"""
-    return out
-
-
-_LAST = f"s{LONGEST - 2}"
-_CELLS = "c AS (SELECT row, col - 1 AS col, line[col] AS cell FROM (SELECT r - 1 AS row, b[r] AS line, unnest(range(1, len(b[r]) + 1)) AS col FROM (SELECT b, unnest(range(1, len(b) + 1)) AS r FROM (SELECT {} AS b))))"
-_RUNS = _CELLS.format(list(BOARD)) + """, x AS (SELECT 'across' AS way, row AS line, col AS place, cell FROM c UNION ALL SELECT 'down', col, row, cell FROM c),
-i AS (SELECT *, place - row_number() OVER (PARTITION BY way, line ORDER BY place) AS g FROM x WHERE cell = '.'), j AS (SELECT way, line, min(place) AS start, count(*) AS size FROM i GROUP BY way, line, g HAVING count(*) > 1),
-r AS (SELECT way, CAST(CASE way WHEN 'across' THEN line ELSE start END AS INTEGER) AS row, CAST(CASE way WHEN 'across' THEN start ELSE line END AS INTEGER) AS col, size FROM j)"""
+_FOLD = f"""f AS (SELECT key, CAST(1 AS BIGINT) AS rungs, frequency AS promise FROM n UNION ALL
+  SELECT low, rungs + 1, max(least(n.frequency, promise)) FROM f JOIN u ON u.high = f.key JOIN n ON n.key = f.key WHERE rungs < {LONGEST - 1} GROUP BY 1, 2)"""
+_RUNS = f"""c AS (SELECT p_partkey AS board, CAST(k // {MASK} AS INTEGER) AS row, CAST(k % {MASK} AS INTEGER) AS col, CASE WHEN substr(md5(CAST(p_partkey AS VARCHAR)), CAST(k AS BIGINT) + 1, 1) IN ('0', '1', '2', '3') THEN '#' ELSE '.' END AS cell FROM part, range({MASK * MASK}) t(k)),
+x AS (SELECT board, 'across' AS way, row AS line, col AS place, cell FROM c UNION ALL SELECT board, 'down', col, row, cell FROM c),
+i AS (SELECT *, place - row_number() OVER (PARTITION BY board, way, line ORDER BY place) AS g FROM x WHERE cell = '.'), j AS (SELECT board, way, line, min(place) AS start, count(*) AS size FROM i GROUP BY board, way, line, g HAVING count(*) > 1),
+r AS (SELECT board, way, CASE way WHEN 'across' THEN line ELSE start END AS row, CASE way WHEN 'across' THEN start ELSE line END AS col, size FROM j)"""
+_WORDS = "SELECT DISTINCT unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS word FROM benchmark"
 _FNV = "list_reduce(list_prepend(CAST(2166136261 AS HUGEINT), list_transform(string_split(s, ''), lambda c: CAST(ord(c) AS HUGEINT))), lambda h, u: (xor(CAST(h AS BIGINT), CAST(u AS BIGINT))::HUGEINT * 16777619) % 4294967296)"
 _MUL = "((({a})::HUGEINT * ({b})::HUGEINT) % 4294967296)::BIGINT"
-_NAMES = (ladder_edges, ladder_reach, ladder_promise, mask_rivals, inverted_index_lookup, unintended_words, mask_entries, canonical_numbers, playlist_window, deletion_variants, fnv1a_hash, mulberry_float, letter_marks, unit_segments)
+
+
+def _draw(rows: str, draw: int) -> str:
+    """doc_id and the draw-th float of the rows' seeds."""
+    return f"""WITH z AS ({rows}), a AS (SELECT doc_id, (seed + {0x6D2B79F5 * draw}) & 4294967295 AS a FROM z), t AS (SELECT doc_id, {_MUL.format(a='xor(a, a >> 15)', b='a | 1')} AS t FROM a),
+u AS (SELECT doc_id, xor(t, (t + {_MUL.format(a='xor(t, t >> 7)', b='t | 61')}) & 4294967295) AS u FROM t) SELECT doc_id, xor(u, u >> 14) / 4294967296.0::DOUBLE AS value FROM u"""
+
+
+_NAMES = (ladder_edges, ladder_reach, ladder_promise, mask_rivals, inverted_index_lookup, unintended_words, mask_entries, canonical_numbers, playlist_window, deletion_variants, fnv1a_hash, mulberry_float, seeded_indexes, letter_marks)
 QUERIES = {f.__name__: f for f in _NAMES}
 ORACLES = {
     "ladder_edges": f"WITH {_LADDER} SELECT low, high FROM u",
-    "ladder_reach": f"WITH {_LADDER}, {_fold_sql()} SELECT key, reach FROM {_LAST}",
-    "ladder_promise": f"WITH {_LADDER}, {_fold_sql()} SELECT key, reach, promise FROM {_LAST} WHERE promise IS NOT NULL",
+    "ladder_reach": f"WITH RECURSIVE {_LADDER}, {_FOLD} SELECT key, max(rungs) AS reach FROM f GROUP BY 1",
+    "ladder_promise": f"WITH RECURSIVE {_LADDER}, {_FOLD} SELECT key, rungs, promise FROM f WHERE rungs > 1",
     "mask_rivals": f"WITH n AS (SELECT DISTINCT p_name FROM part), p AS (SELECT a.p_name AS name, b.p_name AS rival FROM n a JOIN n b ON len(a.p_name) = len(b.p_name) AND a.p_name <> b.p_name), q AS (SELECT *, list_transform(range(1, len(name) + 1), lambda i: CASE WHEN name[i] <> rival[i] THEN 1::BIGINT ELSE 0 END) AS d FROM p) SELECT name, rival, list_reduce(d, lambda s, b: s * 2 + b) AS mask FROM q WHERE list_sum(d) <= {DIFFER}",
     "inverted_index_lookup": "SELECT DISTINCT surface FROM (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS surface FROM documents) WHERE surface LIKE 't___e'",
-    "unintended_words": "WITH " + _CELLS.format(list(GRID)) + f", w AS (SELECT unnest({list(SERVED)}) AS word), v AS (SELECT * FROM range(-1, 2) a(dr), range(-1, 2) b(dc) WHERE dr <> 0 OR dc <> 0), l AS (SELECT word, unnest(range(len(word))) AS k FROM w), m AS (SELECT l.word, s.row, s.col, dr, dc, count(*) AS n FROM l CROSS JOIN v CROSS JOIN c s JOIN c t ON t.row = s.row + k * dr AND t.col = s.col + k * dc AND t.cell = word[k + 1] GROUP BY ALL) SELECT word, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, dr || ',' || dc AS direction FROM m WHERE n = len(word)",
+    "unintended_words": f"""WITH w AS (SELECT word FROM ({_WORDS}) WHERE len(word) BETWEEN {SHORT} AND {LONG}),
+b AS (SELECT p_partkey AS board, repeat(regexp_replace(lower(p_name || p_brand), '[^a-z]', '', 'g'), {GRID * GRID}) AS s FROM part),
+v AS (SELECT CAST(r.r AS INTEGER) AS row, CAST(c.c AS INTEGER) AS col, y.y AS dr, x.x AS dc, n.n AS n FROM range({GRID}) r(r), range({GRID}) c(c), range(-1, 2) y(y), range(-1, 2) x(x), range({SHORT}, {LONG + 1}) n(n)
+  WHERE (y.y <> 0 OR x.x <> 0) AND r.r + y.y * (n.n - 1) BETWEEN 0 AND {GRID - 1} AND c.c + x.x * (n.n - 1) BETWEEN 0 AND {GRID - 1}),
+m AS (SELECT board, row, col, dr || ',' || dc AS direction, array_to_string(list_transform(range(n), lambda k: substr(s, (row + dr * k) * {GRID} + col + dc * k + 1, 1)), '') AS word FROM b, v)
+SELECT board, word, row, col, direction FROM m WHERE word IN (SELECT word FROM w)""",
     "mask_entries": f"WITH {_RUNS} SELECT * FROM r",
-    "canonical_numbers": f"WITH {_RUNS} SELECT way, row, col, dense_rank() OVER (ORDER BY row, col) AS number FROM r",
+    "canonical_numbers": f"WITH {_RUNS} SELECT board, way, row, col, dense_rank() OVER (PARTITION BY board ORDER BY row, col) AS number FROM r",
     "playlist_window": "WITH d AS (SELECT CAST(unnest(range(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY)) AS DATE) AS day), w AS (SELECT day, (date_diff('day', DATE '1970-01-01', day) + 719163) * 5 AS w FROM d) SELECT strftime(day, '%Y-%m-%d') AS day, array_to_string(list_transform(range(5), lambda k: ((w + w // 7) % 7 + k) % 7), ',') AS places FROM w",
-    "deletion_variants": f"WITH w AS (SELECT unnest({list(WORDS)}) AS word), a AS (SELECT word, substr(word, 1, i - 1) || substr(word, i + 1) AS v FROM (SELECT word, unnest(range(1, len(word) + 1)) AS i FROM w)), b AS (SELECT word, substr(v, 1, i - 1) || substr(v, i + 1) AS v FROM (SELECT word, v, unnest(range(1, len(v) + 1)) AS i FROM a)) SELECT word, word AS variant FROM w UNION SELECT * FROM a UNION SELECT * FROM b",
+    "deletion_variants": f"WITH w AS ({_WORDS}), a AS (SELECT word, substr(word, 1, i - 1) || substr(word, i + 1) AS v FROM (SELECT word, unnest(range(1, len(word) + 1)) AS i FROM w)), b AS (SELECT word, substr(v, 1, i - 1) || substr(v, i + 1) AS v FROM (SELECT word, v, unnest(range(1, len(v) + 1)) AS i FROM a)) SELECT word, word AS variant FROM w UNION SELECT * FROM a UNION SELECT * FROM b",
     "fnv1a_hash": f"WITH s AS (SELECT doc_id, lang || ':' || doc_id AS s FROM documents) SELECT doc_id, CAST({_FNV} AS BIGINT) AS hash FROM s",
-    "mulberry_float": f"WITH a AS (SELECT doc_id, (doc_id * 7919 + 1831565813) & 4294967295 AS a FROM documents), t AS (SELECT doc_id, {_MUL.format(a='xor(a, a >> 15)', b='a | 1')} AS t FROM a), u AS (SELECT doc_id, xor(t, (t + {_MUL.format(a='xor(t, t >> 7)', b='t | 61')}) & 4294967295) AS u FROM t), v AS (SELECT doc_id, xor(u, u >> 14) / 4294967296.0::DOUBLE AS value FROM u) SELECT doc_id, value, CAST(least(floor(value * 10), 9) AS BIGINT) AS index FROM v",
-    "letter_marks": "WITH g AS (SELECT guess, answer FROM (VALUES " + ", ".join(map(str, GUESSES)) + ") t(guess, answer)) SELECT guess, answer, array_to_string(list_transform(range(1, len(guess) + 1), lambda i: CASE WHEN guess[i] = answer[i] THEN 'correct' WHEN len(list_filter(range(1, len(answer) + 1), lambda k: answer[k] = guess[i] AND guess[k] <> answer[k])) > len(list_filter(range(1, i), lambda k: guess[k] = guess[i] AND guess[k] <> answer[k])) THEN 'present' ELSE 'absent' END), ',') AS marks FROM g",
-    "unit_segments": f"WITH w AS (SELECT unnest({list(CLUSTERS)}) AS word), u AS (SELECT word, unnest(regexp_extract_all(word, '(?s).[{X.SIGNS}]*')) AS unit, unnest(range(len(regexp_extract_all(word, '(?s).[{X.SIGNS}]*')))) AS place FROM w) SELECT word, place, unit, CASE WHEN regexp_matches(unit, '^[அ-ஔ]') THEN 'uyir' WHEN starts_with(unit, 'ஃ') THEN 'aytham' WHEN regexp_matches(unit, '^[க-ஹ]') THEN CASE WHEN contains(unit, '்') AND NOT regexp_matches(unit, '[ா-ௌௗ]') THEN 'mei' ELSE 'uyirmei' END ELSE 'other' END AS kind, lpad(lower(to_hex(unicode(unit))), 4, '0') AS hex FROM u",
+    "mulberry_float": f"SELECT a.doc_id, a.value, b.value AS third FROM ({_draw('SELECT doc_id, doc_id * 7919 AS seed FROM documents', 1)}) a JOIN ({_draw('SELECT doc_id, doc_id * 7919 AS seed FROM documents', 3)}) b ON a.doc_id = b.doc_id",
+    "seeded_indexes": f"WITH s AS (SELECT doc_id, lang || ':' || doc_id AS s FROM documents), h AS (SELECT doc_id, CAST({_FNV} AS BIGINT) AS seed FROM s) SELECT doc_id, CAST(least(floor(value * 10), 9) AS BIGINT) AS index FROM ({_draw('SELECT * FROM h', 1)})",
+    "letter_marks": """WITH w AS (SELECT list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+'), lambda x: len(x) = 5) AS w FROM benchmark), g AS (SELECT DISTINCT w[i] AS guess, w[i + 1] AS answer FROM (SELECT w, unnest(range(1, len(w))) AS i FROM w))
+SELECT guess, answer, array_to_string(list_transform(range(1, len(guess) + 1), lambda i: CASE WHEN guess[i] = answer[i] THEN 'correct' WHEN len(list_filter(range(1, len(answer) + 1), lambda k: answer[k] = guess[i] AND guess[k] <> answer[k])) > len(list_filter(range(1, i), lambda k: guess[k] = guess[i] AND guess[k] <> answer[k])) THEN 'present' ELSE 'absent' END), ',') AS marks FROM g""",
 }

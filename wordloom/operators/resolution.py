@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions.texts import multiset_key
+from wordloom.sources.shared import written
 from wordloom.sources.tables import table
 
 #: The spoken sources; the languages and part types that may occur; rows that the capped ledger serves.
@@ -41,10 +42,10 @@ def single_slot_precedence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ordered_union_senses(spark: SparkSession, d: str) -> DataFrame:
-    """Per conversation the distinct openings of its turns, in the order of their first occurrence."""
-    turns = table(spark, d, "conversations").select("conv_id", "turn", F.substring("text", 1, 12).alias("opening"))
-    listed = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "opening"))).alias("l"))
-    return listed.select("conv_id", F.array_join(F.array_distinct(F.col("l")["opening"]), "|").alias("senses"))
+    """Per conversation the distinct texts of its turns, in the order of their first occurrence. A conversation's turns are one row's worth."""
+    turns = table(spark, d, "conversations").where("text IS NOT NULL").groupBy("conv_id", "text").agg(F.min("turn").alias("turn"))
+    listed = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("l"))
+    return listed.select("conv_id", F.array_join(F.col("l")["text"], "|").alias("senses"))
 
 
 def set_union_resolution(spark: SparkSession, d: str) -> DataFrame:
@@ -102,10 +103,28 @@ def gate_ledger_capped(spark: SparkSession, d: str) -> DataFrame:
     return ledger(out.withColumn("gate", F.when(F.col("served"), "kept").when(F.col("gate") == "passed", "capped").otherwise(F.col("gate"))), ["length", "frequency", "capped", "kept"])
 
 
+def places(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """rows with `place`, from 0, in the order within `by`, and `size`, the rows of the group. No task holds a whole group.
+
+    Rows are dealt to ranges of the order and numbered inside each; a range's numbers begin where those of the ranges
+    before it end. rows must not have two with the same `by` and order.
+    """
+    ranged = written(rows.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy("_part", *by).agg(F.count(F.lit(1)).alias("_n"))  # as many rows as ranges and groups
+    group = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("_n").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_{c}") for c in by], before.alias("_before"), F.sum("_n").over(group).alias("size"))
+    same = F.col("_part") == F.col("_p")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    inside = F.row_number().over(Window.partitionBy("_part", *by).orderBy(*order)) - 1
+    numbered = ranged.withColumn("_inside", inside).join(counts, same)
+    return numbered.withColumn("place", F.col("_before") + F.col("_inside")).drop("_part", "_inside", "_p", "_before", *[f"_{c}" for c in by])
+
+
 def strata(rows: DataFrame, by: str, frequency: str, key: str) -> DataFrame:
     """`stratum` 1 to 4: place * 4 div size, places by falling frequency and then key, within `by`."""
-    w = Window.partitionBy(by)
-    return rows.withColumn("stratum", ((F.row_number().over(w.orderBy(F.desc(frequency), key)) - 1) * 4 / F.count(F.lit(1)).over(w)).cast("long") + 1)
+    return places(rows, [by], [F.desc(frequency), F.asc(key)]).withColumn("stratum", F.floor(F.col("place") * 4 / F.col("size")).cast("long") + 1).drop("place", "size")
 
 
 def frequency_stratum(spark: SparkSession, d: str) -> DataFrame:
@@ -137,8 +156,9 @@ def difficulty_band(spark: SparkSession, d: str) -> DataFrame:
 def stratified_interleave(spark: SparkSession, d: str) -> DataFrame:
     """Per part type an order in which every prefix draws evenly from the strata: the depth within the stratum, then the stratum."""
     rows = strata(table(spark, d, "part"), "p_type", "p_retailprice", "p_partkey")
-    rows = rows.withColumn("depth", F.row_number().over(Window.partitionBy("p_type", "stratum").orderBy(F.md5(F.col("p_partkey").cast("string")))))
-    return rows.select("p_partkey", "p_type", F.row_number().over(Window.partitionBy("p_type").orderBy("depth", "stratum", "p_partkey")).cast("long").alias("place"))
+    rows = rows.withColumn("mixed", F.md5(F.col("p_partkey").cast("string")))
+    rows = places(rows, ["p_type", "stratum"], [F.asc("mixed")]).withColumnRenamed("place", "depth").drop("size")
+    return places(rows, ["p_type"], [F.asc("depth"), F.asc("stratum")]).select("p_partkey", "p_type", (F.col("place") + 1).alias("place"))
 
 
 def theme_division(spark: SparkSession, d: str) -> DataFrame:
@@ -180,7 +200,7 @@ _NAMES = (
 QUERIES = {f.__name__: f for f in _NAMES}
 ORACLES = {
     "single_slot_precedence": f"WITH {_FACTS} SELECT lang, source, doc_id, n_chars FROM f QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY quality IS NULL, quality DESC NULLS LAST, n_chars DESC, doc_id) = 1",
-    "ordered_union_senses": "WITH t AS (SELECT conv_id, substr(text, 1, 12) AS o, min(turn) AS turn FROM conversations GROUP BY 1, 2) SELECT conv_id, coalesce(string_agg(o, '|' ORDER BY turn), '') AS senses FROM t GROUP BY 1",
+    "ordered_union_senses": "WITH t AS (SELECT conv_id, text, min(turn) AS turn FROM conversations WHERE text IS NOT NULL GROUP BY 1, 2) SELECT conv_id, string_agg(text, '|' ORDER BY turn, text) AS senses FROM t GROUP BY 1",
     "set_union_resolution": "WITH b AS (SELECT DISTINCT p_type, p_brand FROM part), r AS (SELECT *, min(p_brand) OVER (PARTITION BY p_type) AS first FROM b) SELECT p_type, string_agg(p_brand, ',' ORDER BY p_brand) FILTER (WHERE p_brand <> first) AS brands FROM r GROUP BY 1",
     "spoken_share": f"SELECT lang, CAST(sum(n_chars) AS BIGINT) AS frequency, CASE WHEN sum(n_chars) > 0 THEN round_even(sum(CASE WHEN source IN {SPOKEN} THEN n_chars ELSE 0 END) / sum(n_chars), 6) END AS spoken_ratio FROM documents GROUP BY 1",
     "attestation_counts": f"WITH {_FACTS} SELECT lang, count(DISTINCT source) AS attestations, count(DISTINCT CASE WHEN quality = 1 THEN source END) AS tier1 FROM f GROUP BY 1",

@@ -15,10 +15,11 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.make_valid_utf8("value").alias("value"), (~F.is_valid_utf8("value")).alias("broken"))
 
 
-def delimited(spark: SparkSession, path: str, delimiter: str = "\t") -> DataFrame:
-    """fields of each line that is not blank; there are no quotes, and short rows stay."""
+def delimited(spark: SparkSession, path: str, delimiter: str = "\t", header: str | None = None) -> DataFrame:
+    """fields of each line that is not blank; there are no quotes, and short rows stay. Lines equal to `header` are left out."""
     stripped = F.btrim("value", F.lit(SPACES))
-    return lines(spark, path).where(stripped != "").select(F.split(stripped, f"\\Q{delimiter}\\E").alias("fields"), "broken")
+    rows = lines(spark, path).where(stripped != "")
+    return (rows if header is None else rows.where(stripped != header.strip(SPACES))).select(F.split(stripped, f"\\Q{delimiter}\\E").alias("fields"), "broken")
 
 
 def delimited_quoted(spark: SparkSession, path: str, schema: T.StructType, delimiter: str = "\t", header: bool = False) -> DataFrame:

@@ -88,3 +88,16 @@ def write_partitions(df: DataFrame, folder: str, keys: list[str], order: str) ->
     df.repartition(*keys).sortWithinPartitions(*keys, order).write.partitionBy(*keys).mode("overwrite").json(folder)
     files = df.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(folder)
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def read_partitions(spark: SparkSession, folder: str, schema: str, wanted: dict[str, list[str]], manifest: DataFrame | None = None) -> DataFrame:
+    """Rows of write_partitions() of the wanted values of its keys; only their folders are read. With a manifest, files whose digest differs are an error."""
+    found = spark.read.schema(schema).json(folder)
+    for key, values in wanted.items():
+        found = found.where(F.col(key).isin(*values))
+    if manifest is not None:
+        now = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(folder).select("path", F.sha2("content", 256).alias("now"))
+        bad = manifest.join(now, "path", "full").where(~F.col("sha256").eqNullSafe(F.col("now"))).limit(1).count()
+        if bad:
+            raise ValueError(f"files below {folder} are not those of the manifest")
+    return found

@@ -6,7 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from wordloom.sources.shared import shared_dir
 from wordloom.sources.tables import table
 
 #: Newest entries of a user's recency list; of the ring buffer; minutes after which a session ends.
@@ -61,7 +63,11 @@ def daily_streak(spark: SparkSession, d: str) -> DataFrame:
 
 def lru_last_seen(spark: SparkSession, d: str) -> DataFrame:
     """Per user the last RECENT event types by their last occurrence, the newest last."""
-    last = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.max(F.struct("ts", "event_id")).alias("at"))
+    return recent(table(spark, d, "events").groupBy("user_id", "event_type").agg(F.max(F.struct("ts", "event_id")).alias("at")))
+
+
+def recent(last: DataFrame) -> DataFrame:
+    """user_id and seen, of the last occurrence (at) of each of a user's event types."""
     newest = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("at")))
     kept = last.withColumn("k", newest).where(f"k <= {RECENT}").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("k", "event_type")), asc=False).alias("l"))
     return kept.select("user_id", F.array_join(F.col("l")["event_type"], ",").alias("seen"))
@@ -112,18 +118,26 @@ def window_session(spark: SparkSession, d: str) -> DataFrame:
     return counted.select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
-def _streamed(spark: SparkSession, d: str, plan, mode: str) -> DataFrame:
-    """What the plan over the events' stream has given when all there is has been read; kept in the shared checkpoint folder."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    place = f"{place.rstrip('/')}/stream-{uuid.uuid4().hex}"
+def _streamed(spark: SparkSession, d: str, plan, keys: list[str]) -> DataFrame:
+    """The last row of each key that the plan over the events' stream has given when all there is has been read.
+
+    Each batch writes the rows that it changed into a folder of its own in the shared folder; a batch that runs again
+    writes that folder again. An empty stream gives no rows.
+    """
+    place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{place}/out")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
     stream = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet" if _is_folder(spark, d) else f"{d}/events*.parquet")
+    changed = plan(stream.withColumn("ts", F.col("ts").cast("timestamp")))
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{place}/out")
+        batch.write.mode("overwrite").parquet(f"{place}/out/batch={number}")
 
-    query = plan(stream).writeStream.outputMode(mode).option("checkpointLocation", f"{place}/log").foreachBatch(keep).trigger(availableNow=True).start()
+    query = changed.writeStream.outputMode("update").option("checkpointLocation", f"{place}/log").foreachBatch(keep).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{place}/out")
+    rows = spark.read.schema(T.StructType([*changed.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{place}/out")
+    newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("batch")))
+    return rows.withColumn("_k", newest).where("_k = 1").drop("_k", "batch")
 
 
 def _is_folder(spark: SparkSession, d: str) -> bool:
@@ -132,35 +146,45 @@ def _is_folder(spark: SparkSession, d: str) -> bool:
 
 
 def stream_stats(spark: SparkSession, d: str) -> DataFrame:
-    return _streamed(spark, d, lambda e: session_stats(e, ["user_id"]), "complete")
+    """Session statistics from the stream: the state is one row a user."""
+    return _streamed(spark, d, lambda e: session_stats(e, ["user_id"]), ["user_id"])
+
+
+def _daily(stream: DataFrame, *keys: str) -> DataFrame:
+    """Counts by day of event time; days end a day after the newest event, and their state with them."""
+    counted = stream.withWatermark("ts", "1 day").groupBy(F.window("ts", "1 day"), *keys).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), *keys, "n")
 
 
 def stream_streak(spark: SparkSession, d: str) -> DataFrame:
-    """Streaks from the stream: the state is each user's set of days, the stretches are made of what it holds."""
-    days = _streamed(spark, d, lambda e: e.groupBy("user_id", F.to_date("ts").alias("date")).agg(F.count(F.lit(1)).alias("n")), "complete")
-    return streaks(days.select("user_id", "date"))
+    """Streaks from the stream: its state is the users of the last days, the stretches are made of the days that it has given."""
+    days = _streamed(spark, d, lambda e: _daily(e, "user_id"), ["day", "user_id"])
+    return streaks(days.select("user_id", F.to_date("day").alias("date")))
 
 
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """Daily windows with a watermark of a day."""
+    return _streamed(spark, d, lambda e: _daily(e, "event_type"), ["day", "event_type"])
 
-    def plan(e: DataFrame) -> DataFrame:
-        counted = e.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-        return counted.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
-    return _streamed(spark, d, plan, "complete")
+def stream_last_seen(spark: SparkSession, d: str) -> DataFrame:
+    """As lru_last_seen, from the stream: its state is the last event of each user and type."""
+    last = _streamed(spark, d, lambda e: e.groupBy("user_id", "event_type").agg(F.max(F.struct("ts", "event_id")).alias("at")), ["user_id", "event_type"])
+    return recent(last)
 
 
 _STATS = "SELECT user_id, max(value) AS max_value, count(*) FILTER (WHERE event_type = 'purchase') AS successes, count(*) FILTER (WHERE event_type = 'error') AS retries, max_by(value, row(ts, event_id)) AS last_value, bool_or(event_type = 'purchase') AS completed FROM events GROUP BY 1"
 _STREAK = "WITH d AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS date FROM events), i AS (SELECT *, date - CAST(row_number() OVER (PARTITION BY user_id ORDER BY date) AS INTEGER) AS g FROM d) SELECT user_id, strftime(min(date), '%Y-%m-%d') AS start, count(*) AS days FROM i GROUP BY user_id, g"
+_SEEN = f"WITH l AS (SELECT user_id, event_type, max(row(ts, event_id)) AS last FROM events GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY last DESC) AS k FROM l) SELECT user_id, string_agg(event_type, ',' ORDER BY k DESC) AS seen FROM k WHERE k <= {RECENT} GROUP BY 1"
 _DAILY = "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2"
-_NAMES = (event_session_stats, event_rung_marks, daily_streak, lru_last_seen, ring_buffer, unlock_states, run_sessionize, json_props, session_days, window_tumbling, window_session, stream_stats, stream_streak, stream_windows)
+_NAMES = (event_session_stats, event_rung_marks, daily_streak, lru_last_seen, ring_buffer, unlock_states, run_sessionize, json_props, session_days, window_tumbling, window_session, stream_stats, stream_streak, stream_windows, stream_last_seen)
 QUERIES = {f.__name__: f for f in _NAMES}
 ORACLES = {
     "event_session_stats": _STATS,
     "event_rung_marks": "WITH s AS (SELECT *, coalesce(sum(CASE WHEN event_type IN ('purchase', 'signup') THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM events), m AS (SELECT *, count(*) FILTER (WHERE event_type = 'error') OVER (PARTITION BY user_id, g) AS misses FROM s) SELECT event_id, user_id, CASE WHEN event_type = 'signup' THEN 'revealed' WHEN misses = 0 THEN 'first' ELSE 'retry' END AS mark FROM m WHERE event_type IN ('purchase', 'signup')",
     "daily_streak": _STREAK,
-    "lru_last_seen": f"WITH l AS (SELECT user_id, event_type, max(row(ts, event_id)) AS last FROM events GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY last DESC) AS k FROM l) SELECT user_id, string_agg(event_type, ',' ORDER BY k DESC) AS seen FROM k WHERE k <= {RECENT} GROUP BY 1",
+    "lru_last_seen": _SEEN,
+    "stream_last_seen": _SEEN,
     "ring_buffer": f"SELECT event_id, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT {RING}",
     "unlock_states": "WITH t AS (SELECT conv_id, turn, max(len(text) > 60) AS done FROM conversations GROUP BY 1, 2), l AS (SELECT *, lag(done) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM t) SELECT conv_id, turn, CASE WHEN done THEN 'completed' WHEN coalesce(b, true) THEN 'open' ELSE 'locked' END AS state FROM l",
     "run_sessionize": "WITH c AS (SELECT *, CASE WHEN role IS NOT DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role) THEN 0 ELSE 1 END AS x FROM conversations), r AS (SELECT *, sum(x) OVER (PARTITION BY conv_id ORDER BY turn, role ROWS UNBOUNDED PRECEDING) AS run FROM c) SELECT conv_id, any_value(role) AS role, min(turn) AS first_turn, count(*) AS size FROM r GROUP BY conv_id, run",
