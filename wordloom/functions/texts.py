@@ -68,9 +68,9 @@ def _times32(a: Column, b: Column) -> Column:
     return (a * b.bitwiseAND(65535) + (a * F.shiftright(b, 16)).bitwiseAND(65535) * 65536).bitwiseAND(MASK)
 
 
-def mulberry(seed: Column, draw: int = 1) -> Column:
+def mulberry(seed: Column, draw: int | Column = 1) -> Column:
     """The float in [0, 1) that the 32-bit generator mulberry32 gives at the draw-th call. Its step and shifts are fixed values."""
-    a = (seed + 0x6D2B79F5 * draw).bitwiseAND(MASK)
+    a = (seed + draw * F.lit(0x6D2B79F5).cast("long")).bitwiseAND(MASK)
     t = _times32(a.bitwiseXOR(F.shiftright(a, 15)), a.bitwiseOR(F.lit(1)))
     u = t.bitwiseXOR((t + _times32(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(F.lit(61)))).bitwiseAND(MASK))
     return u.bitwiseXOR(F.shiftright(u, 14)) / 4294967296.0

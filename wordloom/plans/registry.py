@@ -1,8 +1,8 @@
 """All queries of the library by name, and their SQL twins."""
 
-from wordloom.operators import checks, classes, corpus, derive, extracts, graphs, resolution, rows
+from wordloom.operators import checks, classes, corpus, derive, extracts, graphs, puzzles, resolution, rows
 from wordloom.streaming import events
 
-MODULES = (corpus, classes, derive, extracts, graphs, resolution, rows, checks, events)
+MODULES = (corpus, classes, derive, extracts, graphs, puzzles, resolution, rows, checks, events)
 QUERIES: dict = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES: dict = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
