@@ -77,6 +77,8 @@ def host_graph():
         path = r.choice(["/", "/fr/a", "/de/b", "/en/c?d=/de/", ""])
         links = "".join(f'<a href="{r.choice(["http:", "https:", ""])}//{r.choice(hosts).upper() if r.random() < 0.1 else r.choice(hosts)}/p">x</a>' for _ in range(r.randrange(5)))
         pages.append((i, f"http://{host}{path}", links))
+    for i, (host, path) in enumerate([("y.org", "/fr/a"), ("z.org", "/fr/b"), ("z.org", "/"), ("x.example.com", "/de/a"), ("x.example.com", "/"), ("x.example.com", "/"), ("bad.net", "/")]):
+        pages.append((300 + i, f"http://{host}{path}", "".join(f"<a href=//h{r.randrange(40)}.biz/p>x</a>" for _ in range(3))))
     return pages
 
 
