@@ -109,7 +109,7 @@ def test_texts_longer_than_a_slice(spark):
     """Repeats inside and across the parts that a long text is read in."""
     r = random.Random(2)
     words = [f"word{r.randrange(10**7)}" for _ in range(250_000)]
-    for at in (5, 100_000, 131_060, 131_072, 200_000):
+    for at in (5, 32_760, 65_536, 100_000, 131_060, 131_072, 200_000):
         words[at + 30 : at + 60] = words[at : at + 30]
-    step = repeats.SLICE_BYTES // 8
+    step = repeats.UNIT_BYTES // 8
     check(spark, [(1, " ".join(words)), (2, "x " + " ".join(words[step - 20 : step + 20]) + " y"), (3, " ".join(words[1000:40_000]))])

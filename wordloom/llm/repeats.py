@@ -32,12 +32,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordloom.llm.anchors import GRAM_BITS, Texts, anchor_runs, spans_hash
-from wordloom.llm.common import SLICE_BYTES, rest, slices, written
+from wordloom.llm.common import rest, slices, written
 
 #: The least id, for null. Copies' rows are joined in so many parts. Bytes of text in a block: at least, at most; the blocks to aim at between the two.
 NULL_ID, SALTS, BLOCK_BYTES, BLOCKS = -(1 << 63), 16, (8 << 20, 64 << 20), 4096
-#: Anchors of a range, about, and bytes of text that have one run, about.
-RANGE_ANCHORS, RUN_BYTES = 2_000_000, 32
+#: Bytes of text that are made into arrays at once. Anchors of a range, about, and bytes of text that have one run, about.
+UNIT_BYTES, RANGE_ANCHORS, RUN_BYTES = 1 << 18, 500_000, 32
 #: Bits by which keys of anchors exceed what tells all runs apart: one run in 2**SPARE_BITS looks repeated by chance.
 SPARE_BITS = 8
 
@@ -98,21 +98,21 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def units(kind: Kind, column: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-    """The texts of a column, about SLICE_BYTES at once: texts, their rows, and the place of their first symbol.
+    """The texts of a column, about UNIT_BYTES at once: texts, their rows, and the place of their first symbol.
 
     A longer text comes in parts that overlap by all symbols of a window but one, so each window is in one part.
     """
     sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)
     start = total = 0
     for row, size in enumerate([*sizes.tolist(), None]):
-        if row > start and (size is None or total + size > SLICE_BYTES):
+        if row > start and (size is None or total + size > UNIT_BYTES):
             yield column.slice(start, row - start), np.arange(start, row), np.zeros(row - start, np.int64)
             start, total = row, 0
-        if size is not None and size > SLICE_BYTES:
+        if size is not None and size > UNIT_BYTES:
             texts = Texts(column.slice(row, 1))
             starts, ends, bounds = kind.places(texts)
             n = int(bounds[-1])
-            step = SLICE_BYTES if starts is None else SLICE_BYTES // 8
+            step = UNIT_BYTES if starts is None else UNIT_BYTES // 8
             for a in range(0, max(1, n - kind.size + 1), step):
                 b = min(n, a + step + kind.size - 1)
                 if b > a:
