@@ -5,6 +5,7 @@ import hashlib
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from wordloom.llm import bpe_transducer, decontaminate, html_text, near_dups, quality_rules, substring_dedup, suffix_dedup, token_counts, url_trust, warc
@@ -51,6 +52,8 @@ def test_near_duplicates(spark):
     assert found.count((2, 12, 1, False)) == 2 and (1, 12, 1, True) in found
     assert (3, 0, 3, True) in found and (4, 0, 4, True) in found and (9, 1, 8, False) in found
     assert (2, 1, 2, True) in found and (7, 14, 1, False) in found
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs_of(spark), "").withColumn("_id", F.lit(1)).collect()]
+    assert (2, "other text here") in kept and (2, LINE) not in kept and (1, LINE) in kept and kept.count((None, LINE)) == 1
 
 
 def test_substrings(spark):
@@ -61,9 +64,23 @@ def test_substrings(spark):
 
 
 def test_suffixes(spark):
+    """Of 300 two-byte letters only the first two places have strings that do not stand earlier; of 400 times three bytes, the first three."""
     found = {(r.doc_id, r.n_bytes): (r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.report(docs_of(spark)).collect()}
-    assert found[9, 600][:2] == (600, 1) and found[8, 600][:2] == (599, 1) or found[8, 600][:2] == (600, 1) or found[8, 600][0] >= 598
-    assert found[10, 1200][0] == 1197 and found[3, 0] == (0, 0, hashlib.sha256(b"").hexdigest())
+    assert found[9, 600][:2] == (600, 1) and found[8, 600][:2] == (598, 1)
+    assert found[10, 1200][:2] == (1197, 1) and found[3, 0] == (0, 0, hashlib.sha256(b"").hexdigest())
+
+
+def test_values_of_odd_rows(spark):
+    """What each operator says of null, empty, white and repeated rows."""
+    bench = spark.createDataFrame([("a", LINE), ("b", None), ("c", ""), (None, "other text here")], "item_id string, text string")
+    judged = [(r.doc_id, r.n_words, r.base_failed, r.kept) for r in quality_rules.judge(docs_of(spark)).collect()]
+    assert judged.count((2, 16, True, False)) == 2 and (3, 0, True, False) in judged and (4, 0, True, False) in judged and (6, 60_000, False, True) in judged
+    leaks = [(r.doc_id, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontaminate.report(docs_of(spark), bench).collect()]
+    assert leaks.count((2, 16, 16, 1, True)) == 2 and (2, 3, 3, 0, True) in leaks and (3, 0, 0, 0, False) in leaks and (None, 16, 16, 1, True) in leaks and (7, 18, 16, 1, True) in leaks
+    counts = [(r.doc_id, r.n_bytes, r.n_tokens) for r in token_counts.token_counts(docs_of(spark), P.path("byte_bpe_50k.json"), P.PATTERN).collect()]
+    assert counts.count((3, 0, 0)) == 1 and (4, 0, 0) in counts and len([c for c in counts if c[:2] == (2, len(LINE))]) == 2 and (None, 0, 0) in counts
+    coded = [(r.doc_id, r.n_tokens, bytes(r.ids), bytes(r.decoded)) for r in bpe_transducer.encode_decode(docs_of(spark), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()]
+    assert (3, 0, b"", b"") in coded and (None, 0, b"", b"") in coded and {c[3] for c in coded if c[0] == 2} == {LINE.encode(), b"other text here"}
 
 
 def test_run_index_on_ties():

@@ -33,9 +33,11 @@ REGISTERS, BAND, BASE, RATE, LIMIT = 96, 4, 1.001, 20.0, (1 << 16) - 2
 #: Log-likelihood by which a similarity at the threshold may stay behind the likeliest; members of a bucket in a block (two blocks meet);
 #: pairs from which on a block counts common shingles by products of matrices, and columns of those.
 MARGIN, BLOCK, MANY, COLUMNS = 16.0, 128, 64, 8192
+#: Shingles in a block, about, whatever its members; a text has some six bytes for each.
+BLOCK_SHINGLES = 1 << 20
 
 SKETCH = T.StructType(
-    [T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("registers", T.BinaryType())]
+    [T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("registers", T.BinaryType()), T.StructField("text_digest", T.BinaryType())]
 )
 
 
@@ -71,8 +73,13 @@ def registers_of(sets: list[np.ndarray]) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(value) / np.log(BASE)), 0, LIMIT + 1).astype(np.uint16)
 
 
+def text_digest() -> F.Column:
+    """Tells rows of one id apart; that of null is its own."""
+    return F.unhex(F.md5(F.coalesce(F.concat(F.lit("t"), "text"), F.lit("")).cast("binary")))
+
+
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest of the set and registers of every row; without shingles both are null."""
+    """doc_id, n_shingles, digest of the set and registers (without shingles both are null) and digest of the text of every row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -82,9 +89,9 @@ def sketch(docs: DataFrame) -> DataFrame:
             if some:
                 for k, r in zip(some, registers_of([sets[k] for k in some]), strict=True):
                     digests[k], registers[k] = hashlib.blake2b(sets[k].tobytes(), digest_size=16).digest(), r.astype("<u2").tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(registers, pa.binary())], names=SKETCH.names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(registers, pa.binary()), batch.column("text_digest")], names=SKETCH.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SKETCH)
+    return docs.select("doc_id", "text", text_digest().alias("text_digest")).mapInArrow(run, SKETCH)
 
 
 def as_registers(column: pa.Array) -> np.ndarray:
@@ -97,15 +104,16 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
 
 
 def bands(nodes: DataFrame) -> DataFrame:
-    """key and node: a row for each band of each node."""
+    """key, node and n_shingles: a row for each band of each node."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 keys = band_keys(as_registers(batch.column("registers")))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(batch.column("node").to_numpy(), keys.shape[1]))], names=["key", "node"])
+                node, n = (np.repeat(batch.column(c).to_numpy(), keys.shape[1]) for c in ("node", "n_shingles"))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(node), pa.array(n)], names=["key", "node", "n_shingles"])
 
-    return nodes.select("node", "registers").mapInArrow(run, "key long, node long")
+    return nodes.select("node", "n_shingles", "registers").mapInArrow(run, "key long, node long, n_shingles long")
 
 
 def may_reach(n_a: np.ndarray, n_b: np.ndarray, more: np.ndarray, less: np.ndarray, percent: int) -> np.ndarray:
@@ -212,10 +220,10 @@ def joining(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> list[int]:
 
 
 def across(members: DataFrame, nodes: DataFrame, labels: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of different components that share a bucket (key, node, n), as many as join those that are linked."""
+    """Links (a, b) of different components that share a bucket (key, node; n and weight: its members and their shingles), as many as join those that are linked."""
     known = members.where("n > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed_keys = known.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    rows = known.join(mixed_keys, "key").join(nodes, "node").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    rows = known.join(mixed_keys, "key").join(nodes, "node").withColumn("blocks", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("weight") / BLOCK_SHINGLES)).cast("int"))
     rows = rows.join(docs.select(F.col("doc_id").alias("node"), "text"), "node")
     rows = rows.withColumn("i", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), "i", "node", "label", "n_shingles", "registers", "text")
@@ -268,14 +276,8 @@ def across(members: DataFrame, nodes: DataFrame, labels: DataFrame, docs: DataFr
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id linked with it over any number of links) and kept, for every row of docs.
-
-    Documents are linked if 100 * intersection >= percent * union of their shingle sets. A null, empty or white text has no
-    shingles, is linked with nothing and kept. Rows with equal ids are each judged by their text; what one is linked with, it is linked with under that id. A row with a
-    null id is linked with nothing; its component is null, and it is kept. An empty table gives no rows; further
-    columns are ignored. Texts are taken whole.
-    """
+def _judged(docs: DataFrame, percent: int) -> DataFrame:
+    """What near_duplicates() says, and text_digest(), of every row."""
     docs = docs.select("doc_id", "text")
     sketches = written(sketch(docs), "sketches")
     named = sketches.where("doc_id IS NOT NULL AND digest IS NOT NULL")
@@ -283,21 +285,38 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = written(classes, "classes")
     nodes = classes.select("node", "n_shingles", "registers")
     rows = bands(nodes)
-    buckets = rows.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = written(rows.join(buckets, "key"), "members")
+    buckets = rows.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight")).where("n > 1")
+    members = written(rows.select("key", "node").join(buckets, "key"), "members")
     pairs = members.where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     links = written(confirmed(written(likely(pairs, nodes, percent), "likely"), docs, percent), "hubs")
     labels = components(links)
-    more = written(across(members.select("key", "node", "n"), nodes, labels, docs, percent), "across")
+    more = written(across(members.select("key", "node", "n", "weight"), nodes, labels, docs, percent), "across")
     if not more.isEmpty():
         labels = components(links.unionAll(more))
     classed = sketches.join(classes.select("digest", "node"), "digest", "left")
     out = classed.join(labels, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "node", "doc_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), "text_digest")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id linked with it over any number of links) and kept, for every row of docs.
+
+    Documents are linked if 100 * intersection >= percent * union of their shingle sets. A null, empty or white text has no
+    shingles, is linked with nothing and kept. Rows with equal ids are each judged by their text; what one is linked with, it is linked with under that id. A row with a
+    null id is linked with nothing; its component is null, and it is kept. An empty table gives no rows; further
+    columns are ignored. Texts are taken whole.
+    """
+    return _judged(docs, percent).drop("text_digest")
+
+
+def without_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs that near_duplicates() keeps, with all their columns. Rows of one id are each judged by their text."""
+    gone = _judged(docs, percent).where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_digest").alias("_digest")).distinct()
+    return docs.alias("d").join(gone.alias("g"), (F.col("d.doc_id") == F.col("g._id")) & (text_digest() == F.col("g._digest")), "left_anti")
+
+
 def sql(percent: int = PERCENT) -> str:
     """The rows of near_duplicates() over the table documents, from all pairs that share a shingle."""
     return rf"""
