@@ -9,6 +9,7 @@ from collections import defaultdict
 import duckdb
 import public_tokenizers as P
 import pyarrow.parquet as pq
+import pytest
 from conftest import SMALL, rows
 
 from wordloom.llm import bpe_transducer, bpe_vocabulary, decontaminate, html_text, quality_rules, token_counts, url_trust
@@ -54,7 +55,10 @@ def boilerplate():
     return docs + [(1000 + k, same, "a") for k in range(60)] + [(2000 + k, f"{same}\nthe {k}", None) for k in range(5)]
 
 
-def test_lines_of_hosts(spark):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_lines_of_hosts(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(quality_rules, "BROADCAST_ROWS", -1)
     docs = boilerplate()
     want = brute_lines(docs)
     found = quality_rules.judge(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
@@ -114,7 +118,10 @@ def brute_mass(pages):
     return out, whole
 
 
-def test_mass_over_links(spark):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_mass_over_links(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(url_trust, "BROADCAST_ROWS", -1)
     pages = host_graph()
     want, whole = brute_mass(pages)
     table = spark.createDataFrame(pages, "page_id long, url string, html string")
@@ -142,6 +149,8 @@ TEMPLATES = {
     "a hint around everything": ("<body><div class=widget><p>{L}</p><p>{S}</p></div></body>", "{L}|{S}"),
     "two articles": ("<main><article><p>{L}</p></article><article><p>{S}</p></article></main>", "{L}|{S}"),
     "aside and form": ("<body><div><p>{L}</p><form><p>{S}</p></form><p>{L}</p></div><aside>{S}</aside></body>", "{L}|{L}"),
+    "an article's own heading": ("<header><p>{S}</p></header><article><header><h1>Head</h1></header><p>{L}</p><footer><p>{S}</p></footer></article>", "Head|{L}"),
+    "names with words around": ("<body><div class='cookie-notice'>{S}</div><div><p>{L}</p><p>{L}</p></div><div class='related-posts'><p>{S}</p></div><div id=main-nav><p>{S}</p></div><div class='x reader-comments'><p>{S}</p></div></body>", "{L}|{L}"),
     "links inside text": ("<body><div><p>{L}</p><p>One, <a href=/x>two, three</a>, four.</p><p>{L}</p></div></body>", "{L}|One, two, three, four.|{L}"),
 }
 

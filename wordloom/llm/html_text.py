@@ -7,8 +7,8 @@ tags weigh more. The paths whose mean score reaches a part of the page's are the
 holds most of what they select, the rest of that element (short headings and list items, but no blocks of links) is
 content too.
 
-Elements that are no text of an article by the meaning of their tag or role (menus, forms, headers, footers, scripts,
-what is hidden) are left out from the start. What only a class or id calls an advert, a comment and the like is left
+Elements that are no text of an article by the meaning of their tag or role (menus, forms, footers, headers outside
+articles, scripts, what is hidden) are left out from the start. What only a class or id calls an advert, a comment and the like is left
 out unless that would take most of the page's text.
 """
 
@@ -39,12 +39,12 @@ INLINE = frozenset(
 )
 #: A start tag that ends an open element: the new tag, what it ends.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Names of classes and ids, whole.
+#: Names of classes and ids, whole: what an element is, with a word before it and words of layout after it.
 HINT = re.compile(
-    r"(?:\w+[_-])?(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|signup|sidebar|navbar|navigation|menu"
+    r"(?:\w+[_-])?(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|signup|sidebar|nav|navbar|navigation|menu"
     r"|breadcrumbs?|pagination|pager|footer|masthead|topbar|toolbar|share|sharing|related|recommended|comments?|replies|respond|disqus|widget|notices?|alert)"
-    r"(?:[_-](?:box|bar|list|area|section|container|wrapper|block|top|bottom|left|right|inner|item|content|form|body|text|thread|\d+))*"
-    r"|nav|side|social|site-header|page-header|skip-link|comment-\w+|advert\w*|ad-?\d+",
+    r"(?:[_-](?:box|bar|list|area|section|container|wrapper|wrap|holder|block|panel|unit|slot|strip|row|top|bottom|left|right|inner|main|item|content|form|body|text|title|header|thread|posts?|articles?|links?|news|stories|message|policy|buttons?|notice|banner|menu|\d+))*"
+    r"|side|social|site-header|page-header|skip-\w+(?:-\w+)*|comment-\w+|advert\w*|adsby\w+|ad-?\d+",
     re.I,
 )
 REMARK = re.compile(r"comment|repl|related|promo|\bads?\b", re.I)
@@ -181,6 +181,7 @@ def tree_of(page: str) -> Tree:
             while len(stack) > 1 and (stack[-1][0] in ended or stack[-1][0] in INLINE and any(opened.get(t) for t in ended)):
                 pop()
         gone, hint = _judge(tag, attributes)
+        gone = gone and not (tag == "header" and opened.get("article"))  # an article's own heading
         element = tree.add(stack[-1][1], tag, hint)
         opened[tag] = opened.get(tag, 0) + 1
         stack.append((tag, element, stack[-1][2] or gone))

@@ -25,8 +25,8 @@ MIN_DOCS, MIN_SHARE, MIN_VARIETY, MOST = 20, 0.001, 0.25, 0.5
 LEAST_WORDS, REPEATED_PERCENT = 50, 50
 #: What judge() adds.
 RULED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "kept")
-#: Parts that each frequent line is split into when it is joined back to the documents.
-SALTS = 16
+#: Parts that each frequent line is split into when it is joined back to the documents; frequent lines that are broadcast instead, at most.
+SALTS, BROADCAST_ROWS = 16, 100_000
 
 WHITE = "\t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -106,11 +106,15 @@ def frequent_lines(rows: DataFrame) -> DataFrame:
 
 def lines_to_remove(rows: DataFrame) -> DataFrame:
     """_id of each row that has frequent lines, those lines, and how many words stand in them."""
-    hot = salted(written(frequent_lines(rows), "frequent-lines"))  # its size is known, so Spark broadcasts it only while small
-    each = rows.select(F.col("_row").alias("_id"), "source", F.explode("_lines").alias("l")).select("_id", "source", "l.line", "l.words", F.pmod("_id", F.lit(SALTS)).cast("int").alias("salt"))
-    same = F.col("l.source").eqNullSafe(F.col("h.source")) & (F.col("l.line") == F.col("h.line")) & (F.col("l.salt") == F.col("h.salt"))
-    found = each.alias("l").join(hot.alias("h"), same).select("l._id", "l.line", "l.words")
-    return found.groupBy("_id").agg(F.sum("words").alias("n_removed_words"), F.collect_set("line").alias("_frequent"))
+    hot = written(frequent_lines(rows), "frequent-lines")
+    each = rows.select(F.col("_row").alias("_id"), "source", F.explode("_lines").alias("l")).select("_id", "source", "l.line", "l.words")
+    same = F.col("l.source").eqNullSafe(F.col("h.source")) & (F.col("l.line") == F.col("h.line"))
+    if hot.count() <= BROADCAST_ROWS:  # some tens of bytes each
+        found = each.alias("l").join(F.broadcast(hot).alias("h"), same)
+    else:
+        dealt = each.withColumn("salt", F.pmod("_id", F.lit(SALTS)).cast("int"))
+        found = dealt.alias("l").join(salted(hot).alias("h"), same & (F.col("l.salt") == F.col("h.salt")))
+    return found.select("l._id", "l.line", "l.words").groupBy("_id").agg(F.sum("words").alias("n_removed_words"), F.collect_set("line").alias("_frequent"))
 
 
 def _judged(docs: DataFrame, keep_text: bool) -> DataFrame:

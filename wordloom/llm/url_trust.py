@@ -25,8 +25,8 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 UNITS, DAMPING, SHARE = 10**18, 85, 10**6
 #: A host is blocked from the FEWth part of what a wholly blocked seed starts with; rounds end when the last one has moved no more than the NEARth part of that over all hosts.
 FEW, NEAR = 1000, 50_000
-#: Parts that a host's join rows are split into; rounds after which a table is written.
-SALTS, CUT = 16, 4
+#: Parts that a host's join rows are split into, and hosts that are broadcast instead, at most; rounds after which a table is written.
+SALTS, BROADCAST_ROWS, CUT = 16, 100_000, 4
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
@@ -122,9 +122,13 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> Da
     own = start.where("NOT most").select("kind", "host", (-F.col("mass")).alias("mass"))
     mass = spread(host_edges(pages), start).unionAll(own).groupBy("kind", "host").agg(F.sum("mass").alias("mass")).where("mass > 0")
     hosts = mass.groupBy(F.col("host").alias("h")).agg(F.max(F.when(F.col("kind") == "trust", F.col("mass"))).alias("trust"), F.max(F.when(F.col("kind") == "distrust", F.col("mass"))).alias("distrust"))
-    hosts = written(hosts, "hosts").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    judged = judged.withColumn("s", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    joined = judged.join(hosts, (F.col("host") == F.col("h")) & (F.col("s") == F.col("salt")), "left")
+    hosts = written(hosts, "hosts")
+    if hosts.count() <= BROADCAST_ROWS:  # a name and two numbers each
+        joined = judged.join(F.broadcast(hosts), F.col("host") == F.col("h"), "left")
+    else:
+        hosts = hosts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        judged = judged.withColumn("s", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+        joined = judged.join(hosts, (F.col("host") == F.col("h")) & (F.col("s") == F.col("salt")), "left")
     bad = (F.coalesce("distrust", F.lit(0)) >= whole.get("distrust", 0) // FEW) & (F.coalesce("distrust", F.lit(0)) > F.coalesce("trust", F.lit(0)))
     return joined.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.when(bad, "block").otherwise("allow")).alias("verdict"), "trust", "distrust")
 
