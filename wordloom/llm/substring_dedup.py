@@ -1,7 +1,8 @@
-"""Removes word windows that an earlier document has, by compressed FM-indexes of shards.
+"""Removes word windows that an earlier document has, by FM-indexes of shards.
 
 Each shard's fragments (see repeats) are joined into one text of word numbers, and its Burrows-Wheeler transform is
-kept as a wavelet matrix of packed bits. Fragments are streamed through it: backward search narrows the interval of
+kept as a wavelet matrix of packed bits, with the fragment that each suffix is from; places of suffixes are not kept.
+Fragments are streamed through it: backward search narrows the interval of
 suffixes that begin with the words read so far, and where it has read a window, the matching statistics have reached
 the threshold. The least document of the interval says if the window stands in an earlier one.
 """
@@ -91,12 +92,13 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 class FmIndex:
-    """Of a text of small numbers; answers for patterns of up to `depth` symbols."""
+    """Of a text of small numbers, each of an owner; answers for patterns of up to `depth` symbols."""
 
-    def __init__(self, text: np.ndarray, depth: int):
-        self.places = suffix_array(text, depth)
+    def __init__(self, text: np.ndarray, owner: np.ndarray, depth: int):
+        places = suffix_array(text, depth)
         n = int(text.max()) + 1
-        self.wavelet = WaveletMatrix(text[self.places - 1], n)
+        self.wavelet = WaveletMatrix(text[places - 1], n)
+        self.owner = owner[places]
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=n))])
 
     def intervals(self, text: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,10 +122,9 @@ def search_words(fragments: pa.Array, did: np.ndarray, n: np.ndarray, size: int
     text = np.zeros(len(symbols) + len(did) + 1, np.int64)  # a zero ends each fragment
     place = np.arange(len(symbols)) + owner + 1
     text[place] = symbols
-    index = FmIndex(text, size)
-    own = np.full(len(text), len(did), np.int64)
+    own = np.full(len(text), len(did), np.int32)
     own[place] = owner
-    least_of = own[index.places]
+    index = FmIndex(text, own, size)
     window_owner = np.repeat(np.arange(len(did)), n)
     window = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + (bounds[:-1] + np.arange(len(did)) + 1)[window_owner]
     out = np.zeros(len(window), bool)
@@ -133,7 +134,7 @@ def search_words(fragments: pa.Array, did: np.ndarray, n: np.ndarray, size: int
         upper = np.empty(len(unique), np.int64)
         upper[which] = high
         pairs = np.stack([unique, upper], 1).ravel()
-        least = np.minimum.reduceat(np.append(least_of, len(did)), pairs)[::2]
+        least = np.minimum.reduceat(np.append(index.owner, len(did)), pairs)[::2]
         out[k : k + AT_ONCE] = did[least[which]] < did[window_owner[k : k + AT_ONCE]]
     return out
 

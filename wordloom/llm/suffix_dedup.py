@@ -1,7 +1,7 @@
 """Removes byte strings that stand earlier in the corpus, by run-length indexes of shards.
 
-Each shard's fragments (see repeats) are joined into one text. Of its Burrows-Wheeler transform only the runs are
-kept: their symbols, lengths, and the text places sampled at both ends. A suffix and the one before it in sorted
+Each shard's fragments (see repeats) are joined into one text. Of its Burrows-Wheeler transform only the text places
+sampled at both ends of each run are kept, as the index only answers for its own text. A suffix and the one before it in sorted
 order match the longest; where a run goes on, that match is the one of the symbol before, shortened by one, so the
 samples at run ends give the matching statistics of every place as the text streams by. Copies make long runs, and
 few samples. Places whose matches are long enough are chained together, and the leftmost of a chain stays.
@@ -67,7 +67,7 @@ def sorted_suffixes(words: np.ndarray, left: np.ndarray) -> np.ndarray:
 
 
 class RunIndex:
-    """Run-compressed Burrows-Wheeler transform with text places sampled at the runs' ends."""
+    """The runs of a Burrows-Wheeler transform by the text places sampled at their ends."""
 
     def __init__(self, text: np.ndarray, separators: np.ndarray, left: np.ndarray):
         words = eight_bytes(text)
@@ -79,8 +79,7 @@ class RunIndex:
         head = np.ones(len(text), bool)  # separators differ from each other, so what follows one begins a run
         head[1:] = (before[1:] != before[:-1]) | alone[order[1:]] | alone[order[:-1]]
         starts = np.flatnonzero(head)
-        self.symbols, self.lengths = before[starts].astype(np.uint8), np.diff(np.append(starts, len(text)))
-        self.first, self.last = order[starts], order[starts + self.lengths - 1]
+        self.first, self.last = order[starts], order[np.append(starts[1:], len(text)) - 1]
         self.n = len(text)
         #: At the place sampled first in a run: the suffix before it in order, and how far they match.
         self.matches = np.zeros(len(starts), np.int64)
