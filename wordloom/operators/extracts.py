@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wordloom.operators.checks import repeated, violations
 from wordloom.sources.tables import table
 
 #: What a tag of a part asserts: parts of speech, evidence of a class, or a reason to reject it; and categories. A tag has one destination.
@@ -119,10 +123,54 @@ def html_clean(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", title.alias("title"), F.size(F.regexp_extract_all(bare, F.lit("([^ \\n\\t]+)"), 1)).cast("long").alias("words"))
 
 
+def normalised(spark: SparkSession) -> object:
+    """A function of a text column: composed form, without white space around. Spark has no function for composition; batches go through Arrow."""
+
+    @F.pandas_udf("string")
+    def nfc(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unicodedata.normalize("NFC", t).strip(), na_action="ignore")
+
+    return nfc
+
+
+def composed_texts(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, digest of the composed text and whether composing changed it; null texts stay null."""
+    nfc = normalised(spark)
+    made = table(spark, d, "documents").select("doc_id", "text", nfc("text").alias("made"))
+    return made.select("doc_id", F.md5(F.col("made").cast("binary")).alias("digest"), (F.col("made") != F.col("text")).alias("changed"))
+
+
+def clean_markup(text: Column) -> Column:
+    """Wiki markup as plain text: without comments, references, templates (three deep) and tags; links by their label."""
+    out = F.regexp_replace(text, "(?s)<!--.*?-->|<ref[^>/]*/>|<ref[^>]*>.*?</ref>", "")
+    for _ in range(3):
+        out = F.regexp_replace(out, "\\{\\{[^{}]*\\}\\}", "")
+    out = F.regexp_replace(out, "\\[\\[(?:[^|\\]\\[]*\\|)?([^|\\]\\[]*)\\]\\]", "$1")
+    return F.trim(F.regexp_replace(F.regexp_replace(out, "'{2,}|<[^>]*>", ""), "[ \t]+", " "))
+
+
+def wiki_senses(pages: DataFrame, most: int = 24) -> DataFrame:
+    """title, ordinal and sense of pages (title, text): the lines that begin with one #, without examples (#: and #*) and empty ones; `most` a page."""
+    whole = F.regexp_replace(F.coalesce("text", F.lit("")), "(?s)<!--.*?-->", "")  # comments may run over lines
+    listed = F.filter(F.split(whole, "\n"), lambda line: line.rlike("^#[^#:*]"))
+    senses = F.filter(F.transform(listed, lambda line: clean_markup(F.regexp_replace(line, "^#", ""))), lambda x: x != "")
+    rows = pages.select("title", F.posexplode(F.slice(senses, 1, most)).alias("ordinal", "sense"))
+    return rows.select("title", F.col("ordinal").cast("long").alias("ordinal"), "sense")
+
+
+def authored_violations(rows: DataFrame, themes: list[str]) -> DataFrame:
+    """word and rule of authored entries (word, theme, meanings): trimmed and composed words, a known theme, meanings that are there, trimmed and each once, and each word once."""
+    nfc = normalised(rows.sparkSession)
+    made = rows.withColumn("_made", nfc("word"))
+    trimmed = F.forall("meanings", lambda m: (F.trim(m) == m) & (m != ""))
+    single = violations(made, ["word"], {"composed": F.col("_made") == F.col("word"), "theme": F.col("theme").isin(*themes), "meanings": F.size("meanings") > 0, "trimmed": trimmed, "distinct": F.size(F.array_distinct("meanings")) == F.size("meanings")})
+    return single.unionAll(repeated(rows, ["word"], "unique"))
+
+
 _PARSED = f"p AS (SELECT p_partkey, p_brand AS source, CASE WHEN len(s) > 5 THEN s END AS surface, CASE WHEN p_size % 2 = 0 THEN p_size ELSE 0 END AS count, p_type AS tag, CAST(regexp_extract(p_brand, '[0-9]+') AS INTEGER) % {ROLES} AS role FROM (SELECT *, trim(regexp_replace(lower(p_name), '[^a-z]+', ' ', 'g')) AS s FROM part))"
 _ROUTES = [(tag, "pos", v) for tag, vs in POS_ALIASES.items() for v in vs] + [(t, "evidence", v) for t, v in (EVIDENCE_ALIASES | REJECT_ALIASES).items()] + [(t, "category", v) for t, v in CATEGORY_ALIASES.items()]
 _FACTS = f"{_PARSED}, f AS (SELECT p_partkey, source, surface, 'headword' AS attr, surface AS value FROM p WHERE surface IS NOT NULL AND role <= 1 UNION ALL SELECT p_partkey, source, surface, attr, value FROM p JOIN (VALUES {', '.join(map(str, _ROUTES))}) r(t, attr, value) ON tag = t WHERE surface IS NOT NULL)"
-_NAMES = (extract_observations, extract_facts, extract_ledger, extract_senses, extract_synsets, extract_peers, entry_fields, html_clean)
+_NAMES = (extract_observations, extract_facts, extract_ledger, extract_senses, extract_synsets, extract_peers, entry_fields, html_clean, composed_texts)
 QUERIES = {f.__name__: f for f in _NAMES}
 ORACLES = {
     "extract_observations": f"WITH {_PARSED} SELECT source, surface, CAST(sum(count) AS BIGINT) AS count FROM p WHERE surface IS NOT NULL GROUP BY 1, 2",
@@ -132,5 +180,6 @@ ORACLES = {
     "extract_synsets": "WITH l AS (SELECT p_partkey, list_sort(list_distinct(list_append(string_split(p_name, ' '), lower(p_type)))) AS m, p_type || ' part' AS gloss, CASE WHEN p_size % 2 = 0 THEN p_brand END AS translation FROM part) SELECT p_partkey, w AS synonym, array_to_string(list_filter(m, lambda x: x <> w), '|') AS others, gloss, translation FROM (SELECT *, unnest(m) AS w FROM l)",
     "extract_peers": "WITH c AS (SELECT *, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AND row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) > 1 THEN 0 ELSE 1 END AS ch FROM events), r AS (SELECT *, sum(ch) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM c) SELECT user_id, arg_min(event_id, row(ts, event_id)) AS first_event, count(*) AS size, count(DISTINCT hour(ts)) AS hours FROM r GROUP BY user_id, run HAVING count(*) > 1",
     "entry_fields": r"SELECT conv_id, turn, trim(regexp_replace(regexp_replace(coalesce(text, ''), '\([^()]*\)', ' ', 'g'), ' +', ' ', 'g'), ' ') AS plain, regexp_extract(coalesce(text, ''), '^[\x00-\x7F]*') AS lead FROM conversations",
+    "composed_texts": r"WITH t AS (SELECT doc_id, text, regexp_replace(nfc_normalize(text), '^[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+|[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+$', '', 'g') AS m FROM documents) SELECT doc_id, md5(m) AS digest, m <> text AS changed FROM t",
     "html_clean": r"WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), b AS (SELECT page_id, h, regexp_replace(regexp_replace(h, '(?s)<!--.*?-->|<script>.*?</script>|<style>.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g') AS b FROM p) SELECT page_id, trim(regexp_replace(translate(regexp_extract(h, '(?s)<title>(.*?)</title>', 1), '_', ' '), '[ \n\t]+', ' ', 'g'), ' ') AS title, len(regexp_extract_all(b, '[^ \n\t]+')) AS words FROM b",
 }
