@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.functions import texts as X
-from wordloom.operators.graphs import _FNV, _draw
+from wordloom.operators.graphs import _FNV, _MUL, _WORDS, _draw
 from wordloom.sources.shared import written
 from wordloom.sources.tables import table
 
@@ -96,9 +96,15 @@ r AS (SELECT word, p.pattern AS pattern, n - 1 AS rivals, rank() OVER (PARTITION
 t AS (SELECT word, pattern, rivals, row_number() OVER (PARTITION BY word ORDER BY pattern) - 1 AS place, count(*) OVER (PARTITION BY word) AS ties FROM r WHERE k = 1),
 h AS (SELECT word AS doc_id, CAST({_FNV} AS BIGINT) AS seed FROM (SELECT word, word AS s FROM w)), v AS ({_draw("SELECT * FROM h", 1)}),
 c AS (SELECT word, pattern, rivals FROM t JOIN v ON v.doc_id = word WHERE place = least(floor(value * ties), ties - 1))"""
+_SWAP = "lambda s, x: CASE WHEN split_part(x, ':', 1) = split_part(x, ':', 2) THEN s ELSE substr(s, 1, split_part(x, ':', 2)::BIGINT) || substr(s, split_part(x, ':', 1)::BIGINT + 1, 1) || substr(s, split_part(x, ':', 2)::BIGINT + 2, split_part(x, ':', 1)::BIGINT - split_part(x, ':', 2)::BIGINT - 1) || substr(s, split_part(x, ':', 2)::BIGINT + 1, 1) || substr(s, split_part(x, ':', 1)::BIGINT + 2) END"
+_SCRAMBLED = f"""w AS ({_WORDS}), h AS (SELECT s AS word, CAST({_FNV} AS BIGINT) AS seed FROM (SELECT word AS s FROM w)), i AS (SELECT word, seed, unnest(range(1, len(word))) AS i FROM h),
+a AS (SELECT word, i, (seed + {0x6D2B79F5} * (len(word) - i)) & 4294967295 AS a FROM i), t AS (SELECT word, i, {_MUL.format(a='xor(a, a >> 15)', b='a | 1')} AS t FROM a),
+u AS (SELECT word, i, xor(t, (t + {_MUL.format(a='xor(t, t >> 7)', b='t | 61')}) & 4294967295) AS u FROM t), j AS (SELECT word, i, CAST(floor(xor(u, u >> 14) / 4294967296.0::DOUBLE * (i + 1)) AS BIGINT) AS j FROM u),
+l AS (SELECT word, list(i || ':' || j ORDER BY i DESC) AS steps FROM j GROUP BY 1), m AS (SELECT w.word AS word, list_reduce(list_prepend(w.word, coalesce(steps, [])), {_SWAP}) AS m FROM w LEFT JOIN l ON l.word = w.word)"""
 _NAMES = (scrambles, letter_masks, next_picks, playable_days, session_walk)
 QUERIES = {f.__name__: f for f in _NAMES}
 ORACLES = {
+    "scrambles": f"WITH {_SCRAMBLED} SELECT word, list_filter(list_transform(range(len(word)), lambda r: substr(m, r + 1) || substr(m, 1, r)), lambda x: x <> word)[1] AS scramble FROM m",
     "letter_masks": f"WITH {_BLANKED}, l AS (SELECT pattern, unnest([a, b]) AS x FROM p), z AS (SELECT c.word AS word, string_agg(DISTINCT x, '' ORDER BY x) AS decoys FROM c JOIN l ON l.pattern = c.pattern WHERE NOT contains(c.word, x) GROUP BY 1) SELECT c.word AS word, pattern, rivals, coalesce(decoys, '') AS decoys FROM c LEFT JOIN z ON z.word = c.word",
     "next_picks": f"WITH l AS (SELECT user_id, event_type, max(row(ts, event_id)) AS w FROM events GROUP BY 1, 2), p AS (SELECT unnest({list(POOL)}) AS e, unnest(range({len(POOL)})) AS k), u AS (SELECT user_id, arg_min(event_type, w) AS oldest FROM l GROUP BY 1) SELECT user_id, coalesce((SELECT arg_min(e, k) FROM p WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.user_id = u.user_id AND event_type = e)), oldest) AS next FROM u",
     "playable_days": f"SELECT o_orderpriority, strftime(max(CAST(o_orderdate AS DATE)), '%Y-%m-%d') AS day, CAST(greatest(0, least(date_diff('day', max(CAST(o_orderdate AS DATE)), DATE '{TODAY}') * 86400000, 604800000)) AS BIGINT) AS remaining_ms FROM orders WHERE CAST(o_orderdate AS DATE) <= DATE '{TODAY}' GROUP BY 1",

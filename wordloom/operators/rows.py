@@ -55,7 +55,7 @@ def letter_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def crc32_buckets(spark: SparkSession, d: str) -> DataFrame:
-    """doc_id, the crc32 of its text and the one of 64 buckets that gives."""
+    """doc_id, the crc32 of its source and the one of 64 buckets that gives."""
     return table(spark, d, "documents").select("doc_id", F.crc32(F.coalesce("source", F.lit("")).cast("binary")).alias("crc"), (F.crc32(F.coalesce("source", F.lit("")).cast("binary")) % 64).alias("bucket"))
 
 
@@ -140,6 +140,17 @@ def anagram_partners(spark: SparkSession, d: str) -> DataFrame:
     return groups.select(F.explode("all").alias("surface"), "all").select("surface", F.array_join(F.array_remove("all", F.col("surface")), ",").alias("partners"))
 
 
+def _crc_table() -> list[int]:
+    """The remainders of all bytes, by the polynomial of CRC-32."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(source, ''), ''), lambda c: ord(c)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"
 _W = "unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')))"
 _LESS = "coalesce((SELECT string_agg(repeat(c, greatest(na - coalesce(nb, 0), 0)), '' ORDER BY c) FROM (SELECT c, count(*) AS na FROM (SELECT unnest(string_split({a}, '')) AS c) GROUP BY 1) x LEFT JOIN (SELECT c AS cb, count(*) AS nb FROM (SELECT unnest(string_split({b}, '')) AS c) GROUP BY 1) y ON c = cb), '')"
 _NAMES = (
@@ -151,6 +162,7 @@ ORACLES = {
     "multiset_difference": f"WITH p AS (SELECT p_partkey, regexp_replace(lower(p_name), '[^a-z]', '', 'g') AS a, regexp_replace(lower(p_type), '[^a-z]', '', 'g') AS b FROM part) SELECT p_partkey, {_LESS.format(a='a', b='b')} AS rest, {_LESS.format(a='b', b='a')} AS missing FROM p",
     "rival_sets": "WITH o AS (SELECT DISTINCT o_custkey, c_nationkey, o_orderpriority AS p FROM orders JOIN customer ON o_custkey = c_custkey), n AS (SELECT DISTINCT c_nationkey, p FROM o), k AS (SELECT DISTINCT o_custkey, c_nationkey FROM o) SELECT o_custkey, coalesce((SELECT string_agg(p, ',' ORDER BY p) FROM n WHERE n.c_nationkey = k.c_nationkey AND NOT EXISTS (SELECT 1 FROM o WHERE o.o_custkey = k.o_custkey AND o.p = n.p)), '') AS rivals, coalesce((SELECT string_agg(p, ',' ORDER BY p) FROM o WHERE o.o_custkey = k.o_custkey AND p IN ('1-URGENT', '2-HIGH')), '') AS pressing, EXISTS (SELECT 1 FROM o WHERE o.o_custkey = k.o_custkey AND p IN ('1-URGENT', '2-HIGH')) AS any_pressing FROM k",
     "letter_pairs": "WITH b AS (SELECT DISTINCT p_brand, len(p_brand) AS n FROM part), i AS (SELECT p_brand, n, unnest(range(1, n + 1)) AS i FROM b), j AS (SELECT p_brand, i, unnest(range(i + 1, n + 1)) AS j FROM i) SELECT p_brand, i, j, substr(p_brand, 1, i - 1) || '_' || substr(p_brand, i + 1, j - i - 1) || '_' || substr(p_brand, j + 1) AS blanked FROM j",
+    "crc32_buckets": f"WITH x AS (SELECT doc_id, {_CRC} AS crc FROM documents, (SELECT {_crc_table()}::BIGINT[] AS t)) SELECT doc_id, crc, crc % 64 AS bucket FROM x",
     "event_scores": f"WITH e AS (SELECT event_id, value, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) SELECT event_id, greatest(0, (k % 7 + 1) * {POINTS} - coalesce(list_sum({list(HINT_COSTS)}[1:k % 4]), 0))::BIGINT AS score, CAST(floor(100 * (k % 11) / 10 + 0.5) AS BIGINT) AS share, CAST(CAST(ceil(value) AS BIGINT) // 60 AS VARCHAR) || ':' || lpad(CAST(CAST(ceil(value) AS BIGINT) % 60 AS VARCHAR), 2, '0') AS clock FROM e",
     "day_before": "WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders), o AS (SELECT d, date_diff('day', DATE '1970-01-01', d) + 719163 AS n FROM d) SELECT strftime(d, '%Y-%m-%d') AS day, strftime(d - 1, '%Y-%m-%d') AS before, n AS ordinal, n % 31 = 0 AS theme, d - 1 IN (SELECT d FROM d) AS follows FROM o",
     "answer_words": "WITH t AS (SELECT conv_id, turn, regexp_extract(lower(coalesce(text, '')), '[a-z]+') AS w FROM conversations), f AS (SELECT conv_id, w, min(turn) AS turn FROM t WHERE w <> '' GROUP BY 1, 2) SELECT c.conv_id AS conv_id, coalesce((SELECT string_agg(w, ',' ORDER BY f.turn, w) FROM f WHERE f.conv_id = c.conv_id), '') AS answers FROM (SELECT DISTINCT conv_id FROM t) c",
