@@ -384,7 +384,8 @@ def judged(docs: DataFrame, kind: Kind, make: Callable, schema: T.StructType, ca
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), did, F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), "text", rest(carry))
     sizes = written(texts.where("text IS NOT NULL").select("did", "digest", F.octet_length("text").cast("long").alias("size")), "digests")
     total = sizes.agg(F.sum("size")).first()[0] or 0
-    blocks = max(1, -(-total // min(BLOCK_BYTES[1], max(BLOCK_BYTES[0], total // BLOCKS))))
+    tasks = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // UNIT_BYTES))  # small tables keep all tasks busy
+    blocks = max(1, tasks, -(-total // min(BLOCK_BYTES[1], max(BLOCK_BYTES[0], total // BLOCKS))))
     runs = total // RUN_BYTES + 1
     ranges, bits = -(-runs // RANGE_ANCHORS), min(GRAM_BITS, runs.bit_length() + SPARE_BITS)
     shift = GRAM_BITS - bits
