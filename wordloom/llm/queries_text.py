@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm import decontaminate, near_dups, substring_dedup, suffix_dedup
+from wordloom.llm import decontaminate, license_scan, near_dups, substring_dedup, suffix_dedup
 from wordloom.llm.common import table
 
 #: Similarity of linked documents in op3.
@@ -27,5 +27,9 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_near_duplicates": op3_near_duplicates, "op4_decontaminate": op4_decontaminate, "op5_substring_dedup": op5_substring_dedup, "op7_suffix_dedup": op7_suffix_dedup}
-ORACLES = {"op3_near_duplicates": near_dups.sql(LINK_PERCENT), "op4_decontaminate": decontaminate.SQL, "op5_substring_dedup": substring_dedup.SQL}
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_near_duplicates": op3_near_duplicates, "op4_decontaminate": op4_decontaminate, "op5_substring_dedup": op5_substring_dedup, "op7_suffix_dedup": op7_suffix_dedup, "op11_license_scan": op11_license_scan}
+ORACLES = {"op3_near_duplicates": near_dups.sql(LINK_PERCENT), "op4_decontaminate": decontaminate.SQL, "op5_substring_dedup": substring_dedup.SQL, "op11_license_scan": license_scan.SQL}
