@@ -192,7 +192,11 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
     Null and empty texts have no words. A null language counts as `und`. Rows are counted whatever their ids, so
     repeated rows count repeatedly. Further columns are ignored. Without words, or an empty table, there are no rows.
     """
-    rows = written(pieces(docs), "pieces")
+    return of_pieces(written(pieces(docs), "pieces"), least, top)
+
+
+def of_pieces(rows: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
+    """What collocations() gives, of the pieces (lang, piece, n) `rows`, a written table."""
     counts = frequent_phrases(rows, least)
     words = F.length("piece") - F.length(F.replace(F.col("piece"), F.lit(" "), F.lit(""))) + 1
     n_words = written(rows.groupBy("lang").agg(F.sum(F.col("n") * words).alias("total")), "languages")
