@@ -10,6 +10,24 @@ from wordloom.sources.tables import table
 #: Languages and event types that may occur; band of quality values.
 LANGUAGES, EVENTS = ("de", "en", "es", "fr"), ("click", "purchase", "signup", "view")
 
+#: The tables and their columns, with the kind where that is neither an integer nor text.
+COLUMNS = {
+    "region": "r_regionkey r_name",
+    "nation": "n_nationkey n_name n_regionkey",
+    "customer": "c_custkey c_name c_nationkey c_acctbal:number c_mktsegment",
+    "supplier": "s_suppkey s_name s_nationkey s_acctbal:number",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice:number",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice:number o_orderdate:time o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity:number l_extendedprice:number l_discount:number l_tax:number l_returnflag l_linestatus l_shipdate:time",
+    "events": "event_id ts:time user_id event_type value:number props",
+    "documents": "doc_id text lang source n_chars",
+    "embeddings": "vec_id embedding:vector label",
+    "pages": "page_id url html",
+    "benchmark": "item_id text",
+    "labels": "doc_id quality toxic",
+    "conversations": "conv_id turn role text",
+}
+
 
 def violations(rows: DataFrame, key: list[str], rules: dict[str, Column]) -> DataFrame:
     """key and rule for each rule that a row breaks; a rule that is null for a row is broken."""
@@ -61,12 +79,30 @@ def config_violations(weights: dict[str, float], priority: list[str], classes: l
     return found
 
 
+def digest(rows: DataFrame) -> DataFrame:
+    """rows and hash of a table, whatever the order of its rows: the sum over all rows of 48 bits of a digest of all columns, by name.
+
+    Numbers that are no integers count in millionths, times in microseconds (local ones in the zone of the session). A null and an empty string differ. The sum
+    is a decimal, so 10**26 rows fit.
+    """
+
+    def shown(c: Column, kind: str) -> Column:
+        if kind.startswith("array<"):
+            return F.array_join(F.transform(c, lambda x: shown(x, kind[6:-1])), ",")
+        if kind in ("double", "float"):
+            return F.floor(c.cast("double") * 1e6 + 0.5).cast("string")
+        return (F.unix_micros(c.cast("timestamp")) if kind.startswith("timestamp") else c).cast("string")
+
+    parts = [F.coalesce(F.concat(F.lit("="), shown(F.col(c), kind)), F.lit("-")) for c, kind in sorted(rows.dtypes)]
+    bits = F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 12), 16, 10).cast("decimal(38,0)")
+    return rows.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(bits), F.lit(0)).cast("string").alias("hash"))
+
+
 def table_digest(spark: SparkSession, d: str) -> DataFrame:
-    """name, rows and hash of three tables: the sum over the rows of 48 bits of a row's digest, whatever the order of rows."""
+    """name, rows and hash of each table; see digest()."""
     out = None
-    for name, columns in (("region", ["r_regionkey", "r_name"]), ("nation", ["n_nationkey", "n_name", "n_regionkey"]), ("orders", ["o_orderkey", "o_custkey", "o_orderpriority"])):
-        row = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns]))
-        one = table(spark, d, name).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.conv(F.substring(row, 1, 12), 16, 10).cast("long")).alias("hash")).select(F.lit(name).alias("name"), "rows", "hash")
+    for name in COLUMNS:
+        one = digest(table(spark, d, name)).select(F.lit(name).alias("name"), "rows", "hash")
         out = one if out is None else out.unionAll(one)
     return out
 
@@ -83,9 +119,14 @@ def _rule(table_name: str, key: str, rules: dict[str, str]) -> str:
     return " UNION ALL ".join(f"SELECT {key}, '{name}' AS rule FROM {table_name} WHERE NOT coalesce({keeps}, false)" for name, keeps in rules.items())
 
 
-def _hash(name: str, columns: list[str]) -> str:
-    row = " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), '-')" for c in columns)
-    return f"SELECT '{name}' AS name, count(*) AS rows, CAST(sum(CAST('0x' || substr(md5({row}), 1, 12) AS BIGINT)) AS BIGINT) AS hash FROM {name}"
+#: How SQL shows a column of each kind, as digest() does.
+_SHOWN = {"": "{}", "number": "CAST(floor(CAST({} AS DOUBLE) * 1e6 + 0.5) AS BIGINT)", "time": "epoch_us({})", "vector": "array_to_string(list_transform({}, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1e6 + 0.5) AS BIGINT)), ',')"}
+
+
+def _hash(name: str) -> str:
+    columns = sorted((c.partition(":")[::2]) for c in COLUMNS[name].split())
+    row = " || '|' || ".join(f"coalesce('=' || CAST({_SHOWN[kind].format(c)} AS VARCHAR), '-')" for c, kind in columns)
+    return f"SELECT '{name}' AS name, count(*) AS rows, CAST(coalesce(sum(CAST(CAST('0x' || substr(md5({row}), 1, 12) AS BIGINT) AS HUGEINT)), 0) AS VARCHAR) AS hash FROM {name}"
 
 
 QUERIES = {f.__name__: f for f in (document_violations, event_violations, census_violations, table_digest, store_statistics)}
@@ -97,6 +138,6 @@ ORACLES = {
     + _rule("t", "event_id", {"type": f"event_type IN {EVENTS}", "value": "value >= 0 AND abs(value * 100 - round(value * 100)) < 1e-6", "props": "k < 90", "hour": "hour(ts) < 23"}),
     "census_violations": "WITH l AS (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_linenumber) AS u, min(l_linenumber) AS low, max(l_linenumber) AS high FROM lineitem GROUP BY 1), t AS (SELECT o_orderkey, n, u, low, high FROM orders LEFT JOIN l ON o_orderkey = l_orderkey) "
     + _rule("t", "o_orderkey", {"lines": "n > 0", "numbers": "high - low + 1 = u", "once": "n = u"}),
-    "table_digest": " UNION ALL ".join([_hash("region", ["r_regionkey", "r_name"]), _hash("nation", ["n_nationkey", "n_name", "n_regionkey"]), _hash("orders", ["o_orderkey", "o_custkey", "o_orderpriority"])]),
+    "table_digest": " UNION ALL ".join(map(_hash, COLUMNS)),
     "store_statistics": "SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(DISTINCT source) FROM documents) AS sources, (SELECT count(DISTINCT lang) FROM documents) AS languages, (SELECT count(*) FROM benchmark) AS items, (SELECT count(*) FROM (SELECT text FROM documents WHERE text IS NOT NULL UNION SELECT text FROM benchmark WHERE text IS NOT NULL)) AS texts",
 }
