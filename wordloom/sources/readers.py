@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wordloom.sources import json_arrays
+
 SPACES = " \t\r\n\x0b\x0c"
 
 
@@ -38,13 +40,8 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 
 def json_array(spark: SparkSession, path: str, element: T.DataType, root: str | None = None) -> DataFrame:
-    """element: the members of the array that is the file, or that its key `root` holds. Each file is one record, so files are of bounded size."""
-    if isinstance(element, (T.BooleanType, T.NumericType)):
-        raise ValueError("elements are objects or strings")
-    whole = spark.read.option("wholetext", True).text(path)
-    kind = T.ArrayType(element)
-    parsed = F.from_json("value", T.StructType([T.StructField(root, kind)]), {"mode": "FAILFAST"})[root] if root else F.from_json("value", kind, {"mode": "FAILFAST"})
-    return whole.select(F.explode(parsed).alias("element"))
+    """element: the members of the array that each file is, or that its key `root` holds; see json_arrays.read()."""
+    return json_arrays.read(spark, path, element, root)
 
 
 def wiki_pages(spark: SparkSession, path: str, namespace: int = 0) -> DataFrame:
