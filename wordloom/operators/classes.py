@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import letters as L
 from wordloom.functions.texts import SIGNS, first_letter_hex, tokens, unit_kind, units
-from wordloom.operators.corpus import _OBS, _SCORES, BREADTH, DICTIONARY, ngram_scores, observations, totals
+from wordloom.operators.corpus import _OBS, _SCORES, BREADTH, DICTIONARY, DISTANCE, letter_neighbours, ngram_scores, observations
 from wordloom.sources.shared import written
 from wordloom.sources.tables import table
 
@@ -40,11 +40,18 @@ def spelled(token: Column) -> Column:
     return F.concat(F.translate(F.translate(F.substring(joined, 1, 1), OPEN, OPENED), PLAIN, WRITTEN), F.translate(F.substr(joined, F.lit(2)), PLAIN, WRITTEN))
 
 
-def population(spark: SparkSession, d: str) -> DataFrame:
-    """surface and word: the surfaces of documents and of the benchmark, each once, and how they are spelled."""
-    seen = table(spark, d, "documents").select(F.explode(tokens(F.col("text"))).alias("surface"))
-    listed = table(spark, d, "benchmark").select(F.explode(tokens(F.col("text"))).alias("surface"))
-    return seen.unionAll(listed).distinct().withColumn("word", spelled(F.col("surface")))
+def uses(spark: SparkSession, d: str) -> DataFrame:
+    """surface, source, lang, labelled, quality, toxic and n: how often documents with these hold the surface. All else is worked out from this, so texts are read once."""
+    labels = table(spark, d, "labels").withColumn("labelled", F.lit(True))
+    docs = table(spark, d, "documents").join(labels, "doc_id", "left").withColumn("labelled", F.coalesce("labelled", F.lit(False)))
+    by = ["source", "lang", "labelled", "quality", "toxic"]
+    return docs.select(*by, F.explode(tokens(F.col("text"))).alias("surface")).groupBy("surface", *by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def population(spark: SparkSession, d: str, seen: DataFrame | None = None) -> DataFrame:
+    """surface and word: the surfaces of documents and of the benchmark, each once, and how they are spelled. seen: the uses(), if they are there already."""
+    seen = _words_of(table(spark, d, "documents")) if seen is None else seen.select("surface")
+    return seen.unionAll(_words_of(table(spark, d, "benchmark"))).distinct().withColumn("word", spelled(F.col("surface")))
 
 
 def unit_segments(spark: SparkSession, d: str) -> DataFrame:
@@ -119,36 +126,50 @@ def _words_of(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(tokens(F.col("text"))).alias("surface"))
 
 
+def evidence_of(seen: DataFrame) -> DataFrame:
+    """surface and evidence: what each source says of a surface, by its labelled documents that hold it.
+
+    It is colloquial if all of them are toxic, a proper noun if all are of low quality and not English, and no word if
+    some are of low quality and English. The last is dropped where the same source also uses it in a good one.
+    """
+    of = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    bad, english = F.col("quality") == 0, F.col("lang") == "en"
+    said = seen.where("labelled").groupBy("surface", "source").agg(F.sum("n").alias("all"), of(F.col("toxic") == 1).alias("toxic"), of(F.col("quality") == 1).alias("good"), of(bad & english).alias("denied"), of(bad & ~english).alias("named"))
+    names = F.array_compact(F.array(F.when((F.col("denied") > 0) & (F.col("good") == 0), "notAWord"), F.when(F.col("named") == F.col("all"), "properNoun"), F.when(F.col("toxic") == F.col("all"), "colloquial")))
+    return said.select("surface", F.explode(names).alias("said")).groupBy("surface").agg(F.collect_set("said").alias("evidence"))
+
+
 def signals(spark: SparkSession, d: str) -> DataFrame:
     """surface, word and its signals: attested, listed, verb_form (0 or 1), entry, breadth, ngram, orthotactic, neighbour (null where not asked) and evidence.
 
-    Evidence that a surface is no word is dropped where the same source also uses it in a document of good quality.
+    neighbour is the closeness, in letters, of the nearest frequent word that is wholly Tamil.
     """
-    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
-    known = written(totals(observations(docs)), "totals")
-    words = _flag(population(spark, d), _words_of(table(spark, d, "benchmark")), "attested")
+    seen = written(uses(spark, d), "uses")
+    known = written(seen.groupBy("surface").agg(F.sum("n").alias("total"), F.size(F.collect_set("source")).alias("breadth"), F.bool_or(F.col("source").isin(*TIER_ONE) & (F.col("quality") == 1)).alias("entry")), "totals")
     turns = table(spark, d, "conversations")
+    words = _flag(population(spark, d, known), _words_of(table(spark, d, "benchmark")), "attested")
     words = _flag(words, _words_of(turns.where("role = 'user'")), "listed")
     words = _flag(words, _words_of(turns.where("role = 'assistant'")).where("length(surface) >= 9"), "verb_form")
-    words = _flag(words, _words_of(docs.where(F.col("source").isin(*TIER_ONE) & (F.col("quality") == 1))), "entry").withColumn("entry", F.col("entry") == 1)
-    words = words.join(known.select("surface", "breadth", "total"), "surface", "left").withColumns({"breadth": F.coalesce("breadth", F.lit(0)), "total": F.coalesce("total", F.lit(0))})
+    words = words.join(known, "surface", "left").withColumns({"breadth": F.coalesce("breadth", F.lit(0)), "total": F.coalesce("total", F.lit(0)), "entry": F.coalesce("entry", F.lit(False))})
     scores = ngram_scores(known.select("surface"), known.where(f"total >= {DICTIONARY}").select("surface"))
     words = words.join(scores.withColumnRenamed("score", "ngram"), "surface", "left").withColumn("ngram", F.coalesce("ngram", F.lit(0.0)))
-    frequent = known.where(f"total >= {DICTIONARY}").select(F.col("surface").alias("shorter")).withColumn("near", F.lit(1.0))
-    words = words.join(frequent, F.expr("left(surface, length(surface) - 1)") == F.col("shorter"), "left").drop("shorter")
+    words = words.join(evidence_of(seen), "surface", "left").withColumn("s", L.shape(F.col("word")))
     asked = (F.col("attested") == 0) & (F.col("verb_form") == 0) & (F.col("breadth") < BREADTH)
-    words = words.withColumn("neighbour", F.when(asked, F.coalesce("near", F.lit(0.0)))).drop("near")
-    said = F.when(F.col("toxic") == 1, "colloquial").when(F.col("quality") == 0, F.when(F.col("lang") == "en", "notAWord").otherwise("properNoun"))
-    facts = docs.withColumn("said", said).select("source", "quality", "said", F.explode(F.array_distinct(tokens(F.col("text")))).alias("surface"))
-    good = facts.where("quality = 1").select("source", "surface").distinct()
-    denials = facts.where("said = 'notAWord'").join(good, ["source", "surface"], "left_anti")
-    evidence = facts.where("said <> 'notAWord'").select("surface", "said").unionAll(denials.select("surface", "said"))
-    rare = known.where("total = 1").select("surface")  # what other documents use too needs no single source's word
-    evidence = evidence.join(rare, "surface", "left_semi").groupBy("surface").agg(F.collect_set("said").alias("evidence"))
-    words = words.join(evidence, "surface", "left").withColumn("s", L.shape(F.col("word")))
+    words = written(words.withColumn("asked", asked), "signals")
+    heads = words.where((F.col("total") >= DICTIONARY) & ~F.col("s.has_foreign"))
+    near = letter_neighbours(words.where("asked").select("word"), heads.select("word"))
+    words = words.join(near.select("word", "closeness"), "word", "left").withColumn("neighbour", F.when(F.col("asked"), F.coalesce("closeness", F.lit(0.0)))).drop("asked", "closeness")
     return words.withColumns({"orthotactic": L.orthotactic(F.col("s"), *WEIGHTS), "refusal": refusal(F.col("word"), F.col("s")), "said": asserted(F.col("evidence"))})
 
 
+def letter_distance(spark: SparkSession, d: str) -> DataFrame:
+    """word, distance and closeness, in letters, of all words that no benchmark item uses, to the words of frequent surfaces."""
+    known = written(observations(table(spark, d, "documents")).groupBy("surface").agg(F.sum("count").alias("total")), "totals")
+    attested = _words_of(table(spark, d, "benchmark")).distinct()
+    word = spelled(F.col("surface")).alias("word")
+    return letter_neighbours(known.join(attested, "surface", "left_anti").select(word), known.where(f"total >= {DICTIONARY}").select(word))
+
+
 def classified(spark: SparkSession, d: str) -> DataFrame:
     return written(signals(spark, d).withColumn("class", word_class()), "classified")
 
@@ -212,26 +233,43 @@ bad AS (SELECT DISTINCT word FROM (SELECT word, u[i] AS m, u[i][1] AS a, u[i + 1
 sh AS (SELECT word, u, k[1] = 'uyir' OR k[1] = 'uyirmei' AND contains('{L.OPENING}', u[1][1]) AS initial_legal, k[-1] <> 'mei' OR len(u[-1]) = 2 AND contains('{L.CLOSING}', u[-1][1]) AS final_legal, word NOT IN (SELECT word FROM bad) AS clusters_legal,
   len(list_filter(u, lambda x: contains('{L.BORROWED}', x[1]))) > 0 AS has_grantha, list_contains(k, 'other') AS has_foreign, len(list_filter(u, lambda x: ({_defect('x')}) IS NOT NULL)) = 0 AS all_letters FROM ku),
 sc AS (SELECT *, CASE WHEN has_foreign THEN 0.0 ELSE round(greatest(0.0, 1.0 - CASE WHEN initial_legal THEN 0.0 ELSE {WEIGHTS[0]} END - CASE WHEN final_legal THEN 0.0 ELSE {WEIGHTS[1]} END - CASE WHEN clusters_legal THEN 0.0 ELSE {WEIGHTS[2]} END - CASE WHEN has_grantha THEN {WEIGHTS[3]} ELSE 0.0 END), 6) END::DOUBLE AS score FROM sh)"""
+#: Distances in units of the words {asked} to the words {heads}, of those that share what is left after up to two deletions.
+_DROP = "list_transform(range(1, len({x}) + 1), lambda {i}: {x}[:{i} - 1] || {x}[{i} + 1:])"
+_LEFT = f"list_distinct(list_transform([u] || {_DROP.format(x='u', i='i')} || flatten(list_transform({_DROP.format(x='u', i='i')}, lambda y: {_DROP.format(x='y', i='j')})), lambda z: array_to_string(z, '|')))"
+_DIFFER = "len(list_filter(range(1, len(y) + 1), lambda k: {x}[k] <> y[k]))"
+_NEAR = f"""qa AS ({{asked}}), ha AS ({{heads}}), qv AS (SELECT word, u, unnest({_LEFT}) AS v FROM qa), hv AS (SELECT u AS h, unnest({_LEFT}) AS v FROM ha), pr AS (SELECT DISTINCT word, u, h FROM qv JOIN hv ON qv.v = hv.v),
+lo AS (SELECT word, u = h AS same, CASE WHEN len(u) >= len(h) THEN u ELSE h END AS x, CASE WHEN len(u) >= len(h) THEN h ELSE u END AS y FROM pr),
+dd AS (SELECT word, CASE WHEN same THEN 0 WHEN len(x) = len(y) THEN least({_DIFFER.format(x='x')}, CASE WHEN list_has_any({_DROP.format(x='x', i='i')}, {_DROP.format(x='y', i='i')}) THEN 2 ELSE 3 END)
+  WHEN len(x) = len(y) + 1 THEN 1 + least(list_min(list_transform({_DROP.format(x='x', i='i')}, lambda z: {_DIFFER.format(x='z')})), 2) ELSE 2 END AS d FROM lo),
+nd AS (SELECT qa.word AS word, coalesce(least(min(d), {DISTANCE + 1}), {DISTANCE + 1})::BIGINT AS distance, CASE WHEN coalesce(min(d), 9) > {DISTANCE} THEN 0.0 ELSE 1.0 / greatest(min(d), 1) END::DOUBLE AS closeness FROM qa LEFT JOIN dd ON dd.word = qa.word GROUP BY 1)"""
 _TOK = "unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+'))"
 _CLASSES = f"""{_OBS}, fx AS (SELECT * FROM documents LEFT JOIN labels USING (doc_id)), t AS (SELECT surface, sum(count) AS total, count(*) AS breadth FROM obs GROUP BY 1), tr AS (SELECT surface FROM t WHERE total >= {DICTIONARY}), {_SCORES},
 {_POP}, {_SHAPES}, att AS (SELECT DISTINCT {_TOK} AS s FROM benchmark), li AS (SELECT DISTINCT {_TOK} AS s FROM conversations WHERE role = 'user'), vf AS (SELECT DISTINCT s FROM (SELECT {_TOK} AS s FROM conversations WHERE role = 'assistant') WHERE len(s) >= 9),
 en AS (SELECT DISTINCT {_TOK} AS s FROM fx WHERE source IN {TIER_ONE} AND quality = 1),
-fa AS (SELECT DISTINCT source, quality, CASE WHEN toxic = 1 THEN 'colloquial' WHEN quality = 0 THEN CASE WHEN lang = 'en' THEN 'notAWord' ELSE 'properNoun' END END AS said, {_TOK} AS s FROM fx),
-ev AS (SELECT s, min(CASE said {" ".join(f"WHEN '{e}' THEN {k}" for k, e in enumerate(EVIDENCE, 1))} END) AS best FROM fa f WHERE said IS NOT NULL AND s IN (SELECT surface FROM t WHERE total = 1) AND (said <> 'notAWord' OR NOT EXISTS (SELECT 1 FROM fa g WHERE g.quality = 1 AND g.source = f.source AND g.s = f.s)) GROUP BY 1),
+fa AS (SELECT s, source, count(*) AS n, count(*) FILTER (WHERE toxic = 1) AS tox, count(*) FILTER (WHERE quality = 1) AS good, count(*) FILTER (WHERE quality = 0 AND lang = 'en') AS den, count(*) FILTER (WHERE quality = 0 AND lang <> 'en') AS nam
+  FROM (SELECT source, lang, quality, toxic, {_TOK} AS s FROM documents JOIN labels USING (doc_id)) GROUP BY 1, 2),
+ev AS (SELECT s, min(CASE WHEN den > 0 AND good = 0 THEN {EVIDENCE.index("notAWord") + 1} WHEN nam = n THEN {EVIDENCE.index("properNoun") + 1} WHEN tox = n THEN {EVIDENCE.index("colloquial") + 1} END) AS best FROM fa GROUP BY 1),
+{_NEAR.format(asked=f"SELECT word, u FROM sh WHERE word IN (SELECT pop.word FROM pop LEFT JOIN t ON t.surface = pop.surface WHERE coalesce(t.breadth, 0) < {BREADTH} AND pop.surface NOT IN (SELECT s FROM att) AND pop.surface NOT IN (SELECT s FROM vf))", heads="SELECT word, u FROM sh WHERE NOT has_foreign AND word IN (SELECT word FROM pop JOIN tr ON tr.surface = pop.surface)")},
 si AS (SELECT p.surface, p.word, u, initial_legal, final_legal, clusters_legal, has_grantha, has_foreign, all_letters, sc.score AS orthotactic, CAST(p.surface IN (SELECT s FROM att) AS INTEGER) AS attested, CAST(p.surface IN (SELECT s FROM li) AS INTEGER) AS listed, CAST(p.surface IN (SELECT s FROM vf) AS INTEGER) AS verb_form,
-  p.surface IN (SELECT s FROM en) AS entry, coalesce(t.breadth, 0) AS breadth, coalesce(scored.score, 0.0) AS ngram, {list(EVIDENCE)}[best] AS said, left(p.surface, len(p.surface) - 1) IN (SELECT surface FROM tr) AS near
-  FROM pop p JOIN sc ON p.word = sc.word LEFT JOIN t ON t.surface = p.surface LEFT JOIN scored ON scored.surface = p.surface LEFT JOIN ev ON ev.s = p.surface),
-sn AS (SELECT *, CASE WHEN attested = 0 AND verb_form = 0 AND breadth < {BREADTH} THEN CAST(near AS INTEGER) END::DOUBLE AS neighbour, attested = 0 AND orthotactic >= {DISCOVERY[0]} AND breadth >= {DISCOVERY[1]} AND ngram >= {DISCOVERY[2]} AS found,
+  p.surface IN (SELECT s FROM en) AS entry, coalesce(t.breadth, 0) AS breadth, coalesce(scored.score, 0.0) AS ngram, {list(EVIDENCE)}[best] AS said, coalesce(nd.closeness, 0.0) AS near
+  FROM pop p JOIN sc ON p.word = sc.word LEFT JOIN t ON t.surface = p.surface LEFT JOIN scored ON scored.surface = p.surface LEFT JOIN ev ON ev.s = p.surface LEFT JOIN nd ON nd.word = p.word),
+sn AS (SELECT *, CASE WHEN attested = 0 AND verb_form = 0 AND breadth < {BREADTH} THEN near END::DOUBLE AS neighbour, attested = 0 AND orthotactic >= {DISCOVERY[0]} AND breadth >= {DISCOVERY[1]} AND ngram >= {DISCOVERY[2]} AS found,
   CASE WHEN has_foreign THEN 'nonTamil' WHEN NOT all_letters THEN 'malformedEzhuthu' WHEN len(u) > {MOST_UNITS} THEN 'tooLong' WHEN len(u) > 1 AND len(list_distinct(u)) < {LEAST_DISTINCT} THEN 'repeatedEzhuthu' END AS refusal FROM si),
 cl AS MATERIALIZED (SELECT *, CASE WHEN refusal IS NOT NULL THEN 'notAWord' WHEN said IS NOT NULL THEN said WHEN entry AND NOT has_foreign AND NOT has_grantha AND initial_legal AND final_legal AND clusters_legal AND orthotactic >= {HEADWORD_SHAPE} THEN 'headword' WHEN verb_form > 0 THEN 'inflected' WHEN has_foreign THEN 'suspectedTypo'
   WHEN has_grantha THEN 'loanword' WHEN NOT final_legal THEN 'sandhiArtifact' WHEN NOT initial_legal OR NOT clusters_legal THEN 'loanword' WHEN found THEN 'unclassified' WHEN attested = 0 AND listed = 0 AND ngram < {TYPO[0]} AND coalesce(neighbour, -1) >= {TYPO[1]} THEN 'suspectedTypo' ELSE 'unclassified' END AS class FROM sn)"""
 
-_NAMES = (unit_segments, letter_defects, word_shapes, classify_cascade, class_census, review_unclassified, review_refused, review_meaningless)
+_NAMES = (unit_segments, letter_defects, word_shapes, letter_distance, classify_cascade, class_census, review_unclassified, review_refused, review_meaningless)
 QUERIES = {f.__name__: f for f in _NAMES}
 ORACLES = {
     "unit_segments": f"WITH {_POP}, uw AS (SELECT DISTINCT word, {_SPLIT} AS u FROM pop), x AS (SELECT word, unnest(u) AS unit, unnest(range(len(u))) AS place FROM uw) SELECT word, place, unit, {_kind('unit')} AS kind, lpad(lower(to_hex(unicode(unit))), 4, '0') AS hex FROM x",
     "letter_defects": f"WITH {_POP}, uw AS (SELECT DISTINCT word, {_SPLIT} AS u FROM pop), x AS (SELECT unit, count(*) AS n FROM (SELECT DISTINCT word, unnest(u) AS unit FROM uw) GROUP BY 1), y AS (SELECT unit, n, {_defect('unit')} AS defect FROM x) SELECT unit, n, defect, {_LABEL} AS label FROM y",
     "word_shapes": f"WITH {_POP}, {_SHAPES} SELECT word, initial_legal, final_legal, clusters_legal, has_grantha, has_foreign, all_letters, score FROM sc",
+    "letter_distance": f"WITH {_OBS}, {_POP}, t AS (SELECT surface, sum(count) AS total FROM obs GROUP BY 1), uw AS (SELECT surface, word, {_SPLIT} AS u FROM pop), "
+    + _NEAR.format(
+        asked="SELECT DISTINCT word, u FROM uw WHERE surface IN (SELECT surface FROM obs) AND surface NOT IN (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) FROM benchmark)",
+        heads=f"SELECT DISTINCT word, u FROM uw WHERE surface IN (SELECT surface FROM t WHERE total >= {DICTIONARY})",
+    )
+    + " SELECT * FROM nd",
     "classify_cascade": f"WITH {_CLASSES} SELECT surface, class FROM cl",
     "class_census": f"WITH {_CLASSES}, e AS (SELECT unnest({list(CLASSES)}) AS class) SELECT e.class AS class, count(cl.class) AS n, count(*) FILTER (WHERE found) AS discoveries FROM e LEFT JOIN cl ON e.class = cl.class GROUP BY 1",
     "review_unclassified": f"WITH {_CLASSES} SELECT surface, attested, listed, verb_form, breadth, ngram, orthotactic, neighbour, len(u) AS length FROM cl WHERE class = 'unclassified'",

@@ -8,10 +8,12 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wordloom.functions.texts import bounded_distance, deletions, tokens
+from wordloom.functions.texts import bounded_distance, deletions, tokens, units
 from wordloom.sources.shared import written
 from wordloom.sources.tables import table
 
+#: Private characters that stand for a script's units, one each; the first is for units that no dictionary word has.
+FOREIGN, FIRST_CODE, LAST_CODE = 0xE000, 0xE001, 0xF8FF
 #: Smoothing of the n-gram model, its order; edit distance; frequency of a dictionary word; breadth that needs no neighbour.
 SMOOTHING, ORDER, DISTANCE, DICTIONARY, BREADTH = 0.1, 3, 2, 20, 3
 
@@ -91,6 +93,35 @@ def neighbours(asked: DataFrame, dictionary: DataFrame) -> DataFrame:
     return out.select("surface", "distance", close.alias("closeness"))
 
 
+def alphabet(words: DataFrame) -> DataFrame:
+    """unit and code: the distinct units of the words in order, each with a character of its own. More than there are characters is an error."""
+    rows = words.select(F.explode(units(F.col("word"))).alias("unit")).distinct()
+    found = sorted(r.unit for r in rows.limit(LAST_CODE - FIRST_CODE + 2).collect())  # a script's letters
+    if len(found) > LAST_CODE - FIRST_CODE + 1:
+        raise ValueError(f"more than {LAST_CODE - FIRST_CODE + 1} distinct units")
+    return words.sparkSession.createDataFrame([(u, chr(FIRST_CODE + k)) for k, u in enumerate(found)], "unit string, code string")
+
+
+def encoded(words: DataFrame, codes: DataFrame) -> DataFrame:
+    """word and code: its units as one character each, FOREIGN for those that codes, an alphabet(), does not have. Empty words are left out."""
+    parts = words.select("word").distinct().select("word", F.posexplode(units(F.col("word"))).alias("place", "unit"))
+    known = parts.join(F.broadcast(codes), "unit", "left")  # as many rows as there are private characters at most
+    one = F.struct("place", F.coalesce("code", F.lit(chr(FOREIGN))).alias("code"))
+    return known.groupBy("word").agg(F.array_join(F.array_sort(F.collect_list(one))["code"], "").alias("code"))
+
+
+def letter_neighbours(asked: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """word, distance and closeness of the nearest dictionary word, counted in units of the script; both have the column word.
+
+    A sign that changes one letter is one edit, as a letter is, however many characters they are. Units that the
+    dictionary does not have differ from all of its own. Repeated words count once, empty ones are left out.
+    """
+    codes = alphabet(dictionary)
+    words, heads = written(encoded(asked, codes), "encoded"), encoded(dictionary, codes)
+    found = neighbours(words.select(F.col("code").alias("surface")).distinct(), heads.select(F.col("code").alias("surface")).distinct())
+    return words.join(found, words["code"] == found["surface"]).select("word", "distance", "closeness")
+
+
 def _seen(spark: SparkSession, d: str) -> DataFrame:
     return observations(table(spark, d, "documents"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import letters as L
 from wordloom.functions.texts import multiset_key, tokens, units
-from wordloom.operators.classes import _POP, _SHAPES, LEAST_DISTINCT, MOST_UNITS, refusal, spelled
+from wordloom.operators.classes import _POP, _SHAPES, LEAST_DISTINCT, MOST_UNITS, refusal, spelled, uses
 from wordloom.operators.resolution import first_match, ledger
 from wordloom.sources.shared import written
 from wordloom.sources.tables import table
@@ -24,15 +24,13 @@ def entries(spark: SparkSession, d: str) -> DataFrame:
 
     The meaning of a surface is the turn that follows the first one with it: least conversation, then least turn.
     """
-    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
-    uses = docs.select("lang", "source", "quality", F.explode(tokens(F.col("text"))).alias("surface"))
-    rows = uses.groupBy("surface").agg(
+    rows = uses(spark, d).groupBy("surface").agg(
         F.collect_set("lang").alias("categories"),
         F.collect_set("source").alias("pos"),
-        F.countDistinct("source").alias("attestations"),
-        F.countDistinct(F.when(F.col("quality") == 1, F.col("source"))).alias("tier_one"),
-        F.count(F.lit(1)).alias("frequency"),
+        F.size(F.collect_set(F.when(F.col("quality") == 1, F.col("source")))).cast("long").alias("tier_one"),
+        F.sum("n").alias("frequency"),
     )
+    rows = rows.withColumn("attestations", F.size("pos").cast("long"))
     turns = table(spark, d, "conversations").select("conv_id", "turn", "text")
     first = turns.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("surface"), "conv_id", "turn").groupBy("surface").agg(F.min(F.struct("conv_id", "turn")).alias("at"))
     asked = first.select("surface", F.col("at.conv_id").alias("conv_id"), (F.col("at.turn") + 1).alias("turn"))
