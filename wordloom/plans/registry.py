@@ -2,8 +2,8 @@
 
 from wordloom.operators import checks, classes, corpus, derive, extracts, graphs, puzzles, resolution, rows
 from wordloom.sources import queries as sources
-from wordloom.streaming import events
+from wordloom.streaming import events, sessions
 
-MODULES = (corpus, classes, derive, extracts, graphs, puzzles, resolution, rows, checks, events, sources)
+MODULES = (corpus, classes, derive, extracts, graphs, puzzles, resolution, rows, checks, events, sessions, sources)
 QUERIES: dict = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES: dict = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

@@ -118,7 +118,7 @@ def window_session(spark: SparkSession, d: str) -> DataFrame:
     return counted.select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
-def _streamed(spark: SparkSession, d: str, plan, keys: list[str]) -> DataFrame:
+def streamed(spark: SparkSession, d: str, plan, keys: list[str], files_per_batch: int = 1000) -> DataFrame:
     """The last row of each key that the plan over the events' stream has given when all there is has been read.
 
     Each batch writes the rows that it changed into a folder of its own in the shared folder; a batch that runs again
@@ -127,7 +127,7 @@ def _streamed(spark: SparkSession, d: str, plan, keys: list[str]) -> DataFrame:
     place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{place}/out")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
-    stream = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet" if _is_folder(spark, d) else f"{d}/events*.parquet")
+    stream = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", files_per_batch).parquet(f"{d}/events.parquet" if _is_folder(spark, d) else f"{d}/events*.parquet")
     changed = plan(stream.withColumn("ts", F.col("ts").cast("timestamp")))
 
     def keep(batch: DataFrame, number: int) -> None:
@@ -147,7 +147,7 @@ def _is_folder(spark: SparkSession, d: str) -> bool:
 
 def stream_stats(spark: SparkSession, d: str) -> DataFrame:
     """Session statistics from the stream: the state is one row a user."""
-    return _streamed(spark, d, lambda e: session_stats(e, ["user_id"]), ["user_id"])
+    return streamed(spark, d, lambda e: session_stats(e, ["user_id"]), ["user_id"])
 
 
 def _daily(stream: DataFrame, *keys: str) -> DataFrame:
@@ -158,18 +158,18 @@ def _daily(stream: DataFrame, *keys: str) -> DataFrame:
 
 def stream_streak(spark: SparkSession, d: str) -> DataFrame:
     """Streaks from the stream: its state is the users of the last days, the stretches are made of the days that it has given."""
-    days = _streamed(spark, d, lambda e: _daily(e, "user_id"), ["day", "user_id"])
+    days = streamed(spark, d, lambda e: _daily(e, "user_id"), ["day", "user_id"])
     return streaks(days.select("user_id", F.to_date("day").alias("date")))
 
 
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """Daily windows with a watermark of a day."""
-    return _streamed(spark, d, lambda e: _daily(e, "event_type"), ["day", "event_type"])
+    return streamed(spark, d, lambda e: _daily(e, "event_type"), ["day", "event_type"])
 
 
 def stream_last_seen(spark: SparkSession, d: str) -> DataFrame:
     """As lru_last_seen, from the stream: its state is the last event of each user and type."""
-    last = _streamed(spark, d, lambda e: e.groupBy("user_id", "event_type").agg(F.max(F.struct("ts", "event_id")).alias("at")), ["user_id", "event_type"])
+    last = streamed(spark, d, lambda e: e.groupBy("user_id", "event_type").agg(F.max(F.struct("ts", "event_id")).alias("at")), ["user_id", "event_type"])
     return recent(last)
 
 
