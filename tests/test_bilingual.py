@@ -28,7 +28,7 @@ ENTRIES = [
     ("lamp", "(see torch) தீவட்டி, பந்தம் (சிறிய"),
     ("hill", "-2 n. மலை"),
     ("hill", None),
-    ("hill", "n. (உயர்ந்த) , குன்று"),
+    ("hill", "n. குன்று (உயர்ந்த) , "),
     ("hill", "only ascii"),
     ("lamp", "n. அகல்"),
 ]
