@@ -151,6 +151,11 @@ TEMPLATES = {
     "aside and form": ("<body><div><p>{L}</p><form><p>{S}</p></form><p>{L}</p></div><aside>{S}</aside></body>", "{L}|{L}"),
     "an article's own heading": ("<header><p>{S}</p></header><article><header><h1>Head</h1></header><p>{L}</p><footer><p>{S}</p></footer></article>", "Head|{L}"),
     "names with words around": ("<body><div class='cookie-notice'>{S}</div><div><p>{L}</p><p>{L}</p></div><div class='related-posts'><p>{S}</p></div><div id=main-nav><p>{S}</p></div><div class='x reader-comments'><p>{S}</p></div></body>", "{L}|{L}"),
+    "a head that is not closed": ("<html><head><title>T</title><body><article><p>{L}</p></article></body>", "{L}"),
+    "comments that end where they begin": ("<!--><article><p>{L}</p><!---><p>Two, more.</p><!-- gone --></article>", "{L}|Two, more."),
+    "a formula in a sentence": ("<article><p>{L}</p><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>", "{L}|So x=2 holds."),
+    "references that are links": ("<article><p>{L}</p><h2>References</h2><ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul></article>", "{L}|References|One|Two"),
+    "words that only contain a hint": ("<article><p>{L}</p>" + "".join(f"<div {a}><p>Kept, too.</p></div>" for a in ("class=market-share", "class=health-related", "class=job-alert", "class=side", "class=social", "id=dinner-menu")) + "<div class=share-bar><p>Gone, though.</p></div></article>", "{L}" + "|Kept, too." * 6),
     "links inside text": ("<body><div><p>{L}</p><p>One, <a href=/x>two, three</a>, four.</p><p>{L}</p></div></body>", "{L}|One, two, three, four.|{L}"),
 }
 
@@ -164,6 +169,14 @@ def test_templates():
     assert html_text.main_text(page).startswith(SHORT.strip()) and not html_text.main_text(page, 3.0).startswith(SHORT.strip())
 
 
+def test_paths_decide():
+    pages = [h for h in pq.read_table(f"{SMALL}/pages.parquet", columns=["html"]).column("html").to_pylist() if h]
+    bare = [re.sub(r"<(/?)(?:article|main)\b", r"<\1div", re.sub(' (?:class|id)="[^"]*"', "", h)) for h in pages]
+    found = [html_text.main_text(h) for h in pages]
+    assert sum(html_text.main_text(h, 0.0) != t for h, t in zip(pages, found, strict=True)) > 0.9 * len(pages)
+    assert sum(html_text.main_text(h) == t for h, t in zip(bare, found, strict=True)) > 0.8 * len(pages)
+
+
 def test_pages_of_any_shape_take_linear_time():
     for page in ("<a b" * 100_000, "<div>" * 50_000 + "x", '<a x="' * 50_000, '<a x=">' * 50_000, "<p><b>" * 30_000 + "</i>" * 30_000, "<ul><li>a" * 20_000, "</p>" * 50_000, "<!--" * 50_000, "İ<script>" * 20_000):
         began = time.time()

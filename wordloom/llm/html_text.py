@@ -1,15 +1,15 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read into text nodes, each with the path of tags from the root to it. For each path the text length (link
-text not counted) and the punctuation of its nodes are added up and divided by the nodes. Both ratios are taken as
-logarithms, smoothed over the nodes in page order, and fused with what they were before into one score; paths that lead through article or main
-tags weigh more. The paths whose mean score reaches a part of the page's are the content. Where one element below body
-holds most of what they select, the rest of that element (short headings and list items, but no blocks of links) is
-content too.
+text not counted) and the punctuation of its nodes are added up and divided by the nodes. Each ratio is smoothed over
+the nodes in page order, and both are fused with what they were before into one score. Two features weigh on it: paths
+that lead through article or main tags count more, and nodes that a class or id calls an advert, a comment and the like
+count less, and have a path of their own. The paths whose mean score reaches a part of the page's are the content.
+Where one element below body holds most of what they select, the rest of that element is content too: short headings
+and list items, and inside an article or main also blocks of links.
 
 Elements that are no text of an article by the meaning of their tag or role (menus, forms, footers, headers outside
-articles, scripts, what is hidden) are left out from the start. What only a class or id calls an advert, a comment and the like is left
-out unless that would take most of the page's text.
+articles, scripts, what is hidden) are left out from the start.
 """
 
 from __future__ import annotations
@@ -32,27 +32,33 @@ MARK = re.compile(r"=\s*[\"']|>")
 #: One attribute, its value consumed whole, so that nothing inside a name or value is taken for another one.
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes template noscript svg math select button object audio video canvas".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes template noscript svg annotation annotation-xml select button object audio video canvas".split())
 DROPPED = frozenset("head nav footer header aside form dialog menu".split()) | RAW
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img"
+    " math semantics mrow mi mo mn ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mpadded mphantom".split()
 )
+#: What may stand in a head; any other start tag ends it.
+HEAD = frozenset("head html base basefont bgsound link meta noframes noscript script style template title".split())
 #: A start tag that ends an open element: the new tag, what it ends.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Names of classes and ids, whole: what an element is, with a word before it and words of layout after it.
+#: Names of classes and ids, whole: what an element is, with a word of place or audience before it and words of layout after it.
 HINT = re.compile(
-    r"(?:\w+[_-])?(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|signup|sidebar|nav|navbar|navigation|menu"
+    r"(?:(?:main|top|bottom|left|right|site|page|global|primary|secondary|header|body|user|reader|visitor|post|article|blog|social|cookie|mobile|desktop|inline|sticky|floating|google|sub|mega|wp|fb|js)[_-])*"
+    r"(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|signup|sidebar|nav|navbar|navigation|menu"
     r"|breadcrumbs?|pagination|pager|footer|masthead|topbar|toolbar|share|sharing|related|recommended|comments?|replies|respond|disqus|widget|notices?|alert)"
     r"(?:[_-](?:box|bar|list|area|section|container|wrapper|wrap|holder|block|panel|unit|slot|strip|row|top|bottom|left|right|inner|main|item|content|form|body|text|title|header|thread|posts?|articles?|links?|news|stories|message|policy|buttons?|notice|banner|menu|\d+))*"
-    r"|side|social|site-header|page-header|skip-\w+(?:-\w+)*|comment-\w+|advert\w*|adsby\w+|ad-?\d+",
+    r"|site-header|page-header|skip-\w+(?:-\w+)*|comment-\w+|advert\w*|adsby\w+|ad-?\d+",
     re.I,
 )
 REMARK = re.compile(r"comment|repl|related|promo|\bads?\b", re.I)
 ROOT = frozenset(("", "html", "body"))
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，！？¿¡]")
-#: Weights of the nodes around a node; the part of the text-weighted mean score that a content path must reach; what article and main tags multiply a score by; the part of the selected text that one element must hold.
-SMOOTHING, THRESHOLD, MARKED, HOLDS = (1, 2, 3, 2, 1), 0.4, 3.0, 0.8
+#: Weights of the nodes around a node; the part of the text-weighted mean score that a content path must reach; the part of the selected text that one element must hold.
+SMOOTHING, THRESHOLD, HOLDS = (1, 2, 3, 2, 1), 0.4, 0.8
+#: What article and main tags, and names that hint at other things, multiply a score by.
+MARKED, HINTED = 3.0, 0.1
 
 OUT = T.StructType(
     [T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
@@ -120,6 +126,9 @@ def tokens(page: str) -> Iterator[tuple[str, str | None, str, bool]]:
             return
         if start > at:
             yield page[at:start], None, "", False
+        if page.startswith(("<!-->", "<!--->"), start):  # comments that end where they begin
+            at = page.find(">", start) + 1
+            continue
         if page.startswith("<!--", start):
             end = page.find("-->", start + 4)
             at = size if end < 0 else end + 3
@@ -158,6 +167,9 @@ def tree_of(page: str) -> Tree:
         opened[stack.pop()[0]] -= 1
 
     for source, tag, attributes, closing in tokens(page):
+        if opened.get("head") and (source.strip() if tag is None else not closing and tag not in HEAD):
+            while opened["head"]:
+                pop()
         _, element, out = stack[-1]
         if tag is None:
             if not out:
@@ -188,31 +200,21 @@ def tree_of(page: str) -> Tree:
     return tree
 
 
-def without_hinted(tree: Tree) -> list[Node]:
-    """The nodes, less those of each hinted element, unless it holds most of the page's text and no article or main tag stands elsewhere."""
-    sizes: dict[int, int] = {}
-    told = [n for n in tree.nodes if n.text.strip()]
-    for n in told:
-        at = tree.hinted[n.element]
-        sizes[at] = sizes.get(at, 0) + len(n.text.strip())
-    sure = any(tree.marked[n.element] and tree.hinted[n.element] < 0 for n in told)
-    most = np.inf if sure else HOLDS * sum(sizes.values())
-    return [n for n in tree.nodes if tree.hinted[n.element] < 0 or sizes.get(tree.hinted[n.element], 0) > most]
-
-
 def path_scores(tree: Tree, told: list[Node]) -> tuple[np.ndarray, np.ndarray]:
     """Of each node: the mean fused score of its path, and the length of its text."""
-    path = np.unique([tree.path[n.element] for n in told], return_inverse=True)[1]
+    hinted = np.array([tree.hinted[n.element] >= 0 for n in told])
+    path = np.unique([2 * tree.path[n.element] for n in told] + hinted, return_inverse=True)[1]
     sizes = np.array([len(n.text.strip()) for n in told], float)
     plain = np.array([0 if n.in_link else s for n, s in zip(told, sizes.tolist(), strict=True)], float)
     points = np.array([0 if n.in_link else len(PUNCTUATION.findall(n.text)) for n in told], float)
     number = np.bincount(path)
-    ratios = [np.log1p(np.bincount(path, x) / number)[path] for x in (plain, points)]
+    ratios = [(np.bincount(path, x) / number)[path] for x in (plain, points)]
     weights = np.array(SMOOTHING, float)
     middle = len(weights) // 2
     around = lambda x: np.convolve(x, weights, "full")[middle : middle + len(x)]
     smooth = [around(x) / around(np.ones(len(x))) for x in ratios]
-    fused = np.sqrt(ratios[0] * (1 + ratios[1]) * smooth[0] * (1 + smooth[1])) * np.where([tree.marked[n.element] for n in told], MARKED, 1.0)
+    fused = (ratios[0] * (1 + ratios[1]) * smooth[0] * (1 + smooth[1])) ** 0.5
+    fused *= np.where([tree.marked[n.element] for n in told], MARKED, 1.0) * np.where(hinted, HINTED, 1.0)
     return (np.bincount(path, fused) / number)[path], sizes
 
 
@@ -236,7 +238,7 @@ def holder(tree: Tree, nodes: list[Node], chosen: list[Node]) -> int:
 
 def content_of(tree: Tree, threshold: float = THRESHOLD) -> list[Node]:
     """The nodes of the article."""
-    nodes = without_hinted(tree)
+    nodes = tree.nodes
     told = [n for n in nodes if n.text.strip()]
     if not told:
         return []
@@ -252,10 +254,10 @@ def content_of(tree: Tree, threshold: float = THRESHOLD) -> list[Node]:
             inside[e] = inside[tree.parent[e]]
         linked: dict[int, list[float]] = {}
         for n, size in zip(told, sizes.tolist(), strict=True):
-            if inside[n.element]:
+            if inside[n.element] and tree.hinted[n.element] == tree.hinted[top]:
                 sums = linked.setdefault(n.block, [0, 0])
                 sums[n.in_link] += size
-        blocks |= {b for b, (plain, links) in linked.items() if plain >= links}
+        blocks |= {b for b, (plain, links) in linked.items() if plain >= links or tree.marked[top]}
     return [n for n in nodes if n.block in blocks]
 
 
