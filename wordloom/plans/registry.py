@@ -1,9 +1,9 @@
 """All queries of the library by name, and their SQL twins."""
 
-from wordloom.operators import bilingual, checks, classes, corpus, derive, extracts, graphs, puzzles, resolution, rows
+from wordloom.operators import bilingual, checks, classes, corpus, derive, extracts, graphs, puzzles, resolution, rows, wiki
 from wordloom.sources import queries as sources
 from wordloom.streaming import events, sessions
 
-MODULES = (corpus, classes, bilingual, derive, extracts, graphs, puzzles, resolution, rows, checks, events, sessions, sources)
+MODULES = (corpus, classes, bilingual, wiki, derive, extracts, graphs, puzzles, resolution, rows, checks, events, sessions, sources)
 QUERIES: dict = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES: dict = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
