@@ -15,9 +15,13 @@ VOWEL_SIGNS = "ாிீுூெேைொோௌ"
 PULLI, AYTHAM = "்", "ஃ"
 #: Consonants that may open a word, those that may close one, those that do not double, and those that any soft one may meet.
 OPENING, CLOSING, SINGLE, AFTER_SOFT = "கசஙஞதநபமயவ", "மனணலளரழய", "ரழ", "மயவ"
-#: ASCII spellings: of vowels and signs by place, of consonants, of the aytham.
-VOWEL_ROMAN = "a aa i ii u uu e ee ai o oo au".split()
-CONSONANT_ROMAN = dict(zip("கஙசஞடணதநபமயரலவழளறன", "k ng ch nj d N th nh p m y r l v zh L tr n".split(), strict=True)) | dict(zip(BORROWED, "j sh ss s h".split(), strict=True))
+#: ASCII labels of vowels (and of their signs), of consonants, and of the aytham.
+VOWEL_LABELS = {"அ": "a", "ஆ": "aa", "இ": "i", "ஈ": "ii", "உ": "u", "ஊ": "uu", "எ": "e", "ஏ": "ee", "ஐ": "ai", "ஒ": "o", "ஓ": "oo", "ஔ": "au"}
+CONSONANT_ROMAN = {
+    "க": "k", "ங": "ng", "ச": "ch", "ஞ": "nj", "ட": "d", "ண": "N", "த": "th", "ந": "nh", "ப": "p", "ம": "m", "ய": "y", "ர": "r", "ல": "l", "வ": "v", "ழ": "zh", "ள": "L", "ற": "tr", "ன": "n",
+    "ஜ": "j", "ஶ": "sh", "ஷ": "ss", "ஸ": "s", "ஹ": "h",
+}
+VOWEL_ROMAN = list(VOWEL_LABELS.values())
 AYTHAM_ROMAN = "aytham"
 
 CONSONANTS = HARD + SOFT + MIDDLE

@@ -26,6 +26,9 @@ EVIDENCE = ("notAWord", "properNoun", "boundStem", "colloquial")
 CLASSES = ("headword", "inflected", "loanword", "sandhiArtifact", "suspectedTypo", "unclassified", *EVIDENCE)
 TIER_ONE = ("src0", "src1", "src2", "src3", "src4")
 
+#: Labels that are broadcast, of some 20 bytes each; more are joined by a shuffle, which takes the texts along.
+MOST_LABELS = 1_000_000
+
 PLAIN, WRITTEN = "bcdfghjklmnpqrstvwxyaeiou", "பசடனஙயஜகலமணறஃரளதவழஷஞாெிொு"
 OPEN, OPENED = "aeiou", "அஎஇஒஉ"
 
@@ -43,7 +46,8 @@ def spelled(token: Column) -> Column:
 def uses(spark: SparkSession, d: str) -> DataFrame:
     """surface, source, lang, labelled, quality, toxic and n: how often documents with these hold the surface. All else is worked out from this, so texts are read once."""
     labels = table(spark, d, "labels").withColumn("labelled", F.lit(True))
-    docs = table(spark, d, "documents").join(labels, "doc_id", "left").withColumn("labelled", F.coalesce("labelled", F.lit(False)))
+    few = labels.limit(MOST_LABELS + 1).count() <= MOST_LABELS
+    docs = table(spark, d, "documents").join(F.broadcast(labels) if few else labels, "doc_id", "left").withColumn("labelled", F.coalesce("labelled", F.lit(False)))
     by = ["source", "lang", "labelled", "quality", "toxic"]
     return docs.select(*by, F.explode(tokens(F.col("text"))).alias("surface")).groupBy("surface", *by).agg(F.count(F.lit(1)).alias("n"))
 

@@ -14,6 +14,8 @@ from wordloom.sources.tables import table
 
 #: Longest word of the ladder, least total of its words; most differing places of rivals.
 LONGEST, LEAST, DIFFER = 6, 5, 2
+#: Priorities that are on at a time; what a mark is worth, best first.
+PLAYED, MARKS = 3, ("correct", "present", "absent")
 #: Rows and columns of a part's mask and of its grid; least and most letters of the words looked for in grids.
 MASK, GRID, SHORT, LONG = 5, 4, 3, 4
 
@@ -152,13 +154,16 @@ def canonical_numbers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def playlist_window(spark: SparkSession, d: str) -> DataFrame:
-    """For thirty days the ring places of a window of five: each day goes on where the last ended, and shifts once a round."""
-    ring, size = 7, 5
-    days = spark.sql("SELECT explode(sequence(date'2024-01-01', date'2024-01-30')) AS date")
-    walked = (F.unix_date("date") + 719163) * size
-    start = (walked + F.floor(walked / ring)) % ring
-    places = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: ((start + k) % ring).cast("string"))
-    return days.select(F.date_format("date", "yyyy-MM-dd").alias("day"), F.array_join(places, ",").alias("places"))
+    """For every day from the first order to the last, the priorities that are on: a window of PLAYED over the ring of all priorities. Each day goes on where the last ended, and shifts once a round."""
+    orders = table(spark, d, "orders").where("o_orderdate IS NOT NULL")
+    span = orders.agg(F.to_date(F.min("o_orderdate")).alias("first"), F.to_date(F.max("o_orderdate")).alias("last"))
+    ring = orders.where("o_orderpriority IS NOT NULL").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("ring"))  # a closed vocabulary
+    days = span.where("first IS NOT NULL").select(F.explode(F.sequence("first", "last")).alias("date")).join(F.broadcast(ring))  # one row
+    size = F.size("ring")
+    walked = (F.unix_date("date") + 719163) * PLAYED
+    start = (walked + F.floor(walked / size)) % size
+    on = F.transform(F.sequence(F.lit(0), F.lit(PLAYED - 1)), lambda k: F.get("ring", ((start + k) % size).cast("int")))
+    return days.select(F.date_format("date", "yyyy-MM-dd").alias("day"), F.posexplode(on).alias("place", "priority"))
 
 
 def deletion_variants(spark: SparkSession, d: str) -> DataFrame:
@@ -189,6 +194,14 @@ def letter_marks(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("guess", "answer", F.array_join(X.marks(F.col("guess"), F.col("answer")), ",").alias("marks"))
 
 
+def best_marks(spark: SparkSession, d: str) -> DataFrame:
+    """answer, letter and mark: the best mark that any guess at an answer got for a letter, as the keys of a keyboard show it."""
+    rows = letter_marks(spark, d)
+    each = rows.select("answer", F.explode(F.arrays_zip(F.split("guess", "").alias("letter"), F.split("marks", ",").alias("mark"))).alias("x")).select("answer", "x.letter", "x.mark")
+    rank = F.array_position(F.array(*map(F.lit, MARKS)), F.col("mark"))
+    return each.groupBy("answer", "letter").agg(F.min_by("mark", rank).alias("mark"))
+
+
 _LADDER = f"""o AS (SELECT surface, count(*) AS total FROM (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS surface FROM documents) GROUP BY 1 HAVING len(surface) BETWEEN 2 AND {LONGEST} AND count(*) >= {LEAST}),
 n AS (SELECT array_to_string(list_sort(string_split(surface, '')), '') AS key, max(total) AS frequency FROM o GROUP BY 1),
 e AS (SELECT DISTINCT substr(h.key, 1, i - 1) || substr(h.key, i + 1) AS low, h.key AS high FROM (SELECT key, unnest(range(1, len(key) + 1)) AS i FROM n) h), u AS (SELECT low, high FROM e JOIN n ON low = key)"""
@@ -211,7 +224,9 @@ def _draw(rows: str, draw: int) -> str:
 u AS (SELECT doc_id, xor(t, (t + {_MUL.format(a='xor(t, t >> 7)', b='t | 61')}) & 4294967295) AS u FROM t) SELECT doc_id, xor(u, u >> 14) / 4294967296.0::DOUBLE AS value FROM u"""
 
 
-_NAMES = (ladder_edges, ladder_reach, ladder_promise, mask_rivals, inverted_index_lookup, unintended_words, mask_entries, canonical_numbers, playlist_window, deletion_variants, fnv1a_hash, mulberry_float, seeded_indexes, letter_marks)
+_MARKED = """WITH w AS (SELECT list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+'), lambda x: len(x) = 5) AS w FROM benchmark), g AS (SELECT DISTINCT w[i] AS guess, w[i + 1] AS answer FROM (SELECT w, unnest(range(1, len(w))) AS i FROM w))
+SELECT guess, answer, array_to_string(list_transform(range(1, len(guess) + 1), lambda i: CASE WHEN guess[i] = answer[i] THEN 'correct' WHEN len(list_filter(range(1, len(answer) + 1), lambda k: answer[k] = guess[i] AND guess[k] <> answer[k])) > len(list_filter(range(1, i), lambda k: guess[k] = guess[i] AND guess[k] <> answer[k])) THEN 'present' ELSE 'absent' END), ',') AS marks FROM g"""
+_NAMES = (ladder_edges, ladder_reach, ladder_promise, mask_rivals, inverted_index_lookup, unintended_words, mask_entries, canonical_numbers, playlist_window, deletion_variants, fnv1a_hash, mulberry_float, seeded_indexes, letter_marks, best_marks)
 QUERIES = {f.__name__: f for f in _NAMES}
 ORACLES = {
     "ladder_edges": f"WITH {_LADDER} SELECT low, high FROM u",
@@ -227,11 +242,12 @@ m AS (SELECT board, row, col, dr || ',' || dc AS direction, array_to_string(list
 SELECT board, word, row, col, direction FROM m WHERE word IN (SELECT word FROM w)""",
     "mask_entries": f"WITH {_RUNS} SELECT * FROM r",
     "canonical_numbers": f"WITH {_RUNS} SELECT board, way, row, col, dense_rank() OVER (PARTITION BY board ORDER BY row, col) AS number FROM r",
-    "playlist_window": "WITH d AS (SELECT CAST(unnest(range(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY)) AS DATE) AS day), w AS (SELECT day, (date_diff('day', DATE '1970-01-01', day) + 719163) * 5 AS w FROM d) SELECT strftime(day, '%Y-%m-%d') AS day, array_to_string(list_transform(range(5), lambda k: ((w + w // 7) % 7 + k) % 7), ',') AS places FROM w",
+    "playlist_window": f"""WITH x AS (SELECT min(o_orderdate)::DATE AS a, max(o_orderdate)::DATE AS b, list(DISTINCT o_orderpriority ORDER BY o_orderpriority) AS ring FROM orders), d AS (SELECT CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day, ring FROM x),
+w AS (SELECT day, ring, (date_diff('day', DATE '1970-01-01', day) + 719163) * {PLAYED} AS w FROM d), k AS (SELECT day, ring, (w + w // len(ring)) % len(ring) AS s, unnest(range({PLAYED})) AS place FROM w) SELECT strftime(day, '%Y-%m-%d') AS day, CAST(place AS INTEGER) AS place, ring[(s + place) % len(ring) + 1] AS priority FROM k""",
     "deletion_variants": f"WITH w AS ({_WORDS}), a AS (SELECT word, substr(word, 1, i - 1) || substr(word, i + 1) AS v FROM (SELECT word, unnest(range(1, len(word) + 1)) AS i FROM w)), b AS (SELECT word, substr(v, 1, i - 1) || substr(v, i + 1) AS v FROM (SELECT word, v, unnest(range(1, len(v) + 1)) AS i FROM a)) SELECT word, word AS variant FROM w UNION SELECT * FROM a UNION SELECT * FROM b",
     "fnv1a_hash": f"WITH s AS (SELECT doc_id, lang || ':' || doc_id AS s FROM documents) SELECT doc_id, CAST({_FNV} AS BIGINT) AS hash FROM s",
     "mulberry_float": f"SELECT a.doc_id, a.value, b.value AS third FROM ({_draw('SELECT doc_id, doc_id * 7919 AS seed FROM documents', 1)}) a JOIN ({_draw('SELECT doc_id, doc_id * 7919 AS seed FROM documents', 3)}) b ON a.doc_id = b.doc_id",
     "seeded_indexes": f"WITH s AS (SELECT doc_id, lang || ':' || doc_id AS s FROM documents), h AS (SELECT doc_id, CAST({_FNV} AS BIGINT) AS seed FROM s) SELECT doc_id, CAST(least(floor(value * 10), 9) AS BIGINT) AS index FROM ({_draw('SELECT * FROM h', 1)})",
-    "letter_marks": """WITH w AS (SELECT list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+'), lambda x: len(x) = 5) AS w FROM benchmark), g AS (SELECT DISTINCT w[i] AS guess, w[i + 1] AS answer FROM (SELECT w, unnest(range(1, len(w))) AS i FROM w))
-SELECT guess, answer, array_to_string(list_transform(range(1, len(guess) + 1), lambda i: CASE WHEN guess[i] = answer[i] THEN 'correct' WHEN len(list_filter(range(1, len(answer) + 1), lambda k: answer[k] = guess[i] AND guess[k] <> answer[k])) > len(list_filter(range(1, i), lambda k: guess[k] = guess[i] AND guess[k] <> answer[k])) THEN 'present' ELSE 'absent' END), ',') AS marks FROM g""",
+    "letter_marks": _MARKED,
+    "best_marks": f"WITH m AS ({_MARKED}), k AS (SELECT answer, unnest(string_split(guess, '')) AS letter, unnest(string_split(marks, ',')) AS mark FROM m) SELECT answer, letter, arg_min(mark, list_position({list(MARKS)}, mark)) AS mark FROM k GROUP BY 1, 2",
 }

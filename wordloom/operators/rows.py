@@ -119,7 +119,7 @@ def provenance_counts(spark: SparkSession, d: str) -> DataFrame:
 def enrichment_queue(spark: SparkSession, d: str) -> DataFrame:
     """Documents of good quality with what is missing of them, by attribute: those without a benchmark word, a label of toxicity, or a length above 100."""
     facts = table(spark, d, "documents").join(table(spark, d, "labels").where("quality = 1"), "doc_id")
-    listed = table(spark, d, "benchmark").where("item_id < 5").select(F.explode(tokens(F.col("text"))).alias("surface")).distinct()
+    listed = table(spark, d, "benchmark").select(F.explode(tokens(F.col("text"))).alias("surface")).distinct()
     used = facts.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("surface")).join(listed, "surface").groupBy("doc_id").agg(F.count(F.lit(1)).alias("meanings"))
     rows = facts.join(used, "doc_id", "left")
     missing = F.array_compact(F.array(F.when(F.col("meanings").isNull(), F.lit("meaning")), F.when(F.col("toxic").isNull(), F.lit("label")), F.when(F.col("n_chars") <= 100, F.lit("length"))))
@@ -168,7 +168,7 @@ ORACLES = {
     "answer_words": "WITH t AS (SELECT conv_id, turn, regexp_extract(lower(coalesce(text, '')), '[a-z]+') AS w FROM conversations), f AS (SELECT conv_id, w, min(turn) AS turn FROM t WHERE w <> '' GROUP BY 1, 2) SELECT c.conv_id AS conv_id, coalesce((SELECT string_agg(w, ',' ORDER BY f.turn, w) FROM f WHERE f.conv_id = c.conv_id), '') AS answers FROM (SELECT DISTINCT conv_id FROM t) c",
     "published_rows": f"WITH f AS (SELECT * FROM documents LEFT JOIN labels USING (doc_id)), k AS (SELECT lang, source, CAST(sum(n_chars) AS BIGINT) AS frequency, count(*) AS documents, count(*) FILTER (WHERE quality = 1) AS tier_one, max_by(doc_id, row(n_chars, -doc_id)) FILTER (WHERE quality = 1) AS best FROM f GROUP BY 1, 2), w AS (SELECT lang AS l, sum(n_chars) AS whole, sum(CASE WHEN source IN {SPOKEN} THEN n_chars ELSE 0 END) AS spoken FROM f GROUP BY 1) SELECT lang, source, frequency, documents, tier_one, best, CASE WHEN whole > 0 THEN round_even(spoken / whole, 6) END AS spoken_ratio, '{{\"lang\":\"' || lang || '\",\"source\":\"' || source || '\"' || coalesce(',\"best\":' || best, '') || '}}' AS line FROM k JOIN w ON lang = l",
     "provenance_counts": f"WITH w AS (SELECT DISTINCT source, {_W} AS surface FROM documents), o AS (SELECT min(source) AS source FROM w GROUP BY surface HAVING count(*) = 1) SELECT source, count(*) AS surfaces, (SELECT count(*) FROM o WHERE o.source = w.source) AS alone, (SELECT count(*) FROM documents d WHERE d.source = w.source AND doc_id IN (SELECT doc_id FROM labels)) AS labelled FROM w GROUP BY source",
-    "enrichment_queue": f"WITH b AS (SELECT DISTINCT {_W} AS s FROM benchmark WHERE item_id < 5), f AS (SELECT * FROM documents JOIN labels USING (doc_id) WHERE quality = 1), u AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, {_W} AS s FROM f) WHERE s IN (SELECT s FROM b)), m AS (SELECT doc_id, list_filter([CASE WHEN doc_id NOT IN (SELECT doc_id FROM u) THEN 'meaning' END, CASE WHEN toxic IS NULL THEN 'label' END, CASE WHEN n_chars <= 100 THEN 'length' END], lambda x: x IS NOT NULL) AS m FROM f) SELECT doc_id, array_to_string(m, ',') AS missing FROM m WHERE len(m) > 0",
+    "enrichment_queue": f"WITH b AS (SELECT DISTINCT {_W} AS s FROM benchmark), f AS (SELECT * FROM documents JOIN labels USING (doc_id) WHERE quality = 1), u AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, {_W} AS s FROM f) WHERE s IN (SELECT s FROM b)), m AS (SELECT doc_id, list_filter([CASE WHEN doc_id NOT IN (SELECT doc_id FROM u) THEN 'meaning' END, CASE WHEN toxic IS NULL THEN 'label' END, CASE WHEN n_chars <= 100 THEN 'length' END], lambda x: x IS NOT NULL) AS m FROM f) SELECT doc_id, array_to_string(m, ',') AS missing FROM m WHERE len(m) > 0",
     "length_histogram": f"WITH w AS (SELECT DISTINCT {_W} AS s FROM documents), k AS (SELECT s, count(*) OVER (PARTITION BY list_sort(string_split(s, ''))) AS n FROM w) SELECT len(s) AS length, count(*) AS surfaces, count(*) FILTER (WHERE n > 1) AS shared FROM k GROUP BY 1",
     "anagram_partners": "WITH w AS (SELECT s, list_sort(string_split(s, '')) AS k FROM (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS s FROM documents) GROUP BY s HAVING count(*) >= 3 AND len(s) <= 8) SELECT a.s AS surface, string_agg(b.s, ',' ORDER BY b.s) AS partners FROM w a JOIN w b ON a.k = b.k AND a.s <> b.s GROUP BY 1",
 }

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or where it is unset, as in tests, a temporary folder."""
+    """spark.checkpoint.dir. Where it is unset, a local session, as in tests, has a temporary folder; on a cluster that is an error, as executors would not see it."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="wordloom-")
         spark.sparkContext.setCheckpointDir(known)
     return known.rstrip("/")
