@@ -117,3 +117,17 @@ def test_pipeline(spark):
             assert {k: np.frombuffer(r.ids, "<u4").tolist() for k, r in after.items()} == {k: library.encode_ordinary(r.text) for k, r in before.items()}
             assert all(bytes(r.decoded).decode() == before[k].text for k, r in after.items())
         docs = out
+
+
+def test_bytes_within_limit():
+    from wordloom.llm.token_counts import counts_of
+
+    counts = counts_of(P.path("byte_bpe_50k.json"), P.PATTERN)
+    cut = 0
+    for text in [*list(_documents().values())[:60], "", "a", "é" * 40, "word " * 30]:
+        prefixes = counts.every_prefix(text)
+        for limit in (0, 1, 7, 50, 10_000):
+            n_tokens, within = counts.of_text(text, limit)
+            assert n_tokens == prefixes[-1] and within == max(k for k, n in enumerate(prefixes) if n <= limit), (text[:40], limit)
+            cut += within < len(prefixes) - 1
+    assert cut > 100

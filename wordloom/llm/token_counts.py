@@ -10,7 +10,6 @@ anything again.
 from __future__ import annotations
 
 import re as stdlib_re
-from bisect import bisect_right
 from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
@@ -97,7 +96,7 @@ class PrefixCounts(dict):
                 room = limit - total
                 for x in each:
                     if x[-1] > room:
-                        within += bisect_right(x, room) - 1
+                        within += max(k for k, n in enumerate(x) if n <= room)  # counts of prefixes may fall again
                         break
                     room -= x[-1]
                     within += len(x) - 1
