@@ -8,13 +8,13 @@ shingle by shingle.
 
 Equal sets are one class from the start. In a bucket every class is first compared with the bucket's least one. What
 that links is one component; then only classes of different components that share a bucket are compared, in blocks
-that hold the texts. A block reports as many links as join its components, not every pair.
+of registers; texts follow for those in likely pairs. A block reports as many links as join its components, not every pair.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -219,33 +219,67 @@ def joining(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> list[int]:
     return out
 
 
+def likely_in_block(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a block's rows that are of different components, meet in this bucket first, and may reach the threshold."""
+    node, label, block, n = (group.column(x).to_numpy() for x in ("node", "label", "i", "n_shingles"))
+    registers = as_registers(group.column("registers"))
+    keys = band_keys(registers).view(np.int64)
+    a, b = np.nonzero((label[:, None] != label[None, :]) & (node[:, None] < node[None, :]))
+    if group.column("low")[0].as_py() != group.column("high")[0].as_py():
+        a, b = a[block[a] != block[b]], b[block[a] != block[b]]
+    if len(a):  # pairs count in their first bucket only
+        same = np.zeros(len(a), np.int64)
+        for k in range(keys.shape[1] - 1, -1, -1):
+            same[keys[a, k] == keys[b, k]] = k
+        first = keys[a, same] == group.column("key")[0].as_py()
+        a, b = a[first], b[first]
+    if len(a):
+        more, less = (np.concatenate([f(registers[a[k : k + 4096]], registers[b[k : k + 4096]]).sum(1) for k in range(0, len(a), 4096)]) for f in (np.greater, np.less))
+        keep = may_reach(n[a], n[b], more, less, percent)
+        a, b = a[keep], b[keep]
+    return a, b
+
+
+def by_block(rows: DataFrame, compare: Callable[[pa.Table], pa.RecordBatch], schema: str | T.StructType) -> DataFrame:
+    """What compare() gives for the rows of each block (key, low, high), in order of node."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        at = None
+        for batch in batches:
+            place = np.stack([batch.column(x).to_numpy() for x in ("key", "low", "high")], 1)
+            cuts = [0, *(np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1).tolist(), len(place)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if b > a:
+                    if held and at != tuple(place[a]):
+                        yield compare(pa.Table.from_batches(held).combine_chunks())
+                        held = []
+                    at = tuple(place[a])
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield compare(pa.Table.from_batches(held).combine_chunks())
+
+    return rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node").mapInArrow(run, schema)
+
+
 def across(members: DataFrame, nodes: DataFrame, labels: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of different components that share a bucket (key, node; n and weight: its members and their shingles), as many as join those that are linked."""
+    """Links (a, b) of different components that share a bucket (key, node; n and weight: its members and their shingles), as many as join those that are linked.
+
+    Registers go through the blocks first; texts are fetched only for the rows of a block that are in some likely pair there.
+    """
     known = members.where("n > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed_keys = known.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
     rows = known.join(mixed_keys, "key").join(nodes, "node").withColumn("blocks", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("weight") / BLOCK_SHINGLES)).cast("int"))
-    rows = rows.join(docs.select(F.col("doc_id").alias("node"), "text"), "node")
     rows = rows.withColumn("i", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), "i", "node", "label", "n_shingles", "registers", "text")
-    rows = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
+    rows = rows.select("key", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), "i", "node", "label", "n_shingles", "registers")
+
+    def in_pairs(group: pa.Table) -> pa.RecordBatch:
+        found = np.unique(np.concatenate(likely_in_block(group, percent)))
+        return group.take(pa.array(found, pa.int64())).combine_chunks().to_batches(max_chunksize=1 << 30)[0] if len(found) else group.slice(0, 1).to_batches()[0].slice(0, 0)
 
     def compare(group: pa.Table) -> pa.RecordBatch:
-        node, label, block, n = (group.column(x).to_numpy() for x in ("node", "label", "i", "n_shingles"))
-        registers = as_registers(group.column("registers"))
-        keys = band_keys(registers).view(np.int64)
-        a, b = np.nonzero((label[:, None] != label[None, :]) & (node[:, None] < node[None, :]))
-        if group.column("low")[0].as_py() != group.column("high")[0].as_py():
-            a, b = a[block[a] != block[b]], b[block[a] != block[b]]
-        if len(a):  # pairs count in their first bucket only
-            same = np.zeros(len(a), np.int64)
-            for k in range(keys.shape[1] - 1, -1, -1):
-                same[keys[a, k] == keys[b, k]] = k
-            first = keys[a, same] == group.column("key")[0].as_py()
-            a, b = a[first], b[first]
-        if len(a):
-            more, less = (np.concatenate([f(registers[a[k : k + 4096]], registers[b[k : k + 4096]]).sum(1) for k in range(0, len(a), 4096)]) for f in (np.greater, np.less))
-            keep = may_reach(n[a], n[b], more, less, percent)
-            a, b = a[keep], b[keep]
+        node, label = group.column("node").to_numpy(), group.column("label").to_numpy()
+        a, b = likely_in_block(group, percent)
         if len(a):
             used, place = np.unique(np.concatenate([a, b]), return_inverse=True)
             sets = shingle_sets(group.column("text").combine_chunks().take(pa.array(used)))
@@ -257,23 +291,9 @@ def across(members: DataFrame, nodes: DataFrame, labels: DataFrame, docs: DataFr
             a, b = a[some], b[some]
         return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        at = None
-        for batch in batches:
-            place = np.stack([batch.column(x).to_numpy() for x in ("key", "low", "high")], 1)
-            cuts = [0, *(np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1).tolist(), len(place)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if b > a:
-                    if held and at != tuple(place[a]):
-                        yield compare(pa.Table.from_batches(held).combine_chunks())
-                        held = []
-                    at = tuple(place[a])
-                    held.append(batch.slice(a, b - a))
-        if held:
-            yield compare(pa.Table.from_batches(held).combine_chunks())
-
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    wanted = written(by_block(rows, in_pairs, rows.schema), "in-pairs")
+    texts = wanted.join(docs.select(F.col("doc_id").alias("node"), "text"), "node").select(*rows.columns, "text")
+    return by_block(texts, compare, "a long, b long").distinct()
 
 
 def _judged(docs: DataFrame, percent: int) -> DataFrame:
