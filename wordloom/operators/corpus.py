@@ -12,6 +12,8 @@ from wordloom.functions.texts import bounded_distance, deletions, tokens, units
 from wordloom.sources.shared import written
 from wordloom.sources.tables import table
 
+#: Variants of dictionary words that are broadcast, of some 60 bytes each.
+MOST_VARIANTS = 500_000
 #: Private characters that stand for a script's units, one each; the first is for units that no dictionary word has.
 FOREIGN, FIRST_CODE, LAST_CODE = 0xE000, 0xE001, 0xF8FF
 #: Smoothing of the n-gram model, its order; edit distance; frequency of a dictionary word; breadth that needs no neighbour.
@@ -85,7 +87,9 @@ def ngram_scores(words: DataFrame, training: DataFrame) -> DataFrame:
 def neighbours(asked: DataFrame, dictionary: DataFrame) -> DataFrame:
     """surface, distance (DISTANCE + 1: none) and closeness of the nearest dictionary word, by shared deletion variants, verified."""
     left = asked.select("surface", F.explode(deletions(F.col("surface"))).alias("variant"))
-    right = dictionary.select(F.col("surface").alias("headword"), F.explode(deletions(F.col("surface"))).alias("variant"))
+    right = written(dictionary.select(F.col("surface").alias("headword"), F.explode(deletions(F.col("surface"))).alias("variant")), "variants")
+    if right.limit(MOST_VARIANTS + 1).count() <= MOST_VARIANTS:
+        right = F.broadcast(right)  # else the variants of all that is asked are shuffled
     near = left.join(right, "variant").select("surface", "headword").distinct()
     nearest = near.groupBy("surface").agg(F.min(bounded_distance(F.col("surface"), F.col("headword"), DISTANCE)).alias("distance"))
     out = asked.join(nearest, "surface", "left").withColumn("distance", F.coalesce("distance", F.lit(DISTANCE + 1)).cast("long"))
