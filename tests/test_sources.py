@@ -67,3 +67,28 @@ def test_partitions(spark, tmp_path):
     assert len(listed) == 2 and all(len(r.sha256) == 64 for r in listed)
     text = next(p for p in (tmp_path / "out" / "class=x").glob("*.json")).read_text()
     assert text == '{"word":"a","n":1}\n{"word":"b"}\n'
+
+
+def test_kept_tables_follow_their_input(spark, tmp_path):
+    import os
+    import shutil
+
+    from wordloom.sources.shared import kept
+
+    made = []
+
+    def table(n):
+        spark.range(n).coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "t.parquet"))
+
+    def make():
+        made.append(1)
+        return spark.read.parquet(str(tmp_path / "t.parquet"))
+
+    ask = lambda: kept(spark, "x", str(tmp_path), ("t", "absent"), make)
+    table(3)
+    assert [ask().count() for _ in range(3)] == [3, 3, 3] and len(made) == 1
+    table(5)
+    assert [ask().count() for _ in range(2)] == [5, 5] and len(made) == 2
+    path = ask().inputFiles()[0].removeprefix("file://").removeprefix("file:")
+    shutil.rmtree(os.path.dirname(path))
+    assert ask().count() == 5 and len(made) == 3

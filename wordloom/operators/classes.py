@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from wordloom.functions import letters as L
 from wordloom.functions.texts import SIGNS, first_letter_hex, tokens, unit_kind, units
 from wordloom.operators.corpus import _OBS, _SCORES, BREADTH, DICTIONARY, DISTANCE, letter_neighbours, ngram_scores, observations
-from wordloom.sources.shared import written
+from wordloom.sources.shared import kept, written
 from wordloom.sources.tables import table
 
 #: What an illegal opening, an illegal ending, an illegal cluster and a borrowed letter cost.
@@ -58,23 +58,28 @@ def population(spark: SparkSession, d: str, seen: DataFrame | None = None) -> Da
     return seen.unionAll(_words_of(table(spark, d, "benchmark"))).distinct().withColumn("word", spelled(F.col("surface")))
 
 
+def spellings(spark: SparkSession, d: str) -> DataFrame:
+    """word: the distinct words of the population; worked out once for all queries over the same tables."""
+    return kept(spark, "words", d, ("documents", "benchmark"), lambda: population(spark, d).select("word").distinct())
+
+
 def unit_segments(spark: SparkSession, d: str) -> DataFrame:
     """word, place, unit, kind and the base letter's hex of every word."""
-    words = population(spark, d).select("word").distinct()
+    words = spellings(spark, d)
     rows = words.select("word", F.posexplode(units(F.col("word"))).alias("place", "unit"))
     return rows.select("word", F.col("place").cast("long"), "unit", unit_kind(F.col("unit")).alias("kind"), first_letter_hex(F.col("unit")).alias("hex"))
 
 
 def letter_defects(spark: SparkSession, d: str) -> DataFrame:
     """unit, n (words with it), defect (null for letters) and label (null for others)."""
-    words = population(spark, d).select("word").distinct()
+    words = spellings(spark, d)
     each = words.select(F.explode(F.array_distinct(units(F.col("word")))).alias("unit")).groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
     return each.select("unit", "n", L.letter_defect(F.col("unit")).alias("defect"), L.roman(F.col("unit")).alias("label"))
 
 
 def word_shapes(spark: SparkSession, d: str) -> DataFrame:
     """word, what its shape keeps and breaks, and the score of that."""
-    words = population(spark, d).select("word").distinct().withColumn("s", L.shape(F.col("word")))
+    words = spellings(spark, d).withColumn("s", L.shape(F.col("word")))
     return words.select("word", "s.*", L.orthotactic(F.col("s"), *WEIGHTS).alias("score"))
 
 
@@ -175,7 +180,8 @@ def letter_distance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def classified(spark: SparkSession, d: str) -> DataFrame:
-    return written(signals(spark, d).withColumn("class", word_class()), "classified")
+    """signals() with the class of each surface; worked out once for all queries over the same tables."""
+    return kept(spark, "classified", d, ("documents", "labels", "benchmark", "conversations"), lambda: signals(spark, d).withColumn("class", word_class()))
 
 
 def classify_cascade(spark: SparkSession, d: str) -> DataFrame:

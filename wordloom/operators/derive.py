@@ -9,7 +9,7 @@ from wordloom.functions import letters as L
 from wordloom.functions.texts import multiset_key, tokens, units
 from wordloom.operators.classes import _POP, _SHAPES, LEAST_DISTINCT, MOST_UNITS, refusal, spelled, uses
 from wordloom.operators.resolution import first_match, ledger
-from wordloom.sources.shared import written
+from wordloom.sources.shared import kept, written
 from wordloom.sources.tables import table
 
 #: What a list takes: languages and sources, least and most units, least attestations (of all and of good quality) and frequency, longest meaning, words.
@@ -44,7 +44,11 @@ def clueable(surface: Column, meaning: Column, most: int) -> Column:
 
 
 def gated(spark: SparkSession, d: str) -> DataFrame:
-    """entries() with the first gate that stops each."""
+    """entries() with the first gate that stops each; worked out once for all queries over the same tables."""
+    return kept(spark, "gates", d, ("documents", "labels", "benchmark", "conversations"), lambda: _gated(spark, d))
+
+
+def _gated(spark: SparkSession, d: str) -> DataFrame:
     rows = entries(spark, d)
     overlap = lambda c, wanted: F.coalesce(F.arrays_overlap(F.col(c), F.array(*map(F.lit, wanted))), F.lit(False))
     parts = units(F.col("word"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import letters as L
 from wordloom.functions.texts import first_letter_hex, unit_kind, units
-from wordloom.operators.classes import _LABEL, _POP, _SHAPES, _defect, _kind, population
+from wordloom.operators.classes import _LABEL, _POP, _SHAPES, _defect, _kind, spellings
 from wordloom.sources.shared import shared_dir, written
 from wordloom.sources.snapshots import write_partitions
 from wordloom.sources.tables import table
@@ -87,7 +87,7 @@ def bank_days(rows: DataFrame, folder: str) -> int:
 
 def published_letters(spark: SparkSession, d: str) -> DataFrame:
     """word_class, base, letter, roman, kind, rows and bytes of the published words that begin with a letter, read back by the manifest of their files."""
-    words = written(population(spark, d).select("word").distinct(), "words").where(L.letter_defect(F.get(units(F.col("word")), F.lit(0))).isNull())
+    words = spellings(spark, d).where(L.letter_defect(F.get(units(F.col("word")), F.lit(0))).isNull())
     rows = words.select(F.when(L.shape(F.col("word"))["has_grantha"], "loanword").otherwise("headword").alias("word_class"), "word", F.size(units(F.col("word"))).alias("length"))
     manifest = publish(rows, f"{shared_dir(spark)}/published-{uuid.uuid4().hex}")
     files = [r.path for r in manifest.select("path").toLocalIterator()]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_kept: dict[tuple, tuple[str, object]] = {}
+
+
+def kept(spark: SparkSession, name: str, d: str, tables: Sequence[str], make: Callable[[], DataFrame]) -> DataFrame:
+    """make(), written once for a session and what it is made of: the tables of the folder d, as their files are now.
+
+    Several queries over one folder then share the work. A table that has gone, or whose input has changed, is made again.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def state(path: str) -> tuple:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        files = at.getFileSystem(conf)
+        return tuple((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in files.listStatus(at)) if files.exists(at) else ()
+
+    key = (spark.sparkContext.applicationId, name, d, *(state(f"{d}/{t}.parquet") for t in tables))
+    if key in _kept and state(f"{_kept[key][0]}/_SUCCESS"):
+        path, schema = _kept[key]
+        return spark.read.schema(schema).parquet(path)
+    rows, path = make(), f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    _kept[key] = (path, rows.schema)
+    return spark.read.schema(rows.schema).parquet(path)
