@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from wordloom.functions import letters as L
 from wordloom.functions.texts import SIGNS, first_letter_hex, tokens, unit_kind, units
 from wordloom.operators.corpus import _OBS, _SCORES, BREADTH, DICTIONARY, DISTANCE, letter_neighbours, ngram_scores, observations
-from wordloom.sources.shared import kept, written
+from wordloom.sources.shared import kept, spread, written
 from wordloom.sources.tables import table
 
 #: What an illegal opening, an illegal ending, an illegal cluster and a borrowed letter cost.

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wordloom.functions.texts import bounded_distance, deletions, tokens, units
-from wordloom.sources.shared import written
+from wordloom.functions.deletion_marks import bitmap, marker
+from wordloom.functions.texts import SIGNS, bounded_distance, tokens, units
+from wordloom.sources.shared import spread, written
 from wordloom.sources.tables import table
 
-#: Variants of dictionary words that are broadcast, of some 60 bytes each.
-MOST_VARIANTS = 500_000
+#: Words whose variants a task makes; variants that it joins.
+MARKED_ROWS, JOINED_ROWS = 40_000, 400_000
 #: Private characters that stand for a script's units, one each; the first is for units that no dictionary word has.
 FOREIGN, FIRST_CODE, LAST_CODE = 0xE000, 0xE001, 0xF8FF
 #: Smoothing of the n-gram model, its order; edit distance; frequency of a dictionary word; breadth that needs no neighbour.
@@ -85,33 +88,43 @@ def ngram_scores(words: DataFrame, training: DataFrame) -> DataFrame:
 
 
 def neighbours(asked: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """surface, distance (DISTANCE + 1: none) and closeness of the nearest dictionary word, by shared deletion variants, verified."""
-    left = asked.select("surface", F.explode(deletions(F.col("surface"))).alias("variant"))
-    right = written(dictionary.select(F.col("surface").alias("headword"), F.explode(deletions(F.col("surface"))).alias("variant")), "variants")
-    if right.limit(MOST_VARIANTS + 1).count() <= MOST_VARIANTS:
-        right = F.broadcast(right)  # else the variants of all that is asked are shuffled
-    near = left.join(right, "variant").select("surface", "headword").distinct()
-    nearest = near.groupBy("surface").agg(F.min(bounded_distance(F.col("surface"), F.col("headword"), DISTANCE)).alias("distance"))
+    """surface, distance (DISTANCE + 1: none) and closeness of the nearest dictionary word, by shared deletion variants, verified.
+
+    Variants go as marks of 64 bits; those of asked words that no dictionary word has stay where they are made, as a
+    bitmap of the dictionary's tells. What is longer than all of the dictionary by more than DISTANCE has no neighbour.
+    """
+    asked, heads = written(asked, "asked"), written(dictionary, "heads")
+    longest = heads.agg(F.max(F.length("surface"))).first()[0]
+    near = asked.where(F.length("surface") <= (-1 if longest is None else longest + DISTANCE)).select("surface").distinct()
+    right = written(spread(heads.select("surface"), MARKED_ROWS).mapInArrow(marker(), "headword string, mark long"), "variants")
+    bits = asked.sparkSession.sparkContext.broadcast(bitmap(right))  # MOST_BITS bits at most
+    left = spread(written(near, "near"), MARKED_ROWS).mapInArrow(marker(lambda: bits.value), "surface string, mark long")
+    pairs = spread(written(left, "marks"), JOINED_ROWS, "mark").join(right, "mark")
+    nearest = pairs.groupBy("surface").agg(F.min(bounded_distance(F.col("surface"), F.col("headword"), DISTANCE)).alias("distance"))
     out = asked.join(nearest, "surface", "left").withColumn("distance", F.coalesce("distance", F.lit(DISTANCE + 1)).cast("long"))
     close = F.when(F.col("distance") > DISTANCE, 0.0).otherwise(1.0 / F.greatest("distance", F.lit(1)))
     return out.select("surface", "distance", close.alias("closeness"))
 
 
-def alphabet(words: DataFrame) -> DataFrame:
-    """unit and code: the distinct units of the words in order, each with a character of its own. More than there are characters is an error."""
+def alphabet(words: DataFrame) -> dict[str, str]:
+    """The distinct units of the words in order, each with a character of its own. More than there are characters is an error."""
     rows = words.select(F.explode(units(F.col("word"))).alias("unit")).distinct()
     found = sorted(r.unit for r in rows.limit(LAST_CODE - FIRST_CODE + 2).collect())  # a script's letters
     if len(found) > LAST_CODE - FIRST_CODE + 1:
         raise ValueError(f"more than {LAST_CODE - FIRST_CODE + 1} distinct units")
-    return words.sparkSession.createDataFrame([(u, chr(FIRST_CODE + k)) for k, u in enumerate(found)], "unit string, code string")
+    return {u: chr(FIRST_CODE + k) for k, u in enumerate(found)}
 
 
-def encoded(words: DataFrame, codes: DataFrame) -> DataFrame:
+def encoded(words: DataFrame, codes: dict[str, str]) -> DataFrame:
     """word and code: its units as one character each, FOREIGN for those that codes, an alphabet(), does not have. Empty words are left out."""
-    parts = words.select("word").distinct().select("word", F.posexplode(units(F.col("word"))).alias("place", "unit"))
-    known = parts.join(F.broadcast(codes), "unit", "left")  # as many rows as there are private characters at most
-    one = F.struct("place", F.coalesce("code", F.lit(chr(FOREIGN))).alias("code"))
-    return known.groupBy("word").agg(F.array_join(F.array_sort(F.collect_list(one))["code"], "").alias("code"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, foreign = re.compile(f"(?s).[{SIGNS}]*").findall, chr(FOREIGN)
+        for batch in batches:
+            listed = [("".join([codes.get(u, foreign) for u in split(w)])) for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(listed, pa.string())], names=["word", "code"])
+
+    return words.where("word <> ''").select("word").distinct().mapInArrow(run, "word string, code string")
 
 
 def letter_neighbours(asked: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -120,9 +133,10 @@ def letter_neighbours(asked: DataFrame, dictionary: DataFrame) -> DataFrame:
     A sign that changes one letter is one edit, as a letter is, however many characters they are. Units that the
     dictionary does not have differ from all of its own. Repeated words count once, empty ones are left out.
     """
-    codes = alphabet(dictionary)
-    words, heads = written(encoded(asked, codes), "encoded"), encoded(dictionary, codes)
-    found = neighbours(words.select(F.col("code").alias("surface")).distinct(), heads.select(F.col("code").alias("surface")).distinct())
+    heads = written(dictionary.select("word").distinct(), "dictionary")
+    codes = alphabet(heads)
+    words = written(encoded(asked, codes), "encoded")
+    found = neighbours(words.select(F.col("code").alias("surface")).distinct(), encoded(heads, codes).select(F.col("code").alias("surface")).distinct())
     return words.join(found, words["code"] == found["surface"]).select("word", "distance", "closeness")
 
 

@@ -27,6 +27,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """df dealt to tasks of so many rows, by the columns if there are any; df, which is counted, should be cheap to read.
+
+    Spark sizes tasks by bytes, and so gives a table of short rows to few, however long the work on each row takes.
+    """
+    return df.repartition(max(1, -(-df.count() // rows)), *by)
+
+
 _kept: dict[tuple, tuple[str, object]] = {}
 
 
