@@ -45,3 +45,34 @@ def test_neighbours_broadcast_no_dictionary(spark):
         assert [tuple(r) for r in corpus.neighbours(asked.limit(1), asked.limit(0)).collect()] == [("kitten", 3, 0.0)]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_words_are_spelled_once_each_and_by_many_tasks(spark, monkeypatch):
+    from conftest import SMALL
+
+    from wordloom.operators import classes
+
+    monkeypatch.setattr(classes, "JUDGED_ROWS", 1000)
+    words = classes.spellings(spark, SMALL)
+    assert words.rdd.getNumPartitions() == -(-words.count() // 1000) > 1
+    signals = classes.word_shapes(spark, SMALL)
+    assert signals.rdd.getNumPartitions() == words.rdd.getNumPartitions()
+
+
+def test_entries_are_judged_by_many_tasks(spark, monkeypatch):
+    from conftest import SMALL
+
+    from wordloom.operators import derive
+
+    monkeypatch.setattr(derive, "JUDGED_ROWS", 1000)
+    rows = derive.entries(spark, SMALL)
+    assert rows.rdd.getNumPartitions() == -(-rows.count() // 1000) > 1
+
+
+def test_parts_are_parsed_by_many_tasks(spark, monkeypatch):
+    from conftest import SMALL
+
+    from wordloom.operators import bilingual
+
+    monkeypatch.setattr(bilingual, "PARSED_ROWS", 50)
+    assert len(bilingual.part_entries(spark, SMALL).inputFiles()) == 4

@@ -26,6 +26,8 @@ EVIDENCE = ("notAWord", "properNoun", "boundStem", "colloquial")
 CLASSES = ("headword", "inflected", "loanword", "sandhiArtifact", "suspectedTypo", "unclassified", *EVIDENCE)
 TIER_ONE = ("src0", "src1", "src2", "src3", "src4")
 
+#: Words whose letters a task judges.
+JUDGED_ROWS = 20_000
 #: Labels that are broadcast, of some 20 bytes each; more are joined by a shuffle, which takes the texts along.
 MOST_LABELS = 1_000_000
 
@@ -59,8 +61,17 @@ def population(spark: SparkSession, d: str, seen: DataFrame | None = None) -> Da
 
 
 def spellings(spark: SparkSession, d: str) -> DataFrame:
-    """word: the distinct words of the population; worked out once for all queries over the same tables."""
-    return kept(spark, "words", d, ("documents", "benchmark"), lambda: population(spark, d).select("word").distinct())
+    """word: the distinct words of the population; worked out once for all queries over the same tables.
+
+    Surfaces are written before they are spelled: of two distinct() in a row Spark keeps the last, and would spell each
+    place of a text.
+    """
+
+    def make() -> DataFrame:
+        surfaces = _words_of(table(spark, d, "documents")).unionAll(_words_of(table(spark, d, "benchmark"))).distinct()
+        return spread(written(surfaces, "surfaces"), JUDGED_ROWS).select(spelled(F.col("surface")).alias("word")).distinct()
+
+    return spread(kept(spark, "words", d, ("documents", "benchmark"), make), JUDGED_ROWS)
 
 
 def unit_segments(spark: SparkSession, d: str) -> DataFrame:
@@ -162,13 +173,14 @@ def signals(spark: SparkSession, d: str) -> DataFrame:
     words = words.join(known, "surface", "left").withColumns({"breadth": F.coalesce("breadth", F.lit(0)), "total": F.coalesce("total", F.lit(0)), "entry": F.coalesce("entry", F.lit(False))})
     scores = ngram_scores(known.select("surface"), known.where(f"total >= {DICTIONARY}").select("surface"))
     words = words.join(scores.withColumnRenamed("score", "ngram"), "surface", "left").withColumn("ngram", F.coalesce("ngram", F.lit(0.0)))
-    words = words.join(evidence_of(seen), "surface", "left").withColumn("s", L.shape(F.col("word")))
+    words = words.join(evidence_of(seen), "surface", "left")
     asked = (F.col("attested") == 0) & (F.col("verb_form") == 0) & (F.col("breadth") < BREADTH)
-    words = written(words.withColumn("asked", asked), "signals")
+    words = spread(written(words.withColumn("asked", asked), "population"), JUDGED_ROWS).withColumn("s", L.shape(F.col("word")))
+    words = written(words.withColumns({"orthotactic": L.orthotactic(F.col("s"), *WEIGHTS), "refusal": refusal(F.col("word"), F.col("s")), "said": asserted(F.col("evidence"))}), "signals")
     heads = words.where((F.col("total") >= DICTIONARY) & ~F.col("s.has_foreign"))
     near = letter_neighbours(words.where("asked").select("word"), heads.select("word"))
-    words = words.join(near.select("word", "closeness"), "word", "left").withColumn("neighbour", F.when(F.col("asked"), F.coalesce("closeness", F.lit(0.0)))).drop("asked", "closeness")
-    return words.withColumns({"orthotactic": L.orthotactic(F.col("s"), *WEIGHTS), "refusal": refusal(F.col("word"), F.col("s")), "said": asserted(F.col("evidence"))})
+    words = words.join(near.select("word", "closeness"), "word", "left")
+    return words.withColumn("neighbour", F.when(F.col("asked"), F.coalesce("closeness", F.lit(0.0)))).drop("asked", "closeness")
 
 
 def letter_distance(spark: SparkSession, d: str) -> DataFrame:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import letters as L
 from wordloom.functions.texts import multiset_key, tokens, units
-from wordloom.operators.classes import _POP, _SHAPES, LEAST_DISTINCT, MOST_UNITS, refusal, spelled, uses
+from wordloom.operators.classes import _POP, _SHAPES, JUDGED_ROWS, LEAST_DISTINCT, MOST_UNITS, refusal, spelled, uses
 from wordloom.operators.resolution import first_match, ledger
-from wordloom.sources.shared import kept, written
+from wordloom.sources.shared import kept, spread, written
 from wordloom.sources.tables import table
 
 #: What a list takes: languages and sources, least and most units, least attestations (of all and of good quality) and frequency, longest meaning, words.
@@ -35,7 +35,7 @@ def entries(spark: SparkSession, d: str) -> DataFrame:
     first = turns.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("surface"), "conv_id", "turn").groupBy("surface").agg(F.min(F.struct("conv_id", "turn")).alias("at"))
     asked = first.select("surface", F.col("at.conv_id").alias("conv_id"), (F.col("at.turn") + 1).alias("turn"))
     meanings = asked.join(turns.groupBy("conv_id", "turn").agg(F.min("text").alias("meaning")), ["conv_id", "turn"]).select("surface", "meaning")
-    return rows.join(meanings, "surface", "left").withColumn("word", spelled(F.col("surface")))
+    return spread(written(rows.join(meanings, "surface", "left"), "entries"), JUDGED_ROWS).withColumn("word", spelled(F.col("surface")))
 
 
 def clueable(surface: Column, meaning: Column, most: int) -> Column:
@@ -53,7 +53,7 @@ def _gated(spark: SparkSession, d: str) -> DataFrame:
     overlap = lambda c, wanted: F.coalesce(F.arrays_overlap(F.col(c), F.array(*map(F.lit, wanted))), F.lit(False))
     parts = units(F.col("word"))
     denied = table(spark, d, "benchmark").where("item_id % 5 = 0").select(F.explode(tokens(F.col("text"))).alias("surface")).distinct().withColumn("denied", F.lit(True))
-    rows = rows.join(denied, "surface", "left").withColumn("s", L.shape(F.col("word")))
+    rows = spread(written(rows.join(denied, "surface", "left"), "spelled"), JUDGED_ROWS).withColumn("s", L.shape(F.col("word")))
     participial = F.lit(False)
     for tail, link, stem in SUFFIXES:
         participial = participial | L.ends_in_suffix(parts, tail, link, stem)
