@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordloom.operators.classes import _LEAD, OPEN, OPENED, PLAIN, WRITTEN, spelled
-from wordloom.sources.shared import written
+from wordloom.sources.shared import spread, written
 from wordloom.sources.tables import table
 
-#: Rows of a range.
-RANGE_ROWS = 100_000
+#: Rows of a range; entries that a task parses.
+RANGE_ROWS, PARSED_ROWS = 100_000, 20_000
 #: Markers of a part of speech as an entry spells them, and what each stands for; the first that fits counts.
 MARKERS = {"adj.": "adjective", "adv.": "adverb", "n.": "noun", "v.": "verb"}
 
@@ -73,6 +73,7 @@ def facts(entries: DataFrame, order: list[str], range_rows: int = RANGE_ROWS) ->
     of one run and tag are peers. Entries without a head, a text or a term are rejected, and do not end a run.
     """
     parsed = entries.where("head IS NOT NULL AND text IS NOT NULL").withColumn("e", entry(F.col("text"))).select(*order, "head", "e.tag", "e.terms")
+    parsed = written(parsed, "parsed")  # runs() reads it three times
     filed = written(runs(parsed, order, "head", range_rows).where(F.size("terms") > 0), "entries")
     fact = lambda name, value: F.struct(F.lit(name).alias("attr"), value.alias("value"))
     said = F.array_compact(F.array(fact("headword", F.col("word")), fact("translation", F.col("head")), F.when(F.col("tag").isNotNull(), fact("pos", F.col("tag")))))
@@ -85,7 +86,8 @@ def part_entries(spark: SparkSession, d: str) -> DataFrame:
     marker = F.when(F.col("p_size") % 4 == 0, "n. ").when(F.col("p_size") % 4 == 1, "-2 v. ").when(F.col("p_size") % 4 == 2, "(of ")
     words = F.transform(F.split(F.lower("p_name"), " "), spelled)
     text = F.concat(F.coalesce(marker, F.lit("")), F.array_join(F.slice(words, F.lit(1), F.size(words) - 1), ", "), F.lit(", (rare) "), F.element_at(words, -1), F.lit(" ."))
-    return table(spark, d, "part").select("p_partkey", F.split("p_type", " ")[0].alias("head"), F.when(F.col("p_size") % 11 != 0, text).otherwise("n. ").alias("text"))
+    parts = written(spread(table(spark, d, "part").select("p_partkey", "p_type", "p_name", "p_size"), PARSED_ROWS), "parts")  # else filters on the text are pushed below, into few tasks
+    return parts.select("p_partkey", F.split("p_type", " ")[0].alias("head"), F.when(F.col("p_size") % 11 != 0, text).otherwise("n. ").alias("text"))
 
 
 def dictionary_facts(spark: SparkSession, d: str) -> DataFrame:

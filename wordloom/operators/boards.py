@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions import letters as L
@@ -38,21 +38,30 @@ def crossword_violations(boards: DataFrame, entries: DataFrame) -> DataFrame:
     at = lambda e: F.transform(units(e["word"]), lambda u, k: _cell(e["row"] + k * down(e), e["col"] + k * (1 - down(e))))
     told = listed.withColumn("e", F.transform("l", lambda e: F.struct(*[e[c].alias(c) for c in one], units(e["word"]).alias("units"), at(e).alias("at"), _cell(e["row"], e["col"]).alias("begin"))))
     held = F.flatten(F.transform("e", lambda e: F.arrays_zip(e["at"].alias("at"), e["units"].alias("unit"))))
-    told = told.withColumn("held", held).withColumn("begins", F.array_sort(F.array_distinct(F.col("e")["begin"])))
+    told = told.withColumn("held", F.sort_array(held)).withColumn("begins", F.array_sort(F.array_distinct(F.col("e")["begin"])))
+    count = F.size("held")
+    pairs = F.arrays_zip(F.slice("held", F.lit(1), count - 1).alias("a"), F.slice("held", F.lit(2), count - 1).alias("b"))
+    told = told.withColumn("shared", F.filter(pairs, lambda p: p["a"]["at"] == p["b"]["at"]))  # equal cells are side by side
+    clashes = F.filter("shared", lambda p: p["a"]["unit"] != p["b"]["unit"])["a"]["at"]
+    unplaced = F.when(F.exists("held", lambda h: h["at"].isNull() | h["unit"].isNull()), F.col("held"))
+    told = told.withColumns({"crossings": F.array_distinct(F.col("shared")["a"]["at"]), "clashes": clashes, "unplaced": unplaced})
     grown = lambda seen, _: F.array_union(seen, F.flatten(F.transform(F.filter("e", lambda e: F.arrays_overlap(e["at"], seen)), lambda e: e["at"])))
     told = told.withColumn("reached", F.aggregate("e", F.get(F.col("e"), F.lit(0))["at"], grown))
-    rows = told.select("board", "rows", "cols", "held", "begins", "reached", F.col("e").alias("every"), F.explode("e").alias("e")).select("board", "rows", "cols", "held", "begins", "reached", "every", "e.*")
+    whole = ["board", "rows", "cols", "open_cells", "crossings", "clashes", "unplaced", "begins", "reached"]
+    told = told.withColumn("open_cells", F.col("held")["at"])
+    rows = told.select(*whole, F.col("e").alias("every"), F.explode("e").alias("e")).select(*whole, "every", "e.*")
     step = F.when(F.col("way") == "down", 65536).otherwise(1)
-    open_cells, size = F.col("held")["at"], F.size("units")
-    crossed = F.filter("at", lambda c: F.size(F.filter(open_cells, lambda x: x == c)) > 1)
+    size = F.size("units")
+    clash = F.when(F.col("unplaced").isNull(), F.arrays_overlap("at", "clashes")).otherwise(~F.forall(F.arrays_zip("at", "units"), lambda x: ~F.exists("unplaced", lambda y: (y["at"] == x["at"]) & (y["unit"] != x["units"]))))
     other = lambda keeps: F.size(F.filter("every", keeps)) == 1
-    fits = lambda w: (F.size(units(w)) == size) & F.forall(F.sequence(F.lit(0), size - 1), lambda k: ~F.array_contains(crossed, F.get("at", k)) | (F.get(units(w), k) == F.get("units", k)))
+    beside = lambda w: F.arrays_zip(F.col("at"), F.col("units"), units(w).alias("w"))
+    fits = lambda w: (size > 0) & (F.size(units(w)) == size) & F.forall(beside(w), lambda x: ~F.array_contains("crossings", x["at"]) | (x["w"] == x["units"]))
     also = F.coalesce("also", F.array().cast("array<string>"))
     rules = {
         "onBoard": (F.col("row") >= 0) & (F.col("col") >= 0) & (F.col("row") + F.when(F.col("way") == "down", size).otherwise(1) <= F.col("rows")) & (F.col("col") + F.when(F.col("way") == "down", 1).otherwise(size) <= F.col("cols")),
         "letters": (size >= 2) & F.forall("units", lambda u: L.letter_defect(u).isNull()),
-        "interlock": F.forall(F.arrays_zip("at", "units"), lambda x: ~F.exists("held", lambda y: (y["at"] == x["at"]) & (y["unit"] != x["units"]))),
-        "maximal": ~F.array_contains(open_cells, F.col("begin") - step) & ~F.array_contains(open_cells, F.col("begin") + step * size),
+        "interlock": ~clash,
+        "maximal": ~F.array_contains("open_cells", F.col("begin") - step) & ~F.array_contains("open_cells", F.col("begin") + step * size),
         "connected": F.arrays_overlap("at", "reached"),
         "number": F.col("number") == F.array_position("begins", F.col("begin")),
         "start": other(lambda e: (e["begin"] == F.col("begin")) & (e["way"] == F.col("way"))),
@@ -66,15 +75,16 @@ def crossword_violations(boards: DataFrame, entries: DataFrame) -> DataFrame:
 def drawn_boards(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Boards and entries of the masks of parts, with letters by a hash of the cell. Every few boards something is wrong with them."""
     key = F.col("board")
-    letter = lambda row, col: F.substr(F.lit(LETTERS), F.conv(F.substr(F.md5(key.cast("string")), row * MASK + col + 1, F.lit(1)), 16, 10).cast("int") + 1, F.lit(1))
-    runs = open_runs(masks(spark, d))
+    letters = F.translate(F.md5(key.cast("string")), "0123456789abcdef", LETTERS)
+    begins = F.sort_array(F.collect_set(_cell(F.col("row"), F.col("col"))).over(Window.partitionBy("board")))
+    runs = open_runs(masks(spark, d)).withColumn("begins", begins)
     down = F.col("way") == "down"
-    word = F.array_join(F.transform(F.sequence(F.lit(0), F.col("size").cast("int") - 1), lambda k: letter(F.col("row") + F.when(down, k).otherwise(0), F.col("col") + F.when(down, 0).otherwise(k))), "")
+    start, size = F.col("row") * MASK + F.col("col") + 1, F.col("size").cast("int")
+    below = F.regexp_replace(F.substr(letters, start, (size - 1) * MASK + 1), f"(.).{{0,{MASK - 1}}}", "$1")  # each MASK-th letter
+    word = F.when(down, below).otherwise(F.substr(letters, start, size))
     place = F.col("row") * 100 + F.col("col") * 10 + F.when(down, 1).otherwise(0)
-    entries = runs.select("board", place.alias("place"), word.alias("word"), "way", "row", "col")
+    entries = runs.select("board", place.alias("place"), word.alias("word"), "way", "row", "col", "begins")
     entries = entries.withColumn("word", F.when((key % 7 == 0) & down, F.concat(F.lit("கா"), F.substr("word", F.lit(2)))).when((key % 13 == 0) & down, F.concat("word", F.lit("ு"))).otherwise(F.col("word")))
-    begins = F.array_sort(F.collect_set(_cell(F.col("row"), F.col("col"))))
-    entries = entries.join(entries.groupBy("board").agg(begins.alias("begins")), "board")
     number = F.array_position("begins", _cell(F.col("row"), F.col("col"))) + F.when((key % 11 == 0) & down, 1).otherwise(0)
     also = F.when(key % 3 == 0, F.array(F.reverse("word"), F.concat("word", F.lit("க"))))
     entries = entries.select("board", "place", "word", "way", "row", "col", number.alias("number"), F.when(key % 5 == 0, F.concat(F.lit("= "), "word")).otherwise("?").alias("clue"), also.alias("also"))

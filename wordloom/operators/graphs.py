@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import texts as X
 from wordloom.operators.corpus import observations, totals
-from wordloom.sources.shared import written
+from wordloom.sources.shared import spread, written
 from wordloom.sources.tables import table
 
 #: Longest word of the ladder, least total of its words; most differing places of rivals.
 LONGEST, LEAST, DIFFER = 6, 5, 2
 #: Priorities that are on at a time; what a mark is worth, best first.
 PLAYED, MARKS = 3, ("correct", "present", "absent")
+#: Parts whose masks a task draws.
+MASKED_ROWS = 20_000
 #: Rows and columns of a part's mask and of its grid; least and most letters of the words looked for in grids.
 MASK, GRID, SHORT, LONG = 5, 4, 3, 4
 
@@ -129,7 +131,8 @@ def masks(spark: SparkSession, d: str) -> DataFrame:
     """board, row, col and cell (. open, # closed): the bits of a hash of each part's key, MASK to a row; three bits of a cell must be 0 to close it."""
     key = F.md5(F.col("p_partkey").cast("string"))
     places = F.sequence(F.lit(0), F.lit(MASK * MASK - 1))
-    cells = table(spark, d, "part").select(F.col("p_partkey").alias("board"), F.posexplode(F.transform(places, lambda k: F.when(F.substr(key, k + 1, F.lit(1)).isin("0", "1", "2", "3"), "#").otherwise("."))).alias("place", "cell"))
+    parts = written(spread(table(spark, d, "part").select("p_partkey"), MASKED_ROWS), "parts")
+    cells = parts.select(F.col("p_partkey").alias("board"), F.posexplode(F.transform(places, lambda k: F.when(F.substr(key, k + 1, F.lit(1)).isin("0", "1", "2", "3"), "#").otherwise("."))).alias("place", "cell"))
     return cells.select("board", F.floor(F.col("place") / MASK).cast("int").alias("row"), (F.col("place") % MASK).alias("col"), "cell")
 
 
