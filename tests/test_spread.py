@@ -76,3 +76,14 @@ def test_parts_are_parsed_by_many_tasks(spark, monkeypatch):
 
     monkeypatch.setattr(bilingual, "PARSED_ROWS", 50)
     assert len(bilingual.part_entries(spark, SMALL).inputFiles()) == 4
+
+
+def test_pages_are_parsed_once_and_by_many_tasks(spark, monkeypatch):
+    from conftest import SMALL
+
+    from wordloom.operators import wiki
+
+    monkeypatch.setattr(wiki, "PARSED_PAGES", 5)
+    facts = wiki.wiki_page_facts(spark, SMALL)
+    assert facts._jdf.queryExecution().optimizedPlan().toString().count("posexplode(split(") == 1
+    assert facts.rdd.getNumPartitions() == -(-wiki.conversation_pages(spark, SMALL).count() // 5) > 1

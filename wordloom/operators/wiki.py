@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions.texts import tokens
 from wordloom.operators.classes import _LEAD, OPEN, OPENED, PLAIN, WRITTEN, spelled
+from wordloom.sources.shared import kept, spread
 from wordloom.sources.tables import table
 
 # Fixed values of the wiki: what its sections hold by name, its parts of speech by name, and the names of links that are no words.
@@ -39,12 +40,15 @@ CATEGORY = ("பகுப்பு", "category")
 NO_WORDS = (*CATEGORY, "படிமம்", "படம்", "வார்ப்புரு", "file", "image", "media")
 #: Values of one kind that a page may have; characters of a translation.
 MOST_VALUES, MOST_TRANSLATION = 24, 64
+#: Pages that a task parses.
+PARSED_PAGES = 500
 
 TAMIL, SPACE = "\u0b80-\u0bff", "\\s\\p{Z}\\x1c-\\x1f\\x85"
 LINE_END = "\\r\\n|[\\n\\r\\x0b\\f\\x1c-\\x1e\\x85\\u2028\\u2029]"
 #: A template, with templates inside it one level deep; its name.
 MARKER = f"\\{{\\{{[{SPACE}]*([^{{}}|\\n]*?)[{SPACE}]*(?:\\|(?:[^{{}}]|\\{{\\{{[^{{}}]*\\}}\\}})*)?\\}}\\}}"
 TRAILING, BRACKETED = f"[{SPACE}.,;:\\-]+$", "\\([^()]*\\)"
+REDIRECT, HEADING = "(?i)^\\s*#\\s*redirect\\b", f"^[{SPACE}]*=+[{SPACE}]*(.*?)[{SPACE}]*=+[{SPACE}]*$"
 
 
 def _map(pairs: dict[str, str]) -> Column:
@@ -81,6 +85,7 @@ def cleaned(text: Column) -> Column:
     for _ in range(3):  # a caption may hold links
         out = F.regexp_replace(out, link, "$1$2")
     out = F.regexp_replace(F.regexp_replace(out, "</?[A-Za-z][^<>]{0,200}>", " "), "'{2,5}", "")
+    out = F.when(text.rlike("[<{\\[']"), out).otherwise(text)  # most texts have nothing of that
     out = F.regexp_replace(F.translate(out, "{}[]", "    "), f"^[#*:;=\\-{SPACE}.]+", "")
     return trimmed(F.regexp_replace(F.regexp_replace(out, TRAILING, ""), f"[{SPACE}]+", " "))
 
@@ -90,66 +95,76 @@ def _parts(text: Column) -> Column:
     return F.filter(pieces, lambda x: x != "")
 
 
-def _terms(text: Column, title: Column) -> Column:
-    """The parts of a text that is nothing but Tamil words between commas, without the title; else none."""
-    parts = _parts(text)
-    return F.when(F.forall(parts, lambda x: x.rlike(f"^[{TAMIL}]+$")), F.filter(parts, lambda x: x != title)).otherwise(F.array().cast("array<string>"))
+def _told(block: Column, text: Column) -> Column:
+    """What a block of this kind is read for in a cleaned segment: without what trails a meaning, or stands before and beside a translation."""
+    meaning = F.regexp_replace(F.regexp_replace(text, f"([{TAMIL}][^,;]*)[,;][^{TAMIL}]*$", "$1"), TRAILING, "")
+    translation = F.regexp_replace(F.regexp_replace(text, BRACKETED, " "), f"^[^A-Za-z]*?[{TAMIL}][^A-Za-z]*?-[{SPACE}]*(.+)$", "$1")
+    return F.when(block == "meaning", meaning).when(block == "translation", translation).otherwise(text)
 
 
-def _said(block: str, text: Column, title: Column) -> Column:
-    """definition, synonyms and translations of a cleaned segment of a block of this kind."""
+def _said(block: Column, text: Column, parts: Column, terms: Column, title: Column) -> Column:
+    """definition, synonyms and translations of a text that was told (_told()), by its parts and its terms; null parts for a meaning without one."""
     nothing, none = F.array().cast("array<string>"), F.lit(None).cast("string")
-    if block == "meaning":
-        text = F.regexp_replace(F.regexp_replace(text, f"([{TAMIL}][^,;]*)[,;][^{TAMIL}]*$", "$1"), TRAILING, "")
-        told = text.rlike(f"[{TAMIL}]") & F.regexp_replace(text, BRACKETED, "").rlike("[^ .,;:\\-]")
-        return F.struct(F.when(told & (text != title), text).alias("definition"), F.when(told, _terms(text, title)).otherwise(nothing).alias("synonyms"), nothing.alias("translations"), told.alias("read"))
-    if block == "translation":
-        text = F.regexp_replace(text, BRACKETED, " ")
-        text = F.regexp_replace(text, f"^[^A-Za-z]*?[{TAMIL}][^A-Za-z]*?-[{SPACE}]*(.+)$", "$1")
-        values = F.filter(_parts(text), lambda x: (F.length(x) <= MOST_TRANSLATION) & x.rlike("^[A-Za-z][A-Za-z '\\-.]*$"))
-        return F.struct(none.alias("definition"), nothing.alias("synonyms"), values.alias("translations"), (F.size(values) > 0).alias("read"))
-    terms = _terms(text, title)
-    return F.struct(none.alias("definition"), terms.alias("synonyms"), nothing.alias("translations"), (F.size(terms) > 0).alias("read"))
-
-
-def _segments(line: Column) -> Column:
-    """The segments of a line, each with the block that it opens (null for what goes on) and whether it is the whole line."""
-    heading = f"^[{SPACE}]*=+[{SPACE}]*(.*?)[{SPACE}]*=+[{SPACE}]*$"
-    name = cleaned(F.regexp_extract(line, heading, 1))
-    opened = F.when(name.isin(*ENGLISH), "other").otherwise(F.coalesce(_section(name), F.lit("other")))  # as a heading it is a language
-    one = lambda block, text, whole: F.struct(block.cast("string").alias("block"), text.alias("text"), F.lit(whole).alias("whole"))
-    texts, marks, names = F.split(line, MARKER, -1), F.regexp_extract_all(line, F.lit(f"({MARKER})"), 1), F.regexp_extract_all(line, F.lit(MARKER), 1)
+    values = F.filter(parts, lambda x: (F.length(x) <= MOST_TRANSLATION) & x.rlike("^[A-Za-z][A-Za-z '\\-.]*$"))
+    definition = F.when((block == "meaning") & parts.isNotNull() & (text != title), text).otherwise(none)
+    synonyms = F.when(block.isin("meaning", "synonym") & parts.isNotNull(), terms).otherwise(nothing)
+    translations = F.when(block == "translation", values).otherwise(nothing)
+    read = F.when(block == "meaning", parts.isNotNull()).when(block == "translation", F.size(values) > 0).otherwise(F.size(terms) > 0)
+    return F.struct(definition.alias("definition"), synonyms.alias("synonyms"), translations.alias("translations"), read.alias("read"))
+
+
+def _segments(lines: DataFrame) -> DataFrame:
+    """Lines (column source) with `names`, the templates of those that are no heading (null: none), and `segments`: each with the block that it opens (null for what goes on) and whether it is the whole line.
+
+    What several expressions use is a column, so that it is worked out once.
+    """
+    one = lambda block, text, whole: F.struct(block.cast("string").alias("block"), text.alias("text"), whole.alias("whole"))
+    source, names, marks, texts, blocks = (F.col(c) for c in ("source", "names", "marks", "texts", "blocks"))
+    lines = lines.withColumn("heading", source.rlike(HEADING))
+    templates = ~F.col("heading") & F.contains(source, F.lit("{{"))
+    lines = lines.withColumns({"names": F.when(templates, F.regexp_extract_all(source, F.lit(MARKER), 1)), "name": F.when(F.col("heading"), cleaned(F.regexp_extract(source, HEADING, 1)))})
+    some = F.coalesce(F.size(names) > 0, F.lit(False))
+    lines = lines.withColumns({"marks": F.when(some, F.regexp_extract_all(source, F.lit(f"({MARKER})"), 1)), "texts": F.when(some, F.split(source, MARKER, -1)), "blocks": F.when(some, F.transform(names, _section))})
 
     def step(done: Column, k: Column) -> Column:
-        block, text = _section(F.get(names, k)), F.get(texts, k + 1)
+        block, text = F.get(blocks, k), F.get(texts, k + 1)
         last = F.element_at(done, -1)
-        longer = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(one(last["block"], F.concat(last["text"], F.get(marks, k), text), False)))
-        return F.when(block.isNotNull(), F.concat(done, F.array(one(block, text, False)))).otherwise(longer)
-
-    start = F.array(one(F.lit(None), F.get(texts, F.lit(0)), False))
-    cut = F.aggregate(F.sequence(F.lit(0), F.size(marks) - 1), start, step)
-    segments = F.when(F.size(marks) == 0, F.array(one(F.lit(None), line, True))).otherwise(cut)
-    segments = F.when(F.size(segments) == 1, F.transform(segments, lambda s: one(s["block"], s["text"], True))).otherwise(segments)
-    empty = F.lit("")
-    return F.when(line.rlike(heading), F.array(one(opened, empty, False))).when(line.rlike(f"^[{SPACE}]*-{{4,}}[{SPACE}]*$"), F.array(one(F.lit("lead"), empty, False))).otherwise(segments)
+        longer = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(one(last["block"], F.concat(last["text"], F.get(marks, k), text), F.lit(False))))
+        return F.when(block.isNotNull(), F.concat(done, F.array(one(block, text, F.lit(False))))).otherwise(longer)
+
+    start = F.array(one(F.lit(None), F.get(texts, F.lit(0)), F.lit(False)))
+    lines = lines.withColumn("cut", F.when(some, F.aggregate(F.sequence(F.lit(0), F.size(marks) - 1), start, step)))
+    empty, no = F.lit(""), F.lit(False)
+    opened = F.when(F.col("name").isin(*ENGLISH), "other").otherwise(F.coalesce(_section(F.col("name")), F.lit("other")))  # as a heading it is a language
+    whole = F.when(F.size("cut") == 1, F.transform("cut", lambda s: one(s["block"], s["text"], F.lit(True)))).otherwise(F.col("cut"))
+    segments = (
+        F.when(F.col("heading"), F.array(one(opened, empty, no)))
+        .when(source.rlike(f"^[{SPACE}]*-{{4,}}[{SPACE}]*$"), F.array(one(F.lit("lead"), empty, no)))
+        .when(F.col("cut").isNull(), F.array(one(F.lit(None), source, F.lit(True))))
+        .otherwise(whole)
+    )
+    return lines.withColumn("segments", segments)
 
 
 def harvested(pages: DataFrame) -> DataFrame:
     """page, title, line, segment, and what is said there (_said(), and `parts_of_speech`), of the lines of pages (page, title, text). Redirects say nothing."""
-    lines = pages.where(~F.col("text").rlike("(?i)^\\s*#\\s*redirect\\b")).select("page", "title", F.posexplode(F.split("text", LINE_END)).alias("line", "source"))
-    heading = F.col("source").rlike(f"^[{SPACE}]*=+.*=+[{SPACE}]*$")
-    tags = F.array_compact(F.transform(F.regexp_extract_all("source", F.lit(MARKER), 1), _part_of_speech))
-    tags = F.when(~heading, tags).otherwise(F.array().cast("array<string>"))
-    cut = lines.select("page", "title", "line", tags.alias("tags"), F.posexplode(_segments(F.col("source"))).alias("segment", "s"))
+    lines = pages.where(~F.col("text").rlike(REDIRECT)).select("page", "title", F.posexplode(F.split("text", LINE_END)).alias("line", "source"))
+    none = F.array().cast("array<string>")
+    tags = F.when(F.col("names").isNotNull(), F.array_compact(F.transform("names", _part_of_speech))).otherwise(none)
+    # there is a segment at least; for posexplode() Spark would filter lines by all that segments are made of, and so make them twice
+    cut = _segments(lines).select("page", "title", "line", tags.alias("tags"), F.posexplode_outer("segments").alias("segment", "s"))
     so_far = Window.partitionBy("page").orderBy("line", "segment").rowsBetween(Window.unboundedPreceding, 0)
     cut = cut.withColumn("block", F.coalesce(F.last("s.block", ignorenulls=True).over(so_far), F.lit("lead")))
     numbered = F.col("s.whole") & F.ltrim("s.text").startswith("#")
     kind = F.when(F.col("block") != "lead", F.col("block")).when(numbered, "meaning").otherwise("other")
-    cut = cut.withColumn("kind", kind).withColumn("text", cleaned(F.col("s.text")))
-    title = F.col("title")
-    said = F.when((F.col("kind") == "other") | (F.col("text") == ""), None)
-    for block in ("meaning", "translation", "synonym"):
-        said = said.when(F.col("kind") == block, _said(block, F.col("text"), title))
+    cut = cut.withColumn("kind", kind).withColumn("text", F.when(F.col("kind") != "other", cleaned(F.col("s.text"))))
+    block, body, parts, title = F.col("kind"), F.col("body"), F.col("parts"), F.col("title")
+    cut = cut.withColumn("body", F.when(F.col("text") != "", _told(block, F.col("text"))))
+    told = (block != "meaning") | body.rlike(f"[{TAMIL}]") & F.regexp_replace(body, BRACKETED, "").rlike("[^ .,;:\\-]")
+    cut = cut.withColumn("parts", F.when(told, _parts(body)))
+    terms = F.when(F.forall(parts, lambda x: x.rlike(f"^[{TAMIL}]+$")), F.filter(parts, lambda x: x != title)).otherwise(none)  # nothing but Tamil words between commas
+    cut = cut.withColumn("terms", F.when(block != "translation", terms))
+    said = F.when(body.isNotNull(), _said(block, body, parts, F.col("terms"), title))
     return cut.select("page", "title", "line", "segment", said.alias("said"), F.when(F.col("segment") == 0, F.col("tags")).alias("parts_of_speech"))
 
 
@@ -158,9 +173,10 @@ def wiki_facts(pages: DataFrame, most: int = MOST_VALUES) -> DataFrame:
 
     attr is definition, synonym, translation or pos, each value once, in the order of the page, `most` at most; and
     headword for pages that say anything. Titles have spaces for underscores. Pages without a title or text say nothing.
+    pages are counted, and read twice; they should be a table.
     """
     title = trimmed(F.regexp_replace(F.translate("title", "_", " "), f"[{SPACE}]+", " "))
-    named = pages.select("page", title.alias("title"), "text").where("title <> '' AND text IS NOT NULL")
+    named = spread(pages, PARSED_PAGES, "page").select("page", title.alias("title"), "text").where("title <> '' AND text IS NOT NULL")
     found = harvested(named)
     values = lambda attr, array: F.transform(array, lambda v, i: F.struct(F.lit(attr).alias("attr"), v.alias("value"), i.alias("i")))
     some = F.concat(
@@ -171,24 +187,26 @@ def wiki_facts(pages: DataFrame, most: int = MOST_VALUES) -> DataFrame:
     )
     each = found.select("page", "title", "line", "segment", F.explode(some).alias("v")).select("page", "title", "v.attr", "v.value", F.struct("line", "segment", "v.i").alias("at"))
     category = f"(?iu)\\[\\[[{SPACE}]*(?:{'|'.join(CATEGORY)})[{SPACE}]*:[{SPACE}]*([^\\[\\]|]+?)[{SPACE}]*(?:\\|[^\\[\\]]*)?\\]\\]"
-    filed = named.where(~F.col("text").rlike("(?i)^\\s*#\\s*redirect\\b")).select("page", "title", F.posexplode(F.regexp_extract_all("text", F.lit(category), 1)).alias("i", "name"))
+    filed = named.where(~F.col("text").rlike(REDIRECT)).select("page", "title", F.posexplode(F.regexp_extract_all("text", F.lit(category), 1)).alias("i", "name"))
     filed = filed.select("page", "title", F.lit("pos").alias("attr"), _part_of_speech(F.col("name")).alias("value"), F.struct(F.lit(2**31 - 1).alias("line"), F.lit(0).alias("segment"), "i").alias("at"))
     once = each.unionAll(filed.where("value IS NOT NULL")).groupBy("page", "title", "attr", "value").agg(F.min("at").alias("at"))
     place = F.row_number().over(Window.partitionBy("page", "attr").orderBy("at")) - 1
-    kept = once.withColumn("ordinal", place).where(F.col("ordinal") < most)
-    heads = kept.where("ordinal = 0").select("page", "title").distinct()
-    rows = kept.select("page", F.col("title").alias("word"), "attr", "value", "ordinal")
-    return rows.unionAll(heads.select("page", F.col("title").alias("word"), F.lit("headword").alias("attr"), F.col("title").alias("value"), F.lit(0).alias("ordinal")))
+    ranked = once.withColumn("ordinal", place).where(F.col("ordinal") < most)
+    first = F.row_number().over(Window.partitionBy("page").orderBy("attr", "at")) == 1
+    row = lambda attr, value, ordinal: F.struct(F.lit(attr).alias("attr") if isinstance(attr, str) else attr, value.alias("value"), ordinal.alias("ordinal"))
+    itself, head = row(F.col("attr"), F.col("value"), F.col("ordinal")), row("headword", F.col("title"), F.lit(0))
+    rows = ranked.withColumn("first", first).select("page", F.col("title").alias("word"), F.explode(F.when(F.col("first"), F.array(head, itself)).otherwise(F.array(itself))).alias("r"))
+    return rows.select("page", "word", "r.attr", "r.value", "r.ordinal")
 
 
 def unread(pages: DataFrame) -> DataFrame:
     """page, read and skipped: of the segments that blocks were read for, those that said something, and those that did not."""
-    return harvested(pages.where("text IS NOT NULL")).where("said IS NOT NULL").groupBy("page").agg(F.count_if("said.read").alias("read"), F.count_if(~F.col("said.read")).alias("skipped"))
+    return harvested(spread(pages, PARSED_PAGES, "page").where("text IS NOT NULL")).where("said IS NOT NULL").groupBy("page").agg(F.count_if("said.read").alias("read"), F.count_if(~F.col("said.read")).alias("skipped"))
 
 
-def conversation_pages(spark: SparkSession, d: str) -> DataFrame:
-    """page, title and text: conversations as pages of the wiki, their turns' first three words spelled in Tamil. Turns with fewer are left out."""
-    turns = table(spark, d, "conversations").withColumn("e", tokens(F.col("text"), "[a-y]+")).where(F.size("e") >= 3).withColumn("w", F.transform(F.slice("e", 1, 3), spelled))
+def _paged(conversations: DataFrame) -> DataFrame:
+    opening = F.regexp_extract(F.lower("text"), "^(?:[^a-y]*+[a-y]++){3}", 0)  # as far as the third word
+    turns = conversations.withColumn("e", tokens(opening, "[a-y]+")).where(F.size("e") >= 3).withColumn("w", F.transform(F.slice("e", 1, 3), spelled))
     first, second, third = (F.col("w")[k] for k in range(3))
     lit = F.lit
     user = F.concat(lit("{{பெயர்ச்சொல்}} {{பொருள்-x}} [["), first, lit("|"), second, lit("]] '''"), third, lit("''' (rare)<!-- no -->.<ref>x</ref>"))
@@ -199,6 +217,11 @@ def conversation_pages(spark: SparkSession, d: str) -> DataFrame:
     return listed.select(F.col("conv_id").alias("page"), F.col("l")[0]["w"][0].alias("title"), F.array_join(F.col("l")["markup"], "\n").alias("text"))
 
 
+def conversation_pages(spark: SparkSession, d: str) -> DataFrame:
+    """page, title and text: conversations as pages of the wiki, their turns' first three words spelled in Tamil. Turns with fewer are left out. Made once for all queries over the same table."""
+    return kept(spark, "wiki_pages", d, ("conversations",), lambda: _paged(table(spark, d, "conversations")))
+
+
 def wiki_page_facts(spark: SparkSession, d: str) -> DataFrame:
     """The facts of conversation_pages()."""
     return wiki_facts(conversation_pages(spark, d))
