@@ -5,6 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from wordloom.functions import deletion_marks as marks_module
 from wordloom.functions import texts as X
 from wordloom.functions.deletion_marks import bitmap, marker, marks
 from wordloom.operators import corpus
@@ -87,3 +88,19 @@ def test_pages_are_parsed_once_and_by_many_tasks(spark, monkeypatch):
     facts = wiki.wiki_page_facts(spark, SMALL)
     assert facts._jdf.queryExecution().optimizedPlan().toString().count("posexplode(split(") == 1
     assert facts.rdd.getNumPartitions() == -(-wiki.conversation_pages(spark, SMALL).count() // 5) > 1
+
+
+def test_near_words_share_close_marks_or_far_ones(spark):
+    draw = random.Random(5)
+    words = sorted({"".join(draw.choices("abc\U0001f600", k=draw.randrange(7))) for _ in range(400)})
+    rows = spark.createDataFrame([(w,) for w in words], "w string")
+
+    def shared(of, meeting):
+        left, right = rows.mapInArrow(marker(of=of), "a string, mark long"), rows.mapInArrow(marker(of=meeting), "b string, mark long")
+        return {(r.a, r.b) for r in left.join(right, "mark").select("a", "b").distinct().collect()}
+
+    near = {(r.a, r.b): r.d for r in rows.toDF("a").crossJoin(rows.toDF("b")).withColumn("d", F.levenshtein("a", "b")).where("d <= 2").collect()}
+    close, far = shared(marks_module.close_marks, marks_module.close_marks), shared(marks_module.far_marks, marks_module.far_heads)
+    assert {p for p, d in near.items() if d <= 1} <= close <= set(near)
+    assert set(near) <= close | far
+    assert close | far == set(near)  # who meets is near, so that one word may stand for all of a mark

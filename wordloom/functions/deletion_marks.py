@@ -14,13 +14,12 @@ CHUNK, MOST_BITS = 1 << 19, 1 << 28
 #: The base of the marks and its inverse modulo 2**64; multipliers that mix letters and marks.
 BASE, LETTER, MIX = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 INVERSE = pow(BASE, -1, 1 << 64)
+#: What keeps apart marks that meet for different reasons.
+SHORTER, LONGER, OPENED = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
 
 
-def marks(letters: np.ndarray) -> np.ndarray:
-    """A row for each word of the matrix (code points of words of one length): the marks of the word and of what is left after one or two deletions.
-
-    Equal strings have equal marks. Different ones may have, too, so pairs that share a mark have to be confirmed.
-    """
+def _kinds(letters: np.ndarray) -> list[np.ndarray]:
+    """Marks of words of one length: of the word, of what is left after one deletion and after two; of the word with one place open and with two, and of what is left after one deletion with one place open."""
     n, size = letters.shape
     mixed = (letters.astype(np.uint64) + np.uint64(1)) * np.uint64(LETTER)
     mixed ^= mixed >> np.uint64(29)
@@ -33,14 +32,56 @@ def marks(letters: np.ndarray) -> np.ndarray:
     whole = sums[:, -1:]
     less_one = sums[:, k] + (whole - sums[:, k + 1]) * one
     less_two = sums[:, i] + (sums[:, j] - sums[:, i + 1]) * one + (whole - sums[:, j + 1]) * two
-    out = np.concatenate([whole, less_one, less_two], axis=1)
+    terms, tag = mixed * powers, np.uint64(OPENED)
+    open_one = whole - terms + (k + 1).astype(np.uint64) * tag
+    open_two = whole - terms[:, i] - terms[:, j] + (i * size + j + size + 1).astype(np.uint64) * tag
+    gone, place = (x.ravel() for x in np.mgrid[:size, : max(0, size - 1)])
+    shut = np.where(place < gone, terms[:, place], terms[:, np.minimum(place + 1, size - 1)] * one) if size else terms
+    less_open = less_one[:, gone] - shut + (place + 1).astype(np.uint64) * tag
+    return [whole, less_one, less_two, open_one, open_two, less_open]
+
+
+def _mixed(parts: list[np.ndarray]) -> np.ndarray:
+    out = np.concatenate(parts, axis=1)
     out ^= out >> np.uint64(32)
     out *= np.uint64(MIX)
     return out ^ (out >> np.uint64(29))
 
 
-def marker(bits: Callable[[], np.ndarray] | None = None) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For mapInArrow: word, and each of its marks once; with a bitmap() those only that it may hold."""
+def marks(letters: np.ndarray) -> np.ndarray:
+    """A row for each word of the matrix (code points of words of one length): the marks of the word and of what is left after one or two deletions.
+
+    Equal strings have equal marks. Different ones may have, too, so pairs that share a mark have to be confirmed.
+    """
+    return _mixed(_kinds(letters)[:3])
+
+
+def close_marks(letters: np.ndarray) -> np.ndarray:
+    """The marks of each word and of what is left after one deletion. Words at distance 1 share one, and words of which one letter is left out and another one put in."""
+    return _mixed(_kinds(letters)[:2])
+
+
+def _far_marks(letters: np.ndarray, more: int, fewer: int) -> np.ndarray:
+    whole, _, less_two, open_one, open_two, less_open = _kinds(letters)
+    more, fewer = np.uint64(more), np.uint64(fewer)
+    return _mixed([less_two + more, less_open + more, whole + fewer, open_one + fewer, open_two])
+
+
+def far_marks(letters: np.ndarray) -> np.ndarray:
+    """Marks by which words meet far_heads(): by two letters less on one side, by one less and one exchanged in place, or by two exchanged.
+
+    But for different strings of one mark, who meets is at distance 2 at most; and who is at distance 2 meets here or shares one of close_marks().
+    """
+    return _far_marks(letters, SHORTER, LONGER)
+
+
+def far_heads(letters: np.ndarray) -> np.ndarray:
+    """The other side of far_marks()."""
+    return _far_marks(letters, LONGER, SHORTER)
+
+
+def marker(bits: Callable[[], np.ndarray] | None = None, of: Callable[[np.ndarray], np.ndarray] = marks) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: word, and each of its marks (of) once; with a bitmap() those only that it may hold."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if bits is None else bits()
@@ -50,11 +91,11 @@ def marker(bits: Callable[[], np.ndarray] | None = None) -> Callable[[Iterable[p
             sizes = np.array([len(w) for w in listed], np.int64)
             for size in np.unique(sizes).tolist():
                 rows = np.flatnonzero(sizes == size)
-                step = max(1, CHUNK // (1 + size + size * (size - 1) // 2))
+                step = max(1, CHUNK // (1 + size + 2 * size * size))
                 for a in range(0, len(rows), step):
                     some = rows[a : a + step]
                     letters = np.frombuffer("".join([listed[r] for r in some.tolist()]).encode("utf-32-le"), "<u4").reshape(len(some), size)
-                    found = marks(letters)
+                    found = of(letters)
                     found.sort(axis=1)
                     wanted = np.ones(found.shape, bool)
                     wanted[:, 1:] = found[:, 1:] != found[:, :-1]

@@ -185,7 +185,7 @@ def signals(spark: SparkSession, d: str) -> DataFrame:
 
 def letter_distance(spark: SparkSession, d: str) -> DataFrame:
     """word, distance and closeness, in letters, of all words that no benchmark item uses, to the words of frequent surfaces."""
-    known = written(observations(table(spark, d, "documents")).groupBy("surface").agg(F.sum("count").alias("total")), "totals")
+    known = written(_words_of(table(spark, d, "documents")).groupBy("surface").agg(F.count(F.lit(1)).alias("total")), "totals")
     attested = _words_of(table(spark, d, "benchmark")).distinct()
     word = spelled(F.col("surface")).alias("word")
     return letter_neighbours(known.join(attested, "surface", "left_anti").select(word), known.where(f"total >= {DICTIONARY}").select(word))

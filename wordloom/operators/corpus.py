@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wordloom.functions.deletion_marks import bitmap, marker
+from wordloom.functions.deletion_marks import bitmap, close_marks, far_heads, far_marks, marker
 from wordloom.functions.texts import SIGNS, bounded_distance, tokens, units
 from wordloom.sources.shared import spread, written
 from wordloom.sources.tables import table
@@ -91,19 +91,38 @@ def neighbours(asked: DataFrame, dictionary: DataFrame) -> DataFrame:
     """surface, distance (DISTANCE + 1: none) and closeness of the nearest dictionary word, by shared deletion variants, verified.
 
     Variants go as marks of 64 bits; those of asked words that no dictionary word has stay where they are made, as a
-    bitmap of the dictionary's tells. What is longer than all of the dictionary by more than DISTANCE has no neighbour.
+    bitmap of the dictionary's tells. First come those after one deletion; whatever they find is the nearest, and only
+    words without a find are asked for what is farther. There who meets is near, so one dictionary word stands for all
+    of a mark, and the rest is asked only where it proves not to be near. What is longer than all of the dictionary by
+    more than DISTANCE has no neighbour.
     """
     asked, heads = written(asked, "asked"), written(dictionary, "heads")
     longest = heads.agg(F.max(F.length("surface"))).first()[0]
-    near = asked.where(F.length("surface") <= (-1 if longest is None else longest + DISTANCE)).select("surface").distinct()
-    right = written(spread(heads.select("surface"), MARKED_ROWS).mapInArrow(marker(), "headword string, mark long"), "variants")
+    left = written(asked.where(F.length("surface") <= (-1 if longest is None else longest + DISTANCE)).select("surface").distinct(), "near")
+    close = written(_nearest(*_marked(left, heads, close_marks, close_marks)).where(F.col("distance") <= DISTANCE), "close")
+    marked, variants = _marked(written(left.join(close, "surface", "left_anti"), "left"), heads, far_marks, far_heads)
+    far = written(_nearest(marked, variants.groupBy("mark").agg(F.min("headword").alias("headword"))), "far")
+    missed = far.where(F.col("distance") > DISTANCE)  # different strings of one mark
+    if not missed.isEmpty():
+        far = far.unionAll(_nearest(marked.join(missed, "surface", "left_semi"), variants))
+    found = close.unionAll(far.where(F.col("distance") <= DISTANCE))
+    out = asked.join(found, "surface", "left").withColumn("distance", F.coalesce("distance", F.lit(DISTANCE + 1)).cast("long"))
+    closeness = F.when(F.col("distance") > DISTANCE, 0.0).otherwise(1.0 / F.greatest("distance", F.lit(1)))
+    return out.select("surface", "distance", closeness.alias("closeness"))
+
+
+def _marked(asked: DataFrame, heads: DataFrame, of: Callable, meeting: Callable) -> tuple[DataFrame, DataFrame]:
+    """surface and mark (of) of the asked words, as far as the dictionary may have it; headword and mark (meeting) of the dictionary."""
+    right = written(spread(heads.select("surface"), MARKED_ROWS).mapInArrow(marker(of=meeting), "headword string, mark long"), "variants")
     bits = asked.sparkSession.sparkContext.broadcast(bitmap(right))  # MOST_BITS bits at most
-    left = spread(written(near, "near"), MARKED_ROWS).mapInArrow(marker(lambda: bits.value), "surface string, mark long")
-    pairs = spread(written(left, "marks"), JOINED_ROWS, "mark").join(right, "mark")
-    nearest = pairs.groupBy("surface").agg(F.min(bounded_distance(F.col("surface"), F.col("headword"), DISTANCE)).alias("distance"))
-    out = asked.join(nearest, "surface", "left").withColumn("distance", F.coalesce("distance", F.lit(DISTANCE + 1)).cast("long"))
-    close = F.when(F.col("distance") > DISTANCE, 0.0).otherwise(1.0 / F.greatest("distance", F.lit(1)))
-    return out.select("surface", "distance", close.alias("closeness"))
+    left = spread(asked, MARKED_ROWS).mapInArrow(marker(lambda: bits.value, of), "surface string, mark long")
+    return written(left, "marks"), right
+
+
+def _nearest(marked: DataFrame, variants: DataFrame) -> DataFrame:
+    """surface and distance (DISTANCE + 1: farther) of the nearest of the headwords that share a mark."""
+    pairs = spread(marked, JOINED_ROWS, "mark").join(variants, "mark")
+    return pairs.groupBy("surface").agg(F.min(bounded_distance(F.col("surface"), F.col("headword"), DISTANCE)).alias("distance"))
 
 
 def alphabet(words: DataFrame) -> dict[str, str]:
