@@ -101,7 +101,7 @@ def neighbours(asked: DataFrame, dictionary: DataFrame) -> DataFrame:
     left = written(asked.where(F.length("surface") <= (-1 if longest is None else longest + DISTANCE)).select("surface").distinct(), "near")
     close = written(_nearest(*_marked(left, heads, close_marks, close_marks)).where(F.col("distance") <= DISTANCE), "close")
     marked, variants = _marked(written(left.join(close, "surface", "left_anti"), "left"), heads, far_marks, far_heads)
-    far = written(_nearest(marked, variants.groupBy("mark").agg(F.min("headword").alias("headword"))), "far")
+    far = written(_nearest(marked, variants, lambda v: v.groupBy("mark").agg(F.min("headword").alias("headword"))), "far")
     missed = far.where(F.col("distance") > DISTANCE)  # different strings of one mark
     if not missed.isEmpty():
         far = far.unionAll(_nearest(marked.join(missed, "surface", "left_semi"), variants))
@@ -119,9 +119,10 @@ def _marked(asked: DataFrame, heads: DataFrame, of: Callable, meeting: Callable)
     return written(left, "marks"), right
 
 
-def _nearest(marked: DataFrame, variants: DataFrame) -> DataFrame:
-    """surface and distance (DISTANCE + 1: farther) of the nearest of the headwords that share a mark."""
-    pairs = spread(marked, JOINED_ROWS, "mark").join(variants, "mark")
+def _nearest(marked: DataFrame, variants: DataFrame, meeting: Callable[[DataFrame], DataFrame] = lambda v: v) -> DataFrame:
+    """surface and distance (DISTANCE + 1: farther) of the nearest of the headwords that share a mark, of those that meeting() leaves for it."""
+    tasks = max(1, -(-max(marked.count(), variants.count()) // JOINED_ROWS))  # of both, or Spark takes as many as its default and deals again
+    pairs = marked.repartition(tasks, "mark").join(meeting(variants.repartition(tasks, "mark")), "mark")
     return pairs.groupBy("surface").agg(F.min(bounded_distance(F.col("surface"), F.col("headword"), DISTANCE)).alias("distance"))
 
 
